@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
                 out.write(values.tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [path], "dtype": [dtype], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
 
-    manifest = materialize(rows.mapInArrow(write, "shard int, path string, dtype string, n_docs long, n_tokens long"), "token-manifest")
+    manifest = materialize(rows.mapInArrow(write, "shard long, path string, dtype string, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
