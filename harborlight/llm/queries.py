@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, piece_codec, quality_rules, token_counts, token_files
+from . import decontamination, html_extraction, language_id, piece_codec, quality_rules, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Domain rules as (verdict, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Host names whose pages make up the list of URLs that op3 filters by.
+LISTED_HOSTS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(url_filters.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\."))
+    return url_filters.filter_urls(pages, listed.select(url_filters.canonical_of(F.col("url")).alias("canonical_url")), URL_RULES).drop("possible_hit")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).drop("posterior")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = decontamination.with_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.hit_summary(matched).select(F.col("__row.doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -34,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op8_decontamination, op9_piece_codec, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_language_id, op5_html_extraction, op8_decontamination, op9_piece_codec, op10_token_files)}
 
 OP8_SQL = r"""
 WITH d AS (
@@ -59,4 +79,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-ORACLE_SQL = {"op8_decontamination": OP8_SQL}
+OP3_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*[?]([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS params
+  FROM pages),
+c AS (
+  SELECT page_id, host, path, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url FROM u),
+listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|[.])(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)[.]')),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT c.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN listed.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, c.canonical_url
+FROM c LEFT JOIN fit USING (page_id) LEFT JOIN listed ON listed.canonical_url = c.canonical_url
+"""
+
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op8_decontamination": OP8_SQL}
