@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, token_counts, token_files, url_filters
+from . import decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, substring_dedup, token_counts, token_files, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_language_id, op5_html_extraction, op7_near_dedup, op8_decontamination, op9_piece_codec, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_near_dedup, op8_decontamination, op9_piece_codec, op10_token_files)}
 
 OP8_SQL = r"""
 WITH d AS (
