@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, row_slices, text_bytes
-from .piece_memo import PieceMemo
+from .piece_memo import PieceMemo, joined
 
 MARK = "▁"
 _codecs: dict[str, PieceCodec] = {}
@@ -92,7 +92,7 @@ class PieceCodec:
         self.unknown = self.library.unk_id()
         plain = [p.piece for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.by_word = self.prefix and not self.trim and not spec.precompiled_charsmap and model.trainer_spec.model_type == 2 and not any(MARK in p.lstrip(MARK) for p in plain)
-        self.memo = PieceMemo(lambda words: self.library.encode(words, num_threads=1))
+        self.memo = PieceMemo(lambda words: joined(self.library.encode(words, num_threads=1)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each text."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, text_bytes
-from .piece_memo import PieceMemo
+from .piece_memo import Encoded, PieceMemo, encode_spaced, joined
 
 _ODD_SPACE = re.compile(r"\s | \s")
 _STABLE = re.compile(r"(?<=\S)(?= \S)")
@@ -42,20 +42,31 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = PieceMemo(lambda pieces: [[end for _, end in e.offsets] for e in self.library.encode_batch(pieces, add_special_tokens=False)])
+        self.memo = PieceMemo(self.spaced)
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before each stable space."""
-        if _ODD_SPACE.search(text):
-            return _STABLE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def raw(self, pieces: list[str]) -> Encoded:
+        """Ends of the tokens of each piece."""
+        return joined([[end for _, end in e.offsets] for e in self.library.encode_batch(pieces, add_special_tokens=False)])
+
+    def spaced(self, words: list[str]) -> Encoded:
+        """Ends of the tokens of each word with a space before it."""
+        found = encode_spaced(self.library, words)
+        return found[1:] if found else self.raw([" " + w for w in words])
 
     def __call__(self, text: str) -> np.ndarray:
-        pieces = self.pieces(text)
-        ends, counts = self.memo(pieces)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if _ODD_SPACE.search(text):
+            pieces = _STABLE.split(text)
+            ends, counts = self.raw(pieces)
+            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        else:
+            first, *words = text.split(" ")
+            ends, counts = self.raw([first])
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            if words:
+                more, more_counts = self.memo(words)
+                ends, counts, lengths = np.concatenate([ends, more]), np.concatenate([counts, more_counts]), np.r_[len(first), lengths]
+            else:
+                lengths = np.array([len(first)])
         return ends + np.repeat(np.cumsum(lengths) - lengths, counts)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, row_slices, shared_path, text_bytes
-from .piece_memo import PieceMemo
+from .piece_memo import Encoded, PieceMemo, encode_spaced, joined
 
 NULL_ID = -(1 << 63)
 _encoders: dict[str, WordEncoder] = {}
@@ -45,11 +45,20 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.memo = PieceMemo(lambda words: [e.ids for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)])
+        self.memo = PieceMemo(self.ids)
+
+    def ids(self, words: list[bytes]) -> Encoded:
+        """Ids of each word."""
+        words = [w.decode() for w in words]
+        found = encode_spaced(self.library, words)
+        if found:
+            return found[0], found[2]
+        return joined([e.ids for e in self.library.encode_batch(words, add_special_tokens=False)])
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids joined, and how many each text has."""
-        split = [t.split() for t in texts]  # bytes: at ASCII white space alone
+        # The tokenizer lower-cases: doing it first leaves fewer words to remember, but must not make special strings.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # bytes: at ASCII white space alone
         ids, counts = self.memo([w for words in split for w in words])
         before = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(before[np.cumsum([0, *map(len, split)])])
