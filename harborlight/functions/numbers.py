@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column, digits: int) -> Column:
-    """Rounded to ``digits`` places, halves up; the same formula in any SQL dialect."""
+    """Rounded to ``digits`` places, halves up; the same formula in any SQL dialect.
+
+    A millionth of the last place is added, so that a half that sums in another order misses is still a half.
+    """
     scale = 10.0**digits
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(x * F.lit(scale) + F.lit(0.500001)) / F.lit(scale)
 
 
 def lerp(x: Column, x0: float, y0: float, x1: float, y1: float) -> Column:

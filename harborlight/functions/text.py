@@ -25,16 +25,10 @@ def title_tokens(title: Column) -> Column:
 def simhash64(title: Column) -> Column:
     """SimHash of the title's tokens by the first eight bytes of their SHA-256, as a signed long; 0 without tokens."""
     hashes = F.transform(title_tokens(title), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 16), 16, -10).cast("long"))
-    # Each bit is set if more than half of the token hashes have it.
-    def bit(i: int) -> Column:
-        ones = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.shiftrightunsigned(h, i).bitwiseAND(1).cast("int"))
-        value = -(1 << 63) if i == 63 else 1 << i
-        return F.when(2 * ones > F.size(hashes), F.lit(value)).otherwise(F.lit(0)).cast("long")
-
-    out = bit(0)
-    for i in range(1, 64):
-        out = out.bitwiseOR(bit(i))
-    return out
+    # How many hashes have each bit, then the bits that more than half have.
+    ones = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda acc, h: F.transform(acc, lambda n, i: n + F.call_function("shiftrightunsigned", h, i).bitwiseAND(1).cast("int")))
+    bits = F.transform(ones, lambda n, i: F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def r(expression: str, digits: int) -> str:
     """Half-up rounding, as harborlight.functions.numbers.half_up."""
-    return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"
+    return f"floor(({expression}) * 1e{digits} + 0.500001) / 1e{digits}"
 
 
 def seconds(expression: str) -> str:
