@@ -10,7 +10,7 @@ from ..functions.text import clean_xml, safe_double
 _RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string>>>"
 _ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string,content:string>>"
 #: Time formats of feeds, tried in order.
-TIME_FORMATS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+TIME_FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 MARKET_ZONES = {"us": "America/New_York", "hk": "Asia/Hong_Kong", "cn": "Asia/Shanghai"}
 
 
@@ -40,8 +40,9 @@ def parse_feeds(payloads: DataFrame, item_limit: int = 50) -> DataFrame:
 def feed_time(text: Column, market: Column, now: Column | None = None) -> Column:
     """A feed's time as UTC: an explicit offset, else the market's zone; also Chinese relative times, given ``now``."""
     zone = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in MARKET_ZONES.items() for x in p)), market), F.lit("UTC"))
-    zoned = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS[:4]))
-    naive = F.coalesce(*(F.to_utc_timestamp(F.try_to_timestamp(text, F.lit(f)), zone) for f in TIME_FORMATS[4:]))
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")  # without the day of the week
+    zoned = F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in TIME_FORMATS[:4]))
+    naive = F.coalesce(*(F.to_utc_timestamp(F.try_to_timestamp(bare, F.lit(f)), zone) for f in TIME_FORMATS[4:]))
     out = F.coalesce(zoned, naive)
     if now is not None:
         n = F.regexp_extract(text, "(\\d+)\\s*(秒|分钟|小时|天)前", 1).try_cast("int")
