@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handed to a Python worker at once, and text bytes that the vectorised code handles at once.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

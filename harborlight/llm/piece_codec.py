@@ -92,7 +92,7 @@ class PieceCodec:
         self.unknown = self.library.unk_id()
         plain = [p.piece for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.by_word = self.prefix and not self.trim and not spec.precompiled_charsmap and model.trainer_spec.model_type == 2 and not any(MARK in p.lstrip(MARK) for p in plain)
-        self.memo = PieceMemo(lambda words: joined(self.library.encode(words, num_threads=1)))
+        self.memo = PieceMemo(lambda words: joined(self.library.encode(words, num_threads=1)), max_pieces=300_000)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each text."""
@@ -105,7 +105,7 @@ class PieceCodec:
                 whole.append(i)
         ids, counts = self.memo(words) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         before = np.concatenate([[0], np.cumsum(counts)])
-        for (i, first), last in zip(kept, [*[x for _, x in kept[1:]], len(words)], strict=True):
+        for (i, first), (_, last) in zip(kept, [*kept[1:], (None, len(words))], strict=False):
             out[i] = ids[before[first] : before[last]]
         for i, found in zip(whole, self.library.encode([texts[i] for i in whole], num_threads=1), strict=True):
             out[i] = np.array(found, np.int32)

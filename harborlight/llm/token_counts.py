@@ -42,7 +42,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo = PieceMemo(self.spaced)
+        self.memo = PieceMemo(self.spaced, max_pieces=600_000)
 
     def raw(self, pieces: list[str]) -> Encoded:
         """Ends of the tokens of each piece."""

@@ -44,7 +44,7 @@ def canonical_of(url: Column) -> Column:
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule (verdict, host, path) that fits, as struct<rule, verdict>, else null."""
-    best = F.lit(None)
+    best = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         best = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
