@@ -28,6 +28,7 @@ _TOKEN = re.compile(
     r"""<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[!?/][^>]*+>)""", re.S
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_BODY = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|\bdisplay\s*:\s*none\b|\baria-hidden\s*=\s*["']?true""", re.I)
 
 RAW = frozenset("script style noscript template iframe object svg textarea title math canvas audio video".split())
@@ -62,13 +63,13 @@ class Line:
     linked: int = 0
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, marks: frozenset[str]) -> bool:
     if "=" not in attributes and "hidden" not in attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
     words = (w for value in _ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-    return not MARKS.isdisjoint(words)
+    return not marks.isdisjoint(words)
 
 
 def page_lines(html: str) -> tuple[list[tuple[tuple[int, ...], str, int]], dict[int, str]]:
@@ -136,12 +137,14 @@ def page_lines(html: str) -> tuple[list[tuple[tuple[int, ...], str, int]], dict[
                 close(index)
             flush()
         parent = stack[-1]
-        inside = parent.boilerplate
-        if not inside and tag not in ("html", "body", *CONTENT):
-            inside = tag in BOILERPLATE and not (tag == "header" and any(tags[i] in CONTENT for i in parent.path)) or _marked(attributes)
+        inside, content = parent.boilerplate, tag in CONTENT or "=" in attributes and bool(_BODY.search(attributes))
+        if not inside and not content and tag not in ("html", "body"):
+            # A header inside the article holds its title.
+            marks = MARKS - {"header"} if any(tags[i] in CONTENT for i in parent.path) else MARKS
+            inside = tag in BOILERPLATE and not (tag == "header" and marks is not MARKS) or _marked(attributes, marks)
             inside = inside and lower.find(f"</{tag}", at) >= 0
         number = len(tags)
-        tags[number] = tag
+        tags[number] = "article" if content else tag
         stack.append(Element(tag, inside, number, parent.path if tag in INLINE else (*parent.path, number)))
         links += tag == "a"
         if tag not in INLINE:
@@ -194,6 +197,9 @@ def main_text(html: str | None) -> str:
             chosen = max(outer) if outer else -1
         if chosen >= 0:
             return "\n\n".join(text for path, text, _ in lines if chosen in path)
+    # Short blocks before the surge belong to the core if they are its first block's neighbours in one parent.
+    while first and lines[first - 1][0][:-1] == lines[first][0][:-1] and len(lines[first - 1][1]) > lines[first - 1][2]:
+        first -= 1
     return "\n\n".join(text for _, text, _ in lines[first:last])
 
 

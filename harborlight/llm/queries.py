@@ -46,7 +46,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("rep_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, row_slices, shared_path, text_bytes
-from .piece_memo import Encoded, PieceMemo, encode_spaced, joined
+from .common import PLAIN, bounded_batches, byte_table, materialize, row_slices, shared_path, split_words, text_bytes
+from .piece_memo import Encoded, encode_spaced, joined
+from .word_table import WordTable
 
 NULL_ID = -(1 << 63)
+_LOWER = byte_table(b"", lower=True)
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -45,23 +47,24 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.memo = PieceMemo(self.ids)
+        self.table = WordTable(self.ids)
 
     def ids(self, words: list[bytes]) -> Encoded:
         """Ids of each word."""
         words = [w.decode() for w in words]
         found = encode_spaced(self.library, words)
-        if found:
-            return found[0], found[2]
-        return joined([e.ids for e in self.library.encode_batch(words, add_special_tokens=False)])
+        return (found[0], found[2]) if found else joined([e.ids for e in self.library.encode_batch(words, add_special_tokens=False)])
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids joined, and how many each text has."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Encoded:
+        """All ids of the texts ``data[offsets[i]:offsets[i + 1]]`` joined, and how many each text has."""
         # The tokenizer lower-cases: doing it first leaves fewer words to remember, but must not make special strings.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # bytes: at ASCII white space alone
-        ids, counts = self.memo([w for words in split for w in words])
-        before = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(before[np.cumsum([0, *map(len, split)])])
+        lower = _LOWER[data]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <|
+        for i in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            lower[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+        words = split_words(lower, offsets, PLAIN)
+        ids, counts = self.table(lower, words)
+        return ids, np.bincount(words.row, counts, len(offsets) - 1).astype(np.int64)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +93,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
                 ids.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
                 data, offsets = text_bytes(batch.column(1))
                 for first, last in row_slices(offsets):
-                    texts = [data[a:b].tobytes() for a, b in zip(offsets[first:last], offsets[first + 1 : last + 1], strict=True)]
-                    tokens, n = with_end(*encode(texts), end_id)
+                    tokens, n = with_end(*encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), end_id)
                     out.write(tokens.astype(dtype).tobytes())
                     counts.append(n)
         ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)

@@ -171,6 +171,7 @@ def test_language_accuracy_and_priors(spark):
     [
         (None, ""), ("", ""), ("<p></p>", ""), ("plain", "plain"), ("a &lt;b&gt; &eacute;&#x41;", "a <b> éA"), ("a < b & c", "a < b & c"), ("<p>one<p>two", "one\n\ntwo"), ("<p>a<br>b <b>c</b>d</p>", "a b cd"), ("<script>var t='</p>';</script><p>x</p><style>p{}</style>", "x"),
         ("<nav>menu</nav><article><h1>T</h1><p>S.</p><aside>no</aside><p>E</p></article><footer>f</footer>", "T\n\nS.\n\nE"), ("<nav>never closed<p>body", "never closed\n\nbody"), ("<!-- <p>no</p> --><p title='a>b'>yes</p>", "yes"), ("<ul><li>a<li>b</ul>", "a\n\nb"), ("<p>x</p><!-- open", "x"),
+        ("<div class='page-header'>Site</div><div role='main'><div class='post-header'><h1>T</h1></div><p>S</p></div><div class=menu>m</div>", "T\n\nS"), ("<h1>T</h1><p>By X</p><p>May</p><p>.</p><p>" + "word " * 40 + "</p><p>End</p>", "T\n\nBy X\n\nMay\n\n.\n\n" + "word " * 39 + "word\n\nEnd"),
     ],
 )
 def test_extraction_cases(html, want):
@@ -552,3 +553,25 @@ def test_llm_is_optional(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize(("most", "longest"), [(1 << 20, 64), (5, 64), (1 << 20, 3)])
+def test_word_table_against_direct_encoding(most, longest):
+    from harborlight.llm.word_table import WordTable
+
+    asked = []
+
+    def encode(some):
+        asked.extend(some)
+        return np.array([b for w in some for b in w], np.int32), np.array([len(w) for w in some])
+
+    table, rng = WordTable(encode, most, longest), random.Random(17)
+    for _ in range(40):
+        texts = pa.array([" ".join(rng.choice("abxy") * rng.randrange(1, 20) for _ in range(rng.randrange(12))) for _ in range(5)])
+        data, offsets = common.text_bytes(texts)
+        found = common.split_words(data, offsets, common.PLAIN)
+        values, counts = table(data, found)
+        want = [w for t in texts.to_pylist() for w in t.encode().split()]
+        assert counts.tolist() == [len(w) for w in want] and values.tolist() == [b for w in want for b in w]
+    if most > 5 and longest == 64:
+        assert len(asked) == len(set(asked))
