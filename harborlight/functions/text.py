@@ -25,9 +25,9 @@ def title_tokens(title: Column) -> Column:
 def simhash64(title: Column) -> Column:
     """SimHash of the title's tokens by the first eight bytes of their SHA-256, as a signed long; 0 without tokens."""
     hashes = F.transform(title_tokens(title), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 16), 16, -10).cast("long"))
-    # How many hashes have each bit, then the bits that more than half have.
-    ones = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda acc, h: F.transform(acc, lambda n, i: n + F.call_function("shiftrightunsigned", h, i).bitwiseAND(1).cast("int")))
-    bits = F.transform(ones, lambda n, i: F.when(2 * n > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    # For each bit the hashes that have it less those that have not, then the bits where these are more than 0.
+    lead = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda acc, h: F.transform(acc, lambda n, i: n + 2 * F.call_function("shiftrightunsigned", h, i).bitwiseAND(1).cast("int") - 1))
+    bits = F.transform(lead, lambda n, i: F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
 
 

@@ -155,9 +155,11 @@ def near_titles(news: DataFrame, minutes: int = 60, duplicate: int = 3, gray: in
     """
     blocks = gray + 1
     width = 64 // blocks + 1
-    rows = news.select("news_id", "title", "effective_at", simhash64(F.col("title")).alias("h"), numeric_fingerprint(F.col("title")).alias("numbers")).where(F.size(title_tokens(F.col("title"))) >= 4)
-    rows = rows.withColumn("t", F.unix_micros(F.col("effective_at").cast("timestamp")))
-    rows = rows.withColumn("block", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(blocks)))))
+    # The hash is bound by a lambda, so that it is computed once for all its blocks.
+    parts = lambda h: F.array(*(F.struct(h.alias("h"), F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(h, i * width).bitwiseAND((1 << width) - 1).alias("v")).alias("block")) for i in range(blocks)))
+    rows = news.where(F.size(title_tokens(F.col("title"))) >= 4).select(
+        "news_id", numeric_fingerprint(F.col("title")).alias("numbers"), F.unix_micros(F.col("effective_at").cast("timestamp")).alias("t"), F.inline(F.flatten(F.transform(F.array(simhash64(F.col("title"))), parts)))
+    )
     span = minutes * 60_000_000
     left = rows.withColumn("bucket", F.floor(F.col("t") / span))
     right = rows.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("t") / span) + d for d in (-1, 0, 1)))))
