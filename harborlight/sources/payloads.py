@@ -1,9 +1,11 @@
 """Parsers of landed payloads: feeds, JSON and text protocols, page bodies, and their times."""
 
-from __future__ import annotations
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_xml, safe_double
 
@@ -114,3 +116,37 @@ def fenced_json(content: Column, schema: str) -> Column:
     """The JSON in an answer, with or without a code fence."""
     inner = F.regexp_extract(content, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     return F.from_json(F.when(inner != "", inner).otherwise(F.regexp_extract(content, r"(?s)(\{.*\})", 1)), schema)
+
+
+def anchors(html: Column, least: int = 1) -> Column:
+    """The links of a page with their text, as array<struct<url, title>>: first of each URL, titles of ``least`` characters on."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?[^"'\s>]+["']?[^>]*>.*?</a>"""), 0)
+    pairs = F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1).alias("url"), F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", " "), r"\s+", " ")).alias("title")))
+    kept = F.filter(pairs, lambda p: F.length(p["title"]) >= least)
+    urls = F.transform(kept, lambda p: p["url"])
+    return F.filter(kept, lambda p, i: F.array_position(urls, p["url"]) == i + 1)
+
+
+def embedded_array(content: Column, marker: str, item: str) -> Column:
+    """The JSON array that follows a marker in a script, as array of ``item``; brackets inside it are matched to depth 3."""
+    level = r"[^\[\]]*"
+    for _ in range(3):
+        level = rf"(?:[^\[\]]|\[{level}\])*"
+    text = F.regexp_extract(content, rf"(?s){marker}\s*(\[{level}\])", 1)
+    return F.from_json(F.when(text != "", text), f"array<{item}>")
+
+
+@F.pandas_udf(T.StringType())
+def decode_page(content: pd.Series, content_type: pd.Series) -> pd.Series:
+    """Page bytes as text: the charset of the header, else of the page's start, else UTF-8, with bad bytes replaced."""
+
+    def one(raw: bytes | None, header: str | None) -> str | None:
+        if raw is None:
+            return None
+        found = re.search(r"charset=[\"']?([\w-]+)", header or "") or re.search(r"charset=[\"']?([\w-]+)", raw[:2048].decode("ascii", "replace"))
+        try:
+            return raw.decode(found.group(1) if found else "utf-8", "replace")
+        except LookupError:
+            return raw.decode("utf-8", "replace")
+
+    return pd.Series([one(a, b) for a, b in zip(content, content_type, strict=True)])

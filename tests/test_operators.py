@@ -248,3 +248,13 @@ def test_transitions_and_states(spark):
     assert [r.allowed for r in rows] == [True, False]
     assert one(spark, rules.propose_state(F.lit("A"), F.lit(1.0), F.lit(0.9), F.lit(0.9), F.lit(0.9))) == "validating"
     assert one(spark, quant.lots(F.lit(100000.0), F.lit(0.08), F.lit(13.0))) == 600
+
+
+def test_page_parsers(spark):
+    html = """<A class=x HREF='/a'><b>One</b> two</A><a href="/a">again</a><a href=/b>B</a><a href="/c"> </a>"""
+    assert [tuple(x) for x in one(spark, payloads.anchors(F.lit(html)))] == [("/a", "One two"), ("/b", "B")]
+    page = 'x = {"list": [{"id": 1, "t": [1, [2]]}, {"id": 2}], "y": []}'
+    assert [x.id for x in one(spark, payloads.embedded_array(F.lit(page), '"list":', "struct<id:int>"))] == [1, 2]
+    assert one(spark, payloads.embedded_array(F.lit("none"), '"list":', "struct<id:int>")) is None
+    rows = spark.createDataFrame([(1, "中文".encode("gbk"), "text/html; charset=gbk"), (2, b'<meta charset="big5">' + "中".encode("big5"), None), (3, "é".encode(), "charset=nonsense"), (4, None, None)], "i int, b binary, h string")
+    assert {r.i: r.t for r in rows.select("i", payloads.decode_page("b", "h").alias("t")).collect()} == {1: "中文", 2: '<meta charset="big5">中', 3: "é", 4: None}
