@@ -12,18 +12,23 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name; times are UTC, as naive times are in the tables."""
+def query(sql: str | None = None, dates: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name; times are UTC, as naive times are in the tables.
+
+    ``dates`` names the columns that are dates: both sides give them as text, which compares alike everywhere.
+    """
+    days = dates.split()
 
     def add(f: Query) -> Query:
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
+            df = f(spark, sf_dir)
+            return df.withColumns({c: df[c].cast("string") for c in days}) if days else df
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in days)}) FROM ({sql})" if days else sql
         return run
 
     return add

@@ -17,7 +17,7 @@ _LAST20 = f"{_B}, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER B
 
 
 @query(f"""WITH {_LAST20}, a AS (SELECT symbol, count(*) AS n_bars, max(trade_date) AS last_date, median(CASE WHEN rn <= 20 THEN amount END) AS m FROM k GROUP BY 1), d AS (SELECT max(trade_date) AS market_date FROM b)
-SELECT symbol, n_bars, last_date, {r('m', 2)} AS median_amount, n_bars >= 120 AND last_date = market_date AND m >= 10000 AS in_universe, date_diff('day', last_date, market_date) > 5 AS stale FROM a, d""")
+SELECT symbol, n_bars, last_date, {r('m', 2)} AS median_amount, n_bars >= 120 AND last_date = market_date AND m >= 10000 AS in_universe, date_diff('day', last_date, market_date) > 5 AS stale FROM a, d""", dates="last_date")
 def quant_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Universe by bars, liquidity and staleness (AGG29, AGG36, FLT13)."""
     return quant.bar_universe(t.bars(spark, sf_dir), median_amount=1e4)
@@ -54,7 +54,7 @@ _FACTS_SQL = """SELECT 'P' || l_suppkey AS symbol, CASE l_linenumber % 3 WHEN 0
 
 
 @query(f"""WITH f AS ({_FACTS_SQL}) SELECT symbol, metric_key, period_end, {r('value', 6)} AS value, revision_no FROM f WHERE available_at <= DATE '2000-06-30'
-QUALIFY row_number() OVER (PARTITION BY symbol, metric_key ORDER BY period_end DESC, revision_no DESC, available_at DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY symbol, metric_key ORDER BY period_end DESC, revision_no DESC, available_at DESC) = 1""", dates="period_end")
 def point_in_time_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts as known at a cutoff (JN15, JN16, FLT14)."""
     return quant.known_fact(_facts(spark, sf_dir), F.lit("2000-06-30").cast("date")).select("symbol", "metric_key", "period_end", half_up(F.col("value"), 6).alias("value"), "revision_no")
@@ -67,7 +67,7 @@ _CLAMP = "coalesce(greatest({1}, least({2}, {0})), 0)"
 
 
 @query(f"""WITH {_FIN}, c AS (SELECT symbol, period_end, 0.4 * {_CLAMP.format('net_profit_yoy / 0.5', -1, 1)} + 0.3 * {_CLAMP.format('revenue_yoy / 0.5', -1, 1)} + 0.3 * {_CLAMP.format('roe / 20', 0, 1)} AS score FROM z)
-SELECT symbol, period_end, {r('score', 6)} AS score, floor(score * 1e6 + 0.500001) / 1e6 >= 0.25 AS watch FROM c""")
+SELECT symbol, period_end, {r('score', 6)} AS score, floor(score * 1e6 + 0.500001) / 1e6 >= 0.25 AS watch FROM c""", dates="period_end")
 def fundamental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest financials and the fundamental sleeve (JN17, DM20)."""
     f = quant.latest_financials(_facts(spark, sf_dir), ["net_profit_yoy", "revenue_yoy", "roe"], F.lit("2000-06-30").cast("date"))
@@ -115,7 +115,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.bars(spark, sf_dir).withColumn("main_inflow_1d", F.col("inflow")).withColumn("roe", F.col("volume")).withColumn("revenue_yoy", F.when(F.col("volume") % 2 == 0, F.col("close")))
 
 
-@query(f"WITH {_B} SELECT symbol, trade_date, coalesce(inflow > 20000, false) OR (coalesce(volume >= 40, false) AND coalesce(CASE WHEN volume % 2 = 0 THEN close END < 900, false)) AS go FROM b")
+@query(f"WITH {_B} SELECT symbol, trade_date, coalesce(inflow > 20000, false) OR (coalesce(volume >= 40, false) AND coalesce(CASE WHEN volume % 2 = 0 THEN close END < 900, false)) AS go FROM b", dates="trade_date")
 def rule_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule tree compiled to a column (FLT30, FLT31)."""
     return _features(spark, sf_dir).select("symbol", "trade_date", quant.compile_rule(_RULE).alias("go"))
@@ -158,7 +158,7 @@ def total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quant.total_return(bars, actions, F.lit(span["a"]), F.lit(span["z"]), F.lit(span["z"]))
 
 
-@query(f"WITH {_B} SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, max(trade_date) AS last_date, {r('count(DISTINCT symbol) * 100.0 / 6141', 2)} AS coverage FROM b")
+@query(f"WITH {_B} SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, max(trade_date) AS last_date, {r('count(DISTINCT symbol) * 100.0 / 6141', 2)} AS coverage FROM b", dates="last_date")
 def market_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, symbols and last date of the bars (AGG33, FE17)."""
     return t.bars(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.max("trade_date").alias("last_date"), half_up(F.count_distinct("symbol") * 100 / 6141, 2).alias("coverage"))
@@ -225,7 +225,7 @@ def usage_by_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.usage_by(t.usage(spark, sf_dir), ["operation_type"], _prices(spark))
 
 
-@query(_usage_sql("CAST(created_at AS DATE) AS day"))
+@query(_usage_sql("CAST(created_at AS DATE) AS day"), dates="day")
 def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token usage by day (AGG24, AGG25)."""
     return desk.usage_by(t.usage(spark, sf_dir), [F.to_date("created_at").alias("day")], _prices(spark))
@@ -374,7 +374,7 @@ def mention_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_B}, c AS (SELECT DISTINCT trade_date FROM b), n AS (SELECT DISTINCT CAST(published_at AS DATE) AS day FROM ({t.SIGNALS_SQL})), s AS (SELECT day, trade_date FROM (SELECT day - 8400 AS day FROM n) ASOF LEFT JOIN c ON day >= trade_date)
-SELECT day, trade_date FROM s""")
+SELECT day, trade_date FROM s""", dates="day trade_date")
 def news_anchor_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last trading day on or before each news day (JN13, JN14)."""
     from ..operators.asof import DAY, asof, micros

@@ -29,7 +29,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.parse_feeds(made.select("payload_id", content.alias("content"))).select("payload_id", "pos", "title", "url")
 
 
-@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {r('open', 4)} AS open, {r('close', 4)} AS close, {r('high', 4)} AS high, {r('low', 4)} AS low, volume, {r('amount', 2)} AS amount FROM b")
+@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {r('open', 4)} AS open, {r('close', 4)} AS close, {r('high', 4)} AS high, {r('low', 4)} AS low, volume, {r('amount', 2)} AS amount FROM b", dates="trade_date")
 def bar_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bar lines in JSON payloads of a symbol and year, made of the bars and parsed again (SRC29, SRC30, SRC31)."""
     b = t.bars(spark, sf_dir)
@@ -105,7 +105,7 @@ def fill_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), nw AS (SELECT symbol, trade_date, close * 2 AS close FROM b WHERE year(trade_date) = 2000), od AS (SELECT symbol, trade_date, close FROM b WHERE year(trade_date) < 2001)
-SELECT symbol, trade_date, {r('coalesce(nw.close, od.close)', 4)} AS close FROM od FULL JOIN nw USING (symbol, trade_date)""")
+SELECT symbol, trade_date, {r('coalesce(nw.close, od.close)', 4)} AS close FROM od FULL JOIN nw USING (symbol, trade_date)""", dates="trade_date")
 def bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars upserted by symbol and day, the later write wins (SNK06, SNK09, SNK10, SNK11)."""
     b = t.bars(spark, sf_dir).select("symbol", "trade_date", "close")

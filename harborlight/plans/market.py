@@ -89,7 +89,7 @@ def price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.window_change(t.quotes(spark, sf_dir))
 
 
-@query(t.BARS_SQL.replace("sum(CASE", "floor(sum(CASE").replace("(1 - l_discount)) AS inflow", "(1 - l_discount)) * 100 + 0.500001) / 100 AS inflow").replace("sum(l_extendedprice) AS amount", f"{r('sum(l_extendedprice)', 2)} AS amount"))
+@query(t.BARS_SQL.replace("sum(CASE", "floor(sum(CASE").replace("(1 - l_discount)) AS inflow", "(1 - l_discount)) * 100 + 0.500001) / 100 AS inflow").replace("sum(l_extendedprice) AS amount", f"{r('sum(l_extendedprice)', 2)} AS amount"), dates="trade_date")
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars and fund flow by symbol and day (SRC28, JN19, WIN05)."""
     return t.bars(spark, sf_dir).withColumn("amount", half_up(F.col("amount"), 2)).withColumn("inflow", half_up(F.col("inflow"), 2))
@@ -103,7 +103,7 @@ def _full(e: str, n: int) -> str:
     return f"CASE WHEN count(*) OVER {_frame(n)} = {n} THEN {r(e, 4)} END"
 
 
-@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, " + ", ".join(f"{_full(f'avg(close) OVER {_frame(n)}', n)} AS ma{n}" for n in (5, 10, 20, 60)) + " FROM b")
+@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, " + ", ".join(f"{_full(f'avg(close) OVER {_frame(n)}', n)} AS ma{n}" for n in (5, 10, 20, 60)) + " FROM b", dates="trade_date")
 def moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moving averages, null until full (WIN01, WIN07)."""
     return timeseries.moving_averages(t.bars(spark, sf_dir))
@@ -114,20 +114,20 @@ def _bands(kind: str) -> str:
     return f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {_full(mid, 20)} AS mid, {_full(f'{mid} + 2 * {dev}', 20)} AS upper, {_full(f'{mid} - 2 * {dev}', 20)} AS lower FROM b"
 
 
-@query(_bands("samp"))
+@query(_bands("samp"), dates="trade_date")
 def bollinger_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bollinger bands by sample deviation (WIN04)."""
     return timeseries.bollinger(t.bars(spark, sf_dir))
 
 
-@query(_bands("pop"))
+@query(_bands("pop"), dates="trade_date")
 def bollinger_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bollinger bands by population deviation (WIN10)."""
     return timeseries.bollinger(t.bars(spark, sf_dir), sample=False)
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS previous_close FROM b)
-SELECT symbol, trade_date, previous_close, {r('(close - previous_close) / nullif(previous_close, 0)', 6)} AS ret FROM p""")
+SELECT symbol, trade_date, previous_close, {r('(close - previous_close) / nullif(previous_close, 0)', 6)} AS ret FROM p""", dates="trade_date")
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previous close and daily return (WIN12, WIN13, WIN14, SRC25)."""
     return timeseries.daily_returns(t.bars(spark, sf_dir))
@@ -141,17 +141,17 @@ def volatility_20d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeseries.volatility(t.bars(spark, sf_dir))
 
 
-@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {r(f'avg(amount) OVER {_frame(20)}', 6)} AS adv FROM b")
+@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {r(f'avg(amount) OVER {_frame(20)}', 6)} AS adv FROM b", dates="trade_date")
 def rolling_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling 20-bar mean amount (WIN11)."""
     return timeseries.rolling_amount(t.bars(spark, sf_dir))
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) <= 30)
-SELECT symbol, list({r('close', 4)} ORDER BY trade_date) AS closes FROM l GROUP BY 1""")
+SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS INT) AS pos, {r('close', 4)} AS close FROM l""")
 def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last 30 closes (WIN06)."""
-    return timeseries.sparkline(t.bars(spark, sf_dir))
+    return timeseries.sparkline(t.bars(spark, sf_dir)).select("symbol", F.posexplode("closes").alias("pos", "close"))
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), a AS (SELECT symbol, max(high) AS hi, min(low) AS lo, arg_max(close, trade_date) AS last FROM b GROUP BY 1)
@@ -162,7 +162,7 @@ def range_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY trade_date) AS pc FROM b)
-SELECT symbol, trade_date, {r('(high - low) * 100 / nullif(pc, 0)', 4)} AS amplitude, CASE WHEN high > low THEN {r('(close - low) / (high - low)', 4)} END AS session_position FROM p""")
+SELECT symbol, trade_date, {r('(high - low) * 100 / nullif(pc, 0)', 4)} AS amplitude, CASE WHEN high > low THEN {r('(close - low) / (high - low)', 4)} END AS session_position FROM p""", dates="trade_date")
 def candle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amplitude and session position (FE01, FE02)."""
     return timeseries.candle_stats(t.bars(spark, sf_dir))
@@ -188,7 +188,7 @@ e AS (
     CASE WHEN v.i = 15 THEN up0 WHEN v.i > 15 THEN (up * 13 + greatest(ch, 0)) / 14 END, CASE WHEN v.i = 15 THEN down0 WHEN v.i > 15 THEN (down * 13 + greatest(-ch, 0)) / 14 END
   FROM e JOIN v ON v.symbol = e.symbol AND v.i = e.i + 1)
 SELECT symbol, trade_date, {r('e12 - e26', 4)} AS dif, {r('dea', 4)} AS dea, {r('e12 - e26 - dea', 4)} AS hist, {r('k', 4)} AS k, {r('d', 4)} AS d, {r('3 * k - 2 * d', 4)} AS j,
-  CASE WHEN i >= 15 THEN {r('CASE WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / down) END', 4)} END AS rsi FROM e""")
+  CASE WHEN i >= 15 THEN {r('CASE WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / down) END', 4)} END AS rsi FROM e""", dates="trade_date")
 def oscillators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MACD, KDJ, RSI and the EMA recurrences (WIN02, WIN03, WIN08, WIN09)."""
     return timeseries.oscillators(t.bars(spark, sf_dir))

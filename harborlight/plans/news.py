@@ -103,10 +103,10 @@ cards AS (SELECT topic_id, titles[1] AS event_title, {_type_sql("array_to_string
   FROM ts JOIN heads USING (topic_id) LEFT JOIN sl USING (topic_id) WHERE importance >= 0.55 OR news_count >= 2 OR len(coalesce(symbols, [])) > 0)"""
 
 
-@query(f"WITH {_CARDS} SELECT * FROM cards")
+@query(f"WITH {_CARDS} SELECT * REPLACE (array_to_string(symbols, ',') AS symbols, array_to_string(news_ids, ',') AS news_ids) FROM cards")
 def event_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event cards with decayed importance (TOP06, FLT17, CLS12, DM11, JN25)."""
-    return ops.event_cards(t.topics(spark, sf_dir), t.news(spark, sf_dir), t.mentions(spark, sf_dir), now()).drop("last_seen_at")
+    return ops.event_cards(t.topics(spark, sf_dir), t.news(spark, sf_dir), t.mentions(spark, sf_dir), now()).drop("last_seen_at").withColumn("symbols", F.array_join("symbols", ",")).withColumn("news_ids", F.array_join(F.col("news_ids").cast("array<string>"), ","))
 
 
 _WORDS = "list_filter(list_distinct(regexp_extract_all(lower(event_title), '[a-z0-9一-鿿]+')), lambda x: x NOT IN ('the','and','for','with','from','after','near','over','into'))"
@@ -143,14 +143,14 @@ def priority_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_N}, {_M}, d AS (SELECT DISTINCT news_id, symbol FROM m), j AS (SELECT *, CAST(effective_at + INTERVAL 8 HOUR AS DATE) AS day FROM n JOIN d USING (news_id))
 SELECT symbol, day, {r('avg(sentiment_score)', 4)} AS avg_score, count(*) AS n, count(*) FILTER (sentiment_label = 'positive') AS n_positive, count(*) FILTER (sentiment_label = 'neutral') AS n_neutral,
-  count(*) FILTER (sentiment_label = 'negative') AS n_negative FROM j GROUP BY 1, 2""")
+  count(*) FILTER (sentiment_label = 'negative') AS n_negative FROM j GROUP BY 1, 2""", dates="day")
 def sentiment_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment by symbol and Shanghai day (AGG11, DM07)."""
     return sentiment.timeline(t.news(spark, sf_dir), t.mentions(spark, sf_dir))
 
 
 @query(f"""WITH {_N}, {_M}, d AS (SELECT DISTINCT news_id, symbol FROM m), j AS (SELECT *, CAST(effective_at + INTERVAL 8 HOUR AS DATE) AS day FROM n JOIN d USING (news_id))
-SELECT symbol, day, CAST(row_number() OVER w AS INT) AS rank, news_id FROM j WINDOW w AS (PARTITION BY symbol, day ORDER BY abs(sentiment_score) DESC, news_id) QUALIFY row_number() OVER w <= 3""")
+SELECT symbol, day, CAST(row_number() OVER w AS INT) AS rank, news_id FROM j WINDOW w AS (PARTITION BY symbol, day ORDER BY abs(sentiment_score) DESC, news_id) QUALIFY row_number() OVER w <= 3""", dates="day")
 def timeline_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongest three news of each symbol and day (WIN19)."""
     return sentiment.top_of_day(t.news(spark, sf_dir), t.mentions(spark, sf_dir))

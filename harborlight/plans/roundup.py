@@ -90,7 +90,7 @@ def experiment_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_custkey AS symbol, min(CASE WHEN CAST(o_orderdate AS DATE) >= DATE '1997-01-01' THEN CAST(o_orderdate AS DATE) END) AS next_day,
-  count(*) FILTER (CAST(o_orderdate AS DATE) >= DATE '1997-01-01' AND date_diff('day', DATE '1997-01-01', CAST(o_orderdate AS DATE)) <= 90) AS n_within FROM orders GROUP BY 1""")
+  count(*) FILTER (CAST(o_orderdate AS DATE) >= DATE '1997-01-01' AND date_diff('day', DATE '1997-01-01', CAST(o_orderdate AS DATE)) <= 90) AS n_within FROM orders GROUP BY 1""", dates="next_day")
 def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next event of each symbol and events within 90 days (AGG53, FE12, FE13)."""
     o = t.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("day"))
@@ -147,13 +147,13 @@ def keyword_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.news(spark, sf_dir).where(any_term(F.lower(F.concat_ws(" ", "title", "summary")), ("thing", "avec"))).select("news_id")
 
 
-@query("""WITH p AS (SELECT conv_id % 5 AS tag, turn, conv_id * 100 + turn AS id FROM conversations) SELECT tag, count(*) AS n, CAST(sum(turn) AS BIGINT) AS sources, max(turn) AS priority, list(id ORDER BY id DESC)[1:5] AS newest FROM p GROUP BY 1""")
+@query("""WITH p AS (SELECT conv_id % 5 AS tag, turn, conv_id * 100 + turn AS id FROM conversations) SELECT tag, count(*) AS n, CAST(sum(turn) AS BIGINT) AS sources, max(turn) AS priority, array_to_string(list(id ORDER BY id DESC)[1:5], ',') AS newest FROM p GROUP BY 1""")
 def macro_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of posts: size, sums, greatest priority, five newest ids (AGG27)."""
     p = t.read(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("tag"), "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.spark_partition_id().alias("part"))
     # Each task keeps its own five before the lists meet.
     part = p.groupBy("tag", "part").agg(F.count("*").alias("n"), F.sum("turn").alias("s"), F.max("turn").alias("priority"), F.slice(F.sort_array(F.collect_list("id"), False), 1, 5).alias("ids"))
-    return part.groupBy("tag").agg(F.sum("n").alias("n"), F.sum("s").alias("sources"), F.max("priority").alias("priority"), F.slice(F.sort_array(F.flatten(F.collect_list("ids")), False), 1, 5).alias("newest"))
+    return part.groupBy("tag").agg(F.sum("n").alias("n"), F.sum("s").alias("sources"), F.max("priority").alias("priority"), F.array_join(F.slice(F.sort_array(F.flatten(F.collect_list("ids")), False), 1, 5).cast("array<string>"), ",").alias("newest"))
 
 
 @query("SELECT source, CAST(300 * least(pow(2, count(*) FILTER (n_chars < 300) % 9), 16) AS DOUBLE) AS delay FROM documents GROUP BY 1")
