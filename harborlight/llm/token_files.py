@@ -12,7 +12,7 @@ the tokens of all shards before it, is a prefix sum over the manifest, which has
 Readers map the files into memory.
 
 Defined cases: a null text is empty and gets the end id alone; rows that share an id follow each other
-in order of their texts; a null id comes first; an empty table has no documents; other columns are
+in order of a hash of their texts; a null id comes first; an empty table has no documents; other columns are
 ignored.
 """
 
@@ -77,8 +77,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    # The hash lets a range end between rows of one id, should very many rows share it.
+    rows = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
