@@ -72,6 +72,10 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
+#: Text bytes encoded at once: larger than elsewhere, as each time the table of known words is merged.
+ENCODE_BYTES = 2 << 20
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Write the shards below ``folder``; returns their manifest with bases (shard, path, dtype, n_docs, n_tokens, base)."""
     spark = docs.sparkSession
@@ -93,7 +97,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
             for batch in batches:
                 ids.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
                 data, offsets = text_bytes(batch.column(1))
-                for first, last in row_slices(offsets):
+                for first, last in row_slices(offsets, ENCODE_BYTES):
                     tokens, n = with_end(*encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]), end_id)
                     out.write(tokens.astype(dtype).tobytes())
                     counts.append(n)
