@@ -117,22 +117,78 @@ def decode_cursor(cursor: Column) -> Column:
 
 def normal_symbol(symbol: Column, market: Column) -> Column:
     """struct<symbol, market, provider_symbol> of a security code; null if it is no code."""
-    s = F.upper(F.trim(symbol))
-    six = F.regexp_extract(s, r"^(?:SH|SZ)?(\d{6})(?:\.(?:SH|SS|SZ))?$", 1)
-    shanghai = s.rlike(r"^SH\d{6}$|^\d{6}\.(SH|SS)$") | (s.rlike(r"^\d{6}$") & six.startswith("6"))
-    shenzhen = s.rlike(r"^SZ\d{6}$|^\d{6}\.SZ$") | (s.rlike(r"^\d{6}$") & six.rlike("^[03]"))
+    s, where = F.upper(F.trim(symbol)), F.lower(market)
+    six, digits, bare = F.regexp_extract(s, r"(\d{6})", 1), F.regexp_extract(s, r"(\d+)", 1), s.rlike(r"^\d{6}$")
+    shanghai = s.rlike(r"^SH\d{6}$|^\d{6}\.(SH|SS)$|^6\d{5}$")
+    shenzhen = s.rlike(r"^SZ\d{6}$|^\d{6}\.SZ$|^[03]\d{5}$")
+    hong_kong = s.rlike(r"^\d+\.HK$|^HK\d+$") | ((where == "hk") & s.rlike(r"^\d+$"))
     made = lambda name, where, provider: F.struct(name.alias("symbol"), F.lit(where).alias("market"), provider.alias("provider_symbol"))
-    digits = F.regexp_extract(s, r"^0*(\d{1,5})(?:\.HK)?$", 1)
-    hong_kong = s.rlike(r"^\d{1,5}\.HK$") | ((market == "hk") & s.rlike(r"^\d{1,5}$"))
     return (
-        F.when(shanghai, made(six, "cn", F.concat(six, F.lit(".SS"))))
-        .when(shenzhen, made(six, "cn", F.concat(six, F.lit(".SZ"))))
-        .when(hong_kong, made(F.regexp_replace(s, r"\.HK$", ""), "hk", F.concat(F.lpad(digits, 4, "0"), F.lit(".HK"))))
-        .when((market == "cn") | (s == ""), None)
-        .when(s.rlike(r"^[A-Z0-9.\-^]+$"), made(s, "us", s))
+        F.when(shanghai, made(F.concat(six, F.lit(".SH")), "cn", F.concat(six, F.lit(".SS"))))
+        .when(shenzhen, made(F.concat(six, F.lit(".SZ")), "cn", F.concat(six, F.lit(".SZ"))))
+        .when((where == "cn") & bare, None)
+        .when(hong_kong, made(s, "hk", F.concat(zero_filled(digits, 4), F.lit(".HK"))))
+        .when(s.rlike(r"^[.-]*[\p{L}\p{N}][\p{L}\p{N}.-]*$"), made(s, "us", s))
     )
 
 
+def zero_filled(digits: Column, width: int) -> Column:
+    """Zeros in front up to ``width``; longer text stays."""
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
+def symbol_spellings(symbol: Column, market: Column) -> Column:
+    """The ways in which a security may be written, as given first."""
+    raw, known = F.upper(F.trim(symbol)), normal_symbol(symbol, market)
+    code, exchange = F.substring_index(known["symbol"], ".", 1), F.substring_index(known["symbol"], ".", -1)
+    local = F.when(known["market"] == "cn", F.array(code, F.concat(exchange, code))).otherwise(F.array().cast("array<string>"))
+    return F.when(known.isNull(), F.array(raw)).otherwise(F.array_distinct(F.concat(F.array(raw, known["symbol"]), local)))
+
+
+def chart_symbol(provider_symbol: Column) -> Column:
+    """Exchange in lower case before the digits; null for other markets."""
+    s = F.upper(F.trim(provider_symbol))
+    digits = F.substring_index(s, ".", 1)
+    return (
+        F.when(s.rlike(r"^\d{6}\.S[SH]$"), F.concat(F.lit("sh"), digits))
+        .when(s.rlike(r"^\d{6}\.SZ$"), F.concat(F.lit("sz"), digits))
+        .when(s.rlike(r"^\d+\.HK$"), F.concat(F.lit("hk"), zero_filled(digits, 5)))
+    )
+
+
+def exchange_prefixed(symbol: Column) -> Column:
+    """The code behind 1. for Shanghai, else behind 0."""
+    s = F.upper(symbol)
+    return F.concat(F.when(s.rlike(r"^[^.]*\.SH$"), "1.").otherwise("0."), F.substring_index(s, ".", 1))
+
+
+def cashtags(text: Column) -> Column:
+    """Distinct $SYMBOLs of a text, upper-cased, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z][A-Za-z0-9._-]{0,9})"), 1), F.upper))
+
+
+def market_of_symbols(symbols: Column, default: Column) -> Column:
+    """The default if it is a market, else Hong Kong if a symbol says so, else the US."""
+    hong_kong = F.exists(symbols, lambda s: s.endswith(".HK") | s.startswith("HK"))
+    return F.when(default.isin("us", "hk", "cn"), default).when(hong_kong, "hk").otherwise("us")
+
+
+def post_id(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, r"/status/(\d+)", 1), F.lit(""))
+
+
+def plain_lower(text: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def search_queries(symbol: Column, name: Column, market: Column) -> Column:
+    """Search texts for a security, also in Chinese where its market or name calls for it."""
+    english = F.concat(name, F.lit(" "), symbol, F.lit(" stock news"))
+    chinese = F.when(is_cjk(name), F.concat(name, F.lit(" 最新消息"))).when(market.isin("cn", "hk"), F.concat(name, F.lit(" "), symbol, F.lit(" 股票 新闻")))
+    return F.array_compact(F.array(english, chinese))
+
+
 def board_of(symbol: Column) -> Column:
     """Board by code prefix."""
     return F.when(symbol.rlike("^(688|689)"), "star").when(symbol.rlike("^(300|301)"), "chinext").when(symbol.rlike("^[48]"), "bse").otherwise("main")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_xml, safe_double
+from ..functions.times import clock_time, spoken_time
 
 _RSS = "channel struct<item:array<struct<title:string,link:string,pubDate:string,description:string>>>"
 _ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string,content:string>>"
@@ -47,16 +48,7 @@ def feed_time(text: Column, market: Column, now: Column | None = None) -> Column
     naive = F.coalesce(*(F.to_utc_timestamp(F.try_to_timestamp(bare, F.lit(f)), zone) for f in TIME_FORMATS[4:]))
     out = F.coalesce(zoned, naive)
     if now is not None:
-        n = F.regexp_extract(text, "(\\d+)\\s*(秒|分钟|小时|天)前", 1).try_cast("int")
-        unit = F.regexp_extract(text, "(\\d+)\\s*(秒|分钟|小时|天)前", 2)
-        size = F.when(unit == "秒", 1).when(unit == "分钟", 60).when(unit == "小时", 3600).when(unit == "天", 86400)
-        ago = F.timestamp_seconds(F.unix_timestamp(now) - n * size)
-        clock, days = F.regexp_extract(text, "(\\d{1,2}:\\d{2})", 1), F.when(F.contains(text, F.lit("昨天")), 1).when(F.contains(text, F.lit("前天")), 2).otherwise(0)
-        local_day = F.date_sub(F.to_date(F.from_utc_timestamp(now, zone)), days)
-        at = F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", local_day.cast("string"), clock), F.lit("yyyy-MM-dd H:mm")), zone)
-        # A bare clock more than two hours ahead is yesterday's.
-        at = F.when((days == 0) & (F.unix_timestamp(at) - F.unix_timestamp(now) > 7200), at - F.expr("interval 1 day")).otherwise(at)
-        out = F.coalesce(out, ago, F.when(clock != "", at), F.when(F.contains(text, F.lit("刚刚")), now))
+        out = F.coalesce(out, spoken_time(text, market, now), clock_time(text, market, now))
     return out
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harborlight.functions import numbers, rules, text
+from harborlight.functions import numbers, rules, text, times
 from harborlight.operators import asof, backtest, desk, news, quant, sentiment, timeseries, upsert
 from harborlight.sources import payloads
 
@@ -97,7 +97,7 @@ def test_url_keys(spark):
 
 
 def test_symbols(spark):
-    cases = [("600000", None, ("600000", "cn", "600000.SS")), ("sz000001", None, ("000001", "cn", "000001.SZ")), ("000001.SZ", "cn", ("000001", "cn", "000001.SZ")), ("700.HK", None, ("700", "hk", "0700.HK")), ("aapl", "us", ("AAPL", "us", "AAPL")), ("900001", "cn", None), ("123456", None, ("123456", "us", "123456")), ("", None, None)]
+    cases = [("600000", None, ("600000.SH", "cn", "600000.SS")), ("sz000001", None, ("000001.SZ", "cn", "000001.SZ")), ("000001.SZ", "cn", ("000001.SZ", "cn", "000001.SZ")), ("700.HK", None, ("700.HK", "hk", "0700.HK")), ("aapl", "us", ("AAPL", "us", "AAPL")), ("900001", "cn", None), ("123456", None, ("123456", "us", "123456")), ("", None, None), ("hk00700", None, ("HK00700", "hk", "00700.HK")), ("5", "hk", ("5", "hk", "0005.HK")), ("brk.b", "cn", ("BRK.B", "us", "BRK.B")), ("^x", None, None)]
     rows = spark.createDataFrame([(i, s, m) for i, (s, m, _) in enumerate(cases)], "i int, s string, m string").select("i", text.normal_symbol(F.col("s"), F.col("m")).alias("n")).collect()
     assert {r.i: r.n and tuple(r.n) for r in rows} == {i: want for i, (_, _, want) in enumerate(cases)}
 
@@ -258,3 +258,52 @@ def test_page_parsers(spark):
     assert one(spark, payloads.embedded_array(F.lit("none"), '"list":', "struct<id:int>")) is None
     rows = spark.createDataFrame([(1, "中文".encode("gbk"), "text/html; charset=gbk"), (2, b'<meta charset="big5">' + "中".encode("big5"), None), (3, "é".encode(), "charset=nonsense"), (4, None, None)], "i int, b binary, h string")
     assert {r.i: r.t for r in rows.select("i", payloads.decode_page("b", "h").alias("t")).collect()} == {1: "中文", 2: '<meta charset="big5">中', 3: "é", 4: None}
+
+
+@pytest.mark.parametrize(
+    ("raw", "market", "want"),
+    [
+        ("1.5小时前", "cn", dt.datetime(2024, 1, 1, 10, 30)), ("2 个星期之前", None, dt.datetime(2023, 12, 18, 12)), ("发布于 前天 9时5分7秒", "hk", dt.datetime(2023, 12, 30, 1, 5, 7)), ("今天", "cn", dt.datetime(2023, 12, 31, 16)), ("昨天 25:00", "cn", None),
+        ("2023年7月5日 10:00", "us", dt.datetime(2023, 7, 5, 14)), ("12-31 08:00", "cn", dt.datetime(2023, 12, 31)), ("1月2日", "cn", dt.datetime(2024, 1, 1, 16)), ("02-30", "cn", None), ("Just Now", "us", dt.datetime(2024, 1, 1, 12)), ("", "cn", None), (None, "cn", None),
+    ],
+)
+def test_spoken_times(spark, raw, market, want):
+    now = F.lit(dt.datetime(2024, 1, 1, 12)).cast("timestamp")
+    assert one(spark, times.spoken_time(F.lit(raw).cast("string"), F.lit(market).cast("string"), now)) == want
+
+
+def test_quiet_hours_end_and_bounds(spark):
+    end = lambda s: one(spark, times.next_time_of_day(F.lit(s).cast("timestamp"), 7, 0, "Asia/Shanghai"))
+    assert end("2024-01-01 22:00:00") == dt.datetime(2024, 1, 1, 23) and end("2024-01-01 23:00:00") == dt.datetime(2024, 1, 2, 23)
+    assert [one(spark, times.clamp_days(F.lit(x).cast("int"))) for x in (None, 0, 5, 100)] == [30, 1, 5, 90]
+    assert one(spark, times.hour_bucket(F.lit(None).cast("timestamp"))) == "unknown"
+
+
+def test_symbol_spellings(spark):
+    of = lambda s, m=None: one(spark, text.symbol_spellings(F.lit(s), F.lit(m).cast("string")))
+    assert of(" sh600000") == ["SH600000", "600000.SH", "600000"] and of("000001.sz") == ["000001.SZ", "000001", "SZ000001"] and of("brk.b") == ["BRK.B"] and of("^x") == ["^X"]
+    assert [one(spark, text.chart_symbol(F.lit(s))) for s in ("600000.SS", "000001.sz", "700.HK", "AAPL", None)] == ["sh600000", "sz000001", "hk00700", None, None]
+
+
+def test_stored_keys_and_reviews(spark):
+    from harborlight.operators import reviews
+
+    rows = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "b", "y"), (3, "b", "y"), (4, "x", None)], "id long, k string, v string")
+    stored = spark.createDataFrame([("q", "y"), (None, "x"), ("a", None), ("a", None)], "k string, v string")
+    assert {r.id: r.known for r in reviews.stored_already(rows, stored, "id", ["k", "v"]).collect()} == {1: True, 2: False, 3: True, 4: False}
+    moves = [("discovered", "watch", "r"), ("watch", "qualified", "r"), ("watch", "qualified", " "), ("expired", "watch", "r"), ("validating", "expired", None)]
+    df = spark.createDataFrame(moves, "a string, b string, r string")
+    assert [r.x for r in df.select(reviews.may_follow(F.col("a"), F.col("b"), F.col("r")).alias("x")).collect()] == [False, True, False, False, False]
+    assert [one(spark, reviews.retry_seconds(F.lit(n))) for n in (0, 1, 2, 9)] == [30, 30, 120, 1800]
+
+
+def test_story_parts_fold_only_long_tails(spark):
+    from harborlight.operators import reviews
+
+    for n in (0, 3, 16, 17, 40):
+        rows = spark.range(n).select("id", F.lit("p").alias("page"))
+        got = [r.part for r in reviews.story_parts(rows, ["page"], [F.col("id")]).orderBy("id").collect()]
+        stream = max(0, n - 4)
+        cut = max(10, -(-stream * 7 // 10))
+        folded = stream - cut if stream - cut >= 3 else 0
+        assert got == (["lead"] + ["supporting"] * 3)[:n] + ["stream"] * (stream - folded) + ["folded"] * folded
