@@ -307,3 +307,15 @@ def test_story_parts_fold_only_long_tails(spark):
         cut = max(10, -(-stream * 7 // 10))
         folded = stream - cut if stream - cut >= 3 else 0
         assert got == (["lead"] + ["supporting"] * 3)[:n] + ["stream"] * (stream - folded) + ["folded"] * folded
+
+
+def test_provider_payloads(spark):
+    from harborlight.sources import providers
+
+    board = '{"f12":"BK1","f14":"Steel","f2":"12.5","f3":"-","f104":"7","f105":3,"f106":null,"f62":1e6}'
+    content = [f'{{"data":{{"diff":[{board},{{"f14":"no code"}}]}}}}', f'{{"data":{{"diff":{{"0":{board}}}}}}}', '{"data":null}', "junk", None]
+    rows = providers.parse_boards(spark.createDataFrame(list(enumerate(content)), "payload_id long, content string")).collect()
+    assert sorted(map(tuple, rows)) == [(i, "BK1", "Steel", 12.5, None, 7, 3, None, 1e6) for i in (0, 1)]
+    facts = '{"result":{"data":[{"REPORT_DATE":"2023-12-31 00:00:00","NOTICE_DATE":"2024-03-01 00:00:00","SECURITY_CODE":"600000","EPS":1.5,"YOY":"25"},{"REPORT_DATE":"2023-09-30","EPS":null},{"EPS":3}]}}'
+    found = providers.parse_facts(spark.createDataFrame([("a", facts), ("b", "{}"), ("c", None)], "symbol string, content string"), {"eps": "EPS", "net_profit_yoy": "YOY"}, ("net_profit_yoy",)).collect()
+    assert sorted(map(tuple, found)) == [("A", dt.date(2023, 12, 31), k, v, dt.date(2024, 3, 1), "600000") for k, v in (("eps", 1.5), ("net_profit_yoy", 0.25))]
