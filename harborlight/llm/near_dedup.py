@@ -9,7 +9,10 @@ arrival.  Registers of two texts agree with the probability Jaccard similarity o
 Texts that agree in all registers of a band share a bucket.  No bucket's pairs are listed: its pivot,
 the member with most company over all buckets, is paired with the others, and each pair's probability
 Jaccard similarity is computed exactly from both texts.  Where a bucket still holds several classes,
-the members outside the pivot's class take a new pivot, until a round finds no further link.
+the members outside the pivot's class take a new pivot, until a round finds no further link.  Then the
+members of each bucket are held against those of its other classes, class members included: the shares
+of two texts' shingles in groups of hashes overlap by at least their similarity, and every pair that this
+bound leaves is verified.  So two texts that share a bucket and are alike are always in one class.
 
 At similarity s two texts share a bucket with probability 1 - (1 - s ** 4) ** 32: over 0.9999999 at 0.8.
 
@@ -34,6 +37,8 @@ from .pair_texts import with_texts
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 REGISTERS = BANDS * ROWS
+#: Groups of hashes that the bound is taken over, members of a bucket that are compared at once, and what rounding may take from a bound.
+GROUPS, CHUNK, SLACK = 256, 256, 0.002
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +167,85 @@ def apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(joined.where(F.coalesce("component", "id") != F.coalesce("main", "pivot")).drop("component", "main"), "residue")
 
 
+def with_shares(texts: DataFrame) -> DataFrame:
+    """id and the shares of its shingles in each group of hashes, as half floats."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(np.bincount((h % np.uint64(GROUPS)).astype(np.int64), w, GROUPS) / max(1, w.sum())).astype(np.float16).tobytes() for h, w in text_sets(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shares"])
+
+    return map_arrow(texts.select("id", "text"), run, "id long, shares binary")
+
+
+def possible_pairs(units: pa.Array, threshold: float) -> pa.RecordBatch:
+    """a, b and bound of the pairs of each unit that differ in class and may reach the threshold.
+
+    A similarity is a sum over the common shingles of at most the lesser of their two shares, so it is at
+    most the sum of the lesser shares of each group.  A unit holds (outer, left, id, component, shares).
+    """
+    flat, edges = units.flatten(), units.offsets.to_numpy() - units.offsets[0].as_py()
+    outer, left, ids, classes = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    shares = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.float16).reshape(-1, GROUPS)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        x, y = first + np.flatnonzero(left[first:last]), first + np.flatnonzero(~left[first:last])
+        theirs = shares[y].astype(np.float32)
+        for i in x:
+            open_ = np.flatnonzero((classes[y] != classes[i]) & (~outer[y] | (ids[y] > ids[i])))
+            bound = np.minimum(theirs[open_], shares[i].astype(np.float32)).sum(1)
+            some = bound >= threshold - SLACK
+            at = y[open_[some]]
+            parts.append((np.full(len(at), ids[i]), ids[at], bound[some]))
+    a, b, bound = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(bound, pa.float32())], ["a", "b", "bound"])
+
+
+def unsettled(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b and bound of all pairs of different classes that share a bucket and may be alike.
+
+    The members outside a bucket's largest class are dealt into chunks, and each chunk is compared with
+    each chunk of the whole bucket.
+    """
+    named = materialize(members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "bucket-classes")
+    classes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = classes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
+    mixed = materialize(named.join(materialize(buckets, "mixed-buckets"), "key"), "mixed-members")
+    shares = materialize(with_shares(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "shares")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    mixed = mixed.join(shares, "id").withColumns({"outer": F.col("component") != F.col("main"), "lefts": chunks(F.col("all") - F.col("most")), "rights": chunks(F.col("all"))})
+
+    def side(rows: DataFrame, left: bool, own: str, other: str) -> DataFrame:
+        dealt = rows.select("*", F.pmod(F.xxhash64("id"), own).cast("int").alias("__own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("__other"))
+        i, j = ("__own", "__other") if left else ("__other", "__own")
+        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("outer", F.lit(left).alias("left"), "id", "component", "shares").alias("m"))
+
+    both = side(mixed.where("outer"), True, "lefts", "rights").union(side(mixed, False, "rights", "lefts"))
+    units = both.groupBy("key", "i", "j").agg(F.collect_list("m").alias("unit")).select("unit")
+    found = map_arrow(units, lambda batch: possible_pairs(batch.column(0), threshold), "a long, b long, bound float")
+    return found.groupBy("a", "b").agg(F.max("bound").alias("bound"))
+
+
+def settled(links: DataFrame, tried: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The labels with the links of all pairs that share a bucket and are alike; ``tried`` are the pairs verified before."""
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = materialize(unsettled(members, labels, texts, threshold).join(done, ["a", "b"], "left_anti"), "unsettled")
+    for every in (False, True):
+        # First the likeliest pair of each text with each class: where it links them, their other pairs are settled.
+        label = lambda of, out: labels.select(F.col("id").alias(of), F.col("component").alias(out))  # noqa: B023, E731
+        left = left.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+        left = materialize(left.where("ca <> cb"), "unsettled")
+        if left.isEmpty():
+            break
+        best = lambda of, c: left.groupBy(of, c).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.*")  # noqa: B023, E731
+        pairs = left.select("a", "b") if every else materialize(best("a", "cb").union(best("b", "ca")).distinct(), "best-pairs")
+        found = materialize(verified(pairs, texts, threshold), "links")
+        if not found.isEmpty():
+            links = materialize(links.union(found), "links")
+            labels = components(links)
+        left = (left if every else left.join(pairs, ["a", "b"], "left_anti")).select("a", "b", "bound")
+    return labels
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row for each row of ``docs``: id, class_id (the least id of its class) and rep_id (of its exact copies)."""
     ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
@@ -198,7 +282,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     while not stars.isEmpty():
         # Then against the others; what stays apart from its pivot takes a new one, until a whole round finds nothing.
         pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        found = materialize(verified(pairs if fresh else pairs.join(tried, ["a", "b"], "left_anti"), texts, threshold), "links")
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried-pairs")
+        tried = tried.union(pairs)
+        found = materialize(verified(pairs, texts, threshold), "links")
         if not found.isEmpty():
             links = materialize(links.union(found), "links")
             labels = components(links)
@@ -206,6 +292,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
         elif fresh:
             break
         stars, fresh = apart(with_pivots(stars.select("key", "id", "company")), labels), True
+    labels = settled(links, tried, members, texts, labels, threshold)
     classes = distinct.select("digest", F.col("id").alias("rep_id")).join(labels.withColumnRenamed("id", "rep_id"), "rep_id", "left")
     joined = rows.drop("keys").join(materialize(classes, "classes"), "digest", "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("component", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"))

@@ -363,6 +363,37 @@ def test_classes_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs(spark, []).columns
 
 
+def test_classes_join_all_like_texts_of_a_bucket(spark):
+    # One template with fillings of different length: many texts are like others, but not like the pivot of their bucket.
+    rng = random.Random(3)
+    template = words(rng, 180)
+    texts = [" ".join(template + words(rng, rng.randrange(4, 44), 10**6)) for _ in range(400)]
+    keys, sets = near_dedup.band_keys(pa.array(texts)), near_dedup.text_sets(pa.array(texts))
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and set(keys[i]) & set(keys[j]) and near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+                top[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_possible_pairs_bound_the_similarity():
+    rng = random.Random(5)
+    texts = pa.array([" ".join(words(rng, rng.randrange(5, 300), 40)) for _ in range(60)])
+    sets = near_dedup.text_sets(texts)
+    shares = [np.bincount((h % np.uint64(near_dedup.GROUPS)).astype(int), w, near_dedup.GROUPS) / w.sum() for h, w in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            assert near_dedup.similarity(sets[i], sets[j]) <= np.minimum(shares[i], shares[j]).sum() + 1e-9
+
+
 def test_classes_with_odd_ids(spark):
     rng = random.Random(13)
     a, b = " ".join(words(rng, 50)), " ".join(words(rng, 50))
