@@ -4,8 +4,9 @@ Markup is stripped into one line for each block of text, in page order; scripts,
 are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.  The
 text lengths (link text apart) are summed over sliding windows of lines.  A region begins at a surge,
 where a window's sum passes the threshold, and ends at the dive, where the sums fall to nothing; the
-region with the most text is the core.  The result is every remaining line of the smallest element that
-holds nearly all of the core, or the core alone if that element is the whole page.
+region with the most text is the core.  The result is every remaining line of the outermost article and
+main elements of the core, if they hold all of it, or else of the smallest element that does.  If that is
+the whole page, it is the core with the article and main elements that it touches.
 
 Defined cases: null and empty pages, and pages without text, have an empty text; unclosed elements end
 with their parent, and a boilerplate element that is never closed is read as ordinary text; repeated
@@ -44,6 +45,7 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations widget pagination pager skip complementary contentinfo".split()
 )
 CONTENT = frozenset(("article", "main"))
+_LOWER = {i: i + 32 for i in range(65, 91)}
 WINDOW = 3
 THRESHOLD = 80
 
@@ -75,6 +77,8 @@ def _marked(attributes: str, marks: frozenset[str]) -> bool:
 def page_lines(html: str) -> tuple[list[tuple[tuple[int, ...], str, int]], dict[int, str]]:
     """Blocks outside boilerplate as (path of element numbers, text, characters in links); tags by number."""
     lower = html.lower()
+    if len(lower) != len(html):  # some letters are longer in lower case, which would shift all positions
+        lower = html.translate(_LOWER)
     stack = [Element("", False, 0, ())]
     tags, lines, line, links, at = {0: ""}, [], Line(()), 0, 0
 
@@ -182,17 +186,16 @@ def main_text(html: str | None) -> str:
         return ""
     core = core_region([len(text) - linked for _, text, linked in lines])
     first, last = core or (0, len(lines))
-    weight: dict[int, int] = {}
-    for path, text, linked in lines[first:last]:
-        for element in path:
-            weight[element] = weight.get(element, 0) + len(text) - linked + 1
-    total = sum(len(text) - linked + 1 for _, text, linked in lines[first:last])
-    holders = [e for e, w in weight.items() if w >= 0.9 * total and tags[e] not in ("html", "body")]
-    content = [e for e in weight if tags[e] in CONTENT and weight[e] >= 0.5 * total]
-    if content or holders:
+    held = [path for path, text, linked in lines[first:last] if len(text) > linked] or [path for path, _, _ in lines[first:last]]
+    outermost = [next((e for e in path if tags[e] in CONTENT), 0) for path in held]
+    content = set(outermost) - {0}
+    if all(outermost):
+        return "\n\n".join(text for path, text, _ in lines if not content.isdisjoint(path))
+    holders = [e for e in set(held[0]).intersection(*held) if tags[e] not in ("html", "body")]
+    if holders:
         # Elements are numbered as they open, so the largest number is the innermost.
-        chosen = max(content) if content else max(holders)
-        if not content and tags[chosen] in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
+        chosen = max(holders)
+        if tags[chosen] in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
             outer = [e for e in holders if e < chosen and tags[e] not in ("p", "li", "td", "blockquote", "pre")]
             chosen = max(outer) if outer else -1
         if chosen >= 0:
@@ -200,7 +203,7 @@ def main_text(html: str | None) -> str:
     # Short blocks before the surge belong to the core if they are its first block's neighbours in one parent.
     while first and lines[first - 1][0][:-1] == lines[first][0][:-1] and len(lines[first - 1][1]) > lines[first - 1][2]:
         first -= 1
-    return "\n\n".join(text for _, text, _ in lines[first:last])
+    return "\n\n".join(text for i, (path, text, _) in enumerate(lines) if first <= i < last or not content.isdisjoint(path))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -192,6 +192,19 @@ def test_extraction_drops_boilerplate_around_article():
         assert html_extraction.main_text(page) == "\n\n".join(blocks)
 
 
+def test_extraction_keeps_the_whole_core():
+    a, b, c = ("one " * 60).strip(), ("two " * 40).strip(), ("six " * 5).strip()
+    for page, want in (
+        (f"<main><article><p>{a}</p></article><article><p>{b}</p></article></main>", (a, b)),
+        (f"<div><article><p>{a}</p></article><article><p>{b}</p></article></div>", (a, b)),
+        (f"<main><article><p>{a}</p></article><p>{b}</p></main>", (a, b)),
+        (f"<article><p>{a}</p></article><div><p>{b}</p></div>", (a, b)),
+        (f"<div><div><p>{a}</p><p>{b}</p></div><div><p>{c}</p></div></div>", (a, b, c)),
+        (f"<p>{'İ' * 20}</p><script>x</script><p>{a}</p>", ("İ" * 20, a)),
+    ):
+        assert html_extraction.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
+
+
 def test_extraction_without_containers_uses_surge_and_dive():
     assert html_extraction.core_region([3, 0, 0, 0, 200, 5, 180, 0, 0, 0, 4]) == (4, 7)
     assert html_extraction.core_region([]) is None and html_extraction.core_region([1, 2, 3]) is None
