@@ -17,14 +17,19 @@ SLICE_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a worker."""
+    """Limit Arrow batches by bytes, so that a run of very long texts cannot fill a worker.
+
+    Spark reads the setting when a query runs, so it stays set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of its own only where none is set."""
+    """The folder that driver and executors share; one of its own only in local mode, where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         folder = tempfile.mkdtemp(prefix="harborlight-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,6 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
     bounded_batches(df.sparkSession)
@@ -87,36 +100,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 8 * SLICE_BYTES:
-            _powers[base] = have
-    return have
+#: Spans longer than this are hashed in blocks of it.
+_BLOCK = 512
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position (and from the end) on, as little-endian integers; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.tobytes(), strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, mixed eight bytes at a time: spans of up to eight bytes and one length never collide.
+
+    A hash only groups spans that are likely equal; where equality decides a result, ``equal_spans`` checks it.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _GOLDEN)
+    some = np.flatnonzero(sizes <= _BLOCK)
+    word, at, left = eights(data), starts[some], sizes[some]
+    while len(some):
+        part = np.minimum(left, 8)
+        out[some] = mix(out[some] ^ (word[at] & _MASKS[part])) + _GOLDEN
+        going = np.flatnonzero(left > 8)
+        some, at, left = some[going], at[going] + 8, left[going] - 8
+    long = np.flatnonzero(sizes > _BLOCK)
+    if len(long):
+        blocks = -(-sizes[long] // _BLOCK)
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(blocks.sum()) - np.repeat(first, blocks)
+        begin = np.repeat(starts[long], blocks) + number * _BLOCK
+        parts = span_hash(data, begin, np.minimum(begin + _BLOCK, np.repeat(ends[long], blocks)))
+        out[long] = mix(out[long] + np.add.reduceat(mix(parts ^ mix(number.astype(np.uint64) * _GOLDEN)), first))
+    return out
 
 
-class SpanHash:
-    """Equal byte spans have equal 64-bit values: prefix sums of a polynomial, one pass over the bytes."""
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a[i] and from b[i] on are equal for sizes[i] bytes."""
+    out = np.ones(len(sizes), bool)
+    full = np.flatnonzero((sizes > 0) & (a != b))
+    for some in np.array_split(full, max(1, int(sizes[full].sum()) // (4 * SLICE_BYTES))):
+        if len(some):
+            n = sizes[some]
+            first = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(first, n)
+            differ = data[np.repeat(a[some], n) + step] != data[np.repeat(b[some], n) + step]
+            out[some] = np.add.reduceat(differ, first, dtype=np.int64) == 0
+    return out
 
-    def __init__(self, data: np.ndarray) -> None:
-        n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(_BASE, n)[:n], out=self.sums[1:])
-        self.inverse = _power(_BASE_INVERSE, n)
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span; two spans have one number if and only if their bytes are equal."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes = ends - starts
+    like = first[number]
+    same = (sizes == sizes[like]) & equal_spans(data, starts, starts[like], np.minimum(sizes, sizes[like]))
+    odd: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # one hash for two texts
+        number[i] = len(first) + odd.setdefault(data[starts[i] : ends[i]].tobytes(), len(odd))
+    return number
 
 
 def byte_table(separators: bytes, lower: bool) -> np.ndarray:
@@ -169,7 +213,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Wor
     closes[edge] = inside[edge]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return Words(row, start, end, SpanHash(mapped)(start, end))
+    return Words(row, start, end, span_hash(mapped, start, end))
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLAIN, SpanHash, code_points, map_arrow, materialize, mix, row_slices, split_words, text_bytes
+from .common import PLAIN, code_points, map_arrow, materialize, mix, row_slices, span_hash, span_numbers, split_words, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -73,13 +73,21 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
         starts[fresh] = offsets[row[fresh]]
         has_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
         row, starts, ends = row[has_word], starts[has_word], ends[has_word]
-        key = SpanHash(data)(starts, ends) ^ mix(row.astype(np.uint64) + np.uint64(1))
+        same = span_numbers(data, starts, ends, span_hash(data, starts, ends))
         out["n_lines"][first:last] = count(row)
-        out["n_dup_lines"][first:last] = count(row) - count(row[np.unique(key, return_index=True)[1]])
+        out["n_dup_lines"][first:last] = count(row) - count(row[np.unique(row * (len(row) + 1) + same, return_index=True)[1]])
 
+        # Windows that may be repeats by hash are then held against each other by the numbers of their words.
         at, hashes = words.windows(5)
         _, inverse, times = np.unique(hashes ^ mix(words.row[at].astype(np.uint64) + np.uint64(1)), return_inverse=True, return_counts=True)
         again = at[times[inverse] > 1]
+        if len(again):
+            used = np.unique(again[:, None] + np.arange(5))
+            number = np.zeros(len(words.row), np.int64)
+            number[used] = span_numbers(data, words.start[used], words.end[used], words.hash[used])
+            windows = np.column_stack([words.row[again], number[again[:, None] + np.arange(5)]])
+            _, inverse, times = np.unique(windows, axis=0, return_inverse=True, return_counts=True)
+            again = again[times[inverse.ravel()] > 1]
         cover = np.zeros(len(words.row) + 6, np.int64)
         cover[again] += 1
         cover[again + 5] -= 1

@@ -6,21 +6,24 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import Words
+from .common import Words, eights, equal_spans
 from .piece_memo import Encoded
 
+#: Words of more bytes are encoded anew in each slice.
+LONGEST = 16
+
 
 class WordTable:
     """A bounded memory of words' encodings, sorted by word hash.
 
-    A word is known if its hash, length, first eight and last eight bytes are all those of an entry,
-    which for words of up to 16 bytes is the word itself.  Words of over ``longest`` bytes are never
-    remembered.  ``encode`` maps a list of words to all their values joined, and each one's number of
+    A word is known if its hash, length, first eight and last eight bytes are all those of an entry.
+    Only words of up to ``LONGEST`` bytes are remembered, so that is the word itself; words of one slice
+    that share a hash are told apart by their bytes.  ``encode`` maps a list of words to all their values joined, and each one's number of
     values.  The memory starts anew when it holds ``most`` words, or 16 values for each of so many.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Encoded], most: int = 1_500_000, longest: int = 64) -> None:
-        self.encode, self.most, self.longest = encode, most, longest
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], most: int = 1_500_000) -> None:
+        self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
@@ -42,15 +45,20 @@ class WordTable:
         if len(self.hash) >= self.most or self.used >= 16 * self.most:
             self._clear()
         hashes, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        start, size = words.start[first], words.end[first] - words.start[first]
-        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-        eight = np.ndarray(len(padded) - 7, "<u8", padded.tobytes(), strides=(1,))
-        part = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
-        head = eight[start + 8] & np.where(part == 64, ~np.uint64(0), (np.uint64(1) << (part & np.uint64(63))) - np.uint64(1))
-        tail = np.where(size > 8, eight[start + size], np.uint64(0))
+        sizes, like = words.end - words.start, first[which]
+        same = (sizes == sizes[like]) & equal_spans(data, words.start, words.start[like], np.minimum(sizes, sizes[like]))
+        if not same.all():  # words with one hash: each such word is an entry of its own, which is not remembered
+            odd = np.flatnonzero(~same)
+            which[odd] = len(hashes) + np.arange(len(odd))
+            hashes, first = np.concatenate([hashes, words.hash[odd]]), np.concatenate([first, odd])
+        plain = np.arange(len(hashes)) < len(hashes) - np.count_nonzero(~same)
+        start, size = words.start[first], sizes[first]
+        eight = eights(data)
+        head = eight[start] & np.where(size >= 8, ~np.uint64(0), (np.uint64(1) << (np.minimum(size, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
+        tail = np.where(size > 8, eight[np.maximum(start + size - 8, 0)], np.uint64(0))
         near = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
         if len(self.hash):
-            known = (self.hash[near] == hashes) & (self.head[near] == head) & (self.tail[near] == tail) & (self.size[near] == size)
+            known = (self.hash[near] == hashes) & (self.head[near] == head) & (self.tail[near] == tail) & (self.size[near] == size) & plain
         else:
             known = np.zeros(len(hashes), bool)
         at, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
@@ -61,7 +69,7 @@ class WordTable:
             at[new] = self._store(values) + np.cumsum(counts) - counts
             count[new] = counts
             # An entry with the same hash but another word stays; the new word is then asked for again.
-            add = new[(size[new] <= self.longest) & ((self.hash[near[new]] != hashes[new]) if len(self.hash) else True)]
+            add = new[plain[new] & (size[new] <= LONGEST) & ((self.hash[near[new]] != hashes[new]) if len(self.hash) else True)]
             place = np.searchsorted(self.hash, hashes[add])
             for name, column in (("hash", hashes), ("head", head), ("tail", tail), ("size", size), ("at", at), ("count", count)):
                 setattr(self, name, np.insert(getattr(self, name), place, column[add]))
