@@ -6,15 +6,15 @@ with its weight as rate, whose points arrive in random registers; a register kee
 arrived in it first.  A process stops as soon as its next point comes after the last register's first
 arrival.  Registers of two texts agree with the probability Jaccard similarity of their shingles.
 
-Texts that agree in all registers of a band share a bucket.  No bucket's pairs are listed: its pivot,
-the member with most company over all buckets, is paired with the others, and each pair's probability
-Jaccard similarity is computed exactly from both texts.  Where a bucket still holds several classes,
-the members outside the pivot's class take a new pivot, until a round finds no further link.  Then the
-members of each bucket are held against those of its other classes, class members included: the shares
-of two texts' shingles in groups of hashes overlap by at least their similarity, and every pair that this
-bound leaves is verified.  So two texts that share a bucket and are alike are always in one class.
+Texts that agree in all registers of a band share a bucket.  First each member is held against one
+pivot, the member with most company over all its buckets; that settles most groups of copies.  Then
+every bucket that still holds several classes is compared whole: the members outside its largest class
+are dealt into chunks of bounded size, each chunk meets each chunk of the bucket in one task, and the
+probability Jaccard similarity of all pairs of different classes is computed there from their shingle
+sets.  Only links that join two classes leave the task, fewer than it has members, so no pairs are
+listed; and every pair of texts that share a bucket and are alike ends in one class.
 
-At similarity s two texts share a bucket with probability 1 - (1 - s ** 4) ** 32: over 0.9999999 at 0.8.
+At similarity s two texts share a bucket with probability 1 - (1 - s ** 6) ** 32: over 0.9999 at 0.8.
 
 Exact copies are grouped by the digest of their text first, and only one of them goes on.
 
@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, Words, map_arrow, materialize, mix, row_slices, split_words, text_bytes
+from .common import FOLDED, Words, free_name, map_arrow, materialize, mix, row_slices, split_words, text_bytes
 from .components import components
 from .pair_texts import with_texts
 
-SHINGLE, BANDS, ROWS = 5, 32, 4
+SHINGLE, BANDS, ROWS = 5, 32, 6
 REGISTERS = BANDS * ROWS
-#: Groups of hashes that the bound is taken over, members of a bucket that are compared at once, and what rounding may take from a bound.
-GROUPS, CHUNK, SLACK = 256, 256, 0.002
+#: Shingles of one chunk of a bucket, and what rounding may take from a similarity.
+CHUNK, SLACK = 200_000, 1e-9
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +86,11 @@ def signatures(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
     return holder.reshape(n, REGISTERS)
 
 
-def band_keys(texts: pa.Array) -> list[np.ndarray | None]:
-    """The bucket keys of each text; none for a text without words."""
+def band_keys(texts: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
+    """The bucket keys of each text (none for a text without words), and how many distinct shingles it has."""
     every, bounds = text_bytes(texts)
     out: list[np.ndarray | None] = []
+    sizes = np.zeros(len(texts), np.int64)
     for first, last in row_slices(bounds, 1 << 20):
         data, offsets, n = every[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], last - first
         found = weighted(*shingles(split_words(data, offsets, FOLDED), n))
@@ -97,19 +98,20 @@ def band_keys(texts: pa.Array) -> list[np.ndarray | None]:
         keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS))
         for r in range(ROWS):
             keys = mix(keys * np.uint64(0x9FB21C651E98DF25) + registers[:, :, r])
-        some = np.bincount(found[0], minlength=n) > 0
-        out += [keys[i].astype(np.int64) if some[i] else None for i in range(n)]
-    return out
+        sizes[first:last] = np.bincount(found[0], minlength=n)
+        out += [keys[i].astype(np.int64) if sizes[first + i] else None for i in range(n)]
+    return out, sizes
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (long), digest of the text, and its bucket keys."""
+    """id (long), digest of the text, its bucket keys and number of shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col).cast("string"), 256)).alias("digest"), F.col(text_col).cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(band_keys(batch.column(2)), pa.list_(pa.int64()))], ["id", "digest", "keys"])
+        keys, sizes = band_keys(batch.column(2))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64())), pa.array(sizes)], ["id", "digest", "keys", "size"])
 
-    return map_arrow(rows, run, "id long, digest binary, keys array<long>")
+    return map_arrow(rows, run, "id long, digest binary, keys array<long>, size long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -148,7 +150,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = text_sets(batch.column(2)), text_sets(batch.column(3))
-        keep = pa.array([similarity(x, y) >= threshold for x, y in zip(left, right, strict=True)], pa.bool_())
+        keep = pa.array([similarity(x, y) >= threshold - SLACK for x, y in zip(left, right, strict=True)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return map_arrow(with_texts(pairs, texts, "a", "b").select("a", "b", "left_text", "right_text"), run, "a long, b long")
@@ -160,90 +162,93 @@ def with_pivots(members: DataFrame) -> DataFrame:
     return materialize(members.join(materialize(pivots.select("key", "p.*"), "pivots"), "key"), "bucket-pivots")
 
 
-def apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members that are not of their pivot's class."""
-    label = lambda of, out: labels.select(F.col("id").alias(of), F.col("component").alias(out))
-    joined = stars.join(label("id", "component"), "id", "left").join(label("pivot", "main"), "pivot", "left")
-    return materialize(joined.where(F.coalesce("component", "id") != F.coalesce("main", "pivot")).drop("component", "main"), "residue")
-
-
-def with_shares(texts: DataFrame) -> DataFrame:
-    """id and the shares of its shingles in each group of hashes, as half floats."""
+def with_sets(texts: DataFrame) -> DataFrame:
+    """id, its sorted shingle hashes as 64-bit integers, and their counts as 32-bit integers."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(np.bincount((h % np.uint64(GROUPS)).astype(np.int64), w, GROUPS) / max(1, w.sum())).astype(np.float16).tobytes() for h, w in text_sets(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shares"])
+        sets = text_sets(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())], ["id", "hashes", "counts"])
 
-    return map_arrow(texts.select("id", "text"), run, "id long, shares binary")
+    return map_arrow(texts.select("id", "text"), run, "id long, hashes binary, counts binary")
 
 
-def possible_pairs(units: pa.Array, threshold: float) -> pa.RecordBatch:
-    """a, b and bound of the pairs of each unit that differ in class and may reach the threshold.
+def upper_bounds(mine: np.ndarray, at: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the similarity of one weighted set with many, and which of them are exact.
 
-    A similarity is a sum over the common shingles of at most the lesser of their two shares, so it is at
-    most the sum of the lesser shares of each group.  A unit holds (outer, left, id, component, shares).
+    ``mine`` are its counts by element; the others are joined: ``at`` and ``counts`` of all their
+    elements, each from ``edges[i]`` on.  A common element of equal count w adds w over the sum of the
+    greater counts of all elements; one of unequal counts adds at most the lesser of its two shares.
     """
-    flat, edges = units.flatten(), units.offsets.to_numpy() - units.offsets[0].as_py()
-    outer, left, ids, classes = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-    shares = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.float16).reshape(-1, GROUPS)
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    for first, last in zip(edges[:-1], edges[1:], strict=True):
-        x, y = first + np.flatnonzero(left[first:last]), first + np.flatnonzero(~left[first:last])
-        theirs = shares[y].astype(np.float32)
-        for i in x:
-            open_ = np.flatnonzero((classes[y] != classes[i]) & (~outer[y] | (ids[y] > ids[i])))
-            bound = np.minimum(theirs[open_], shares[i].astype(np.float32)).sum(1)
-            some = bound >= threshold - SLACK
-            at = y[open_[some]]
-            parts.append((np.full(len(at), ids[i]), ids[at], bound[some]))
-    a, b, bound = (np.concatenate(p) for p in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(bound, pa.float32())], ["a", "b", "bound"])
-
-
-def unsettled(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """a, b and bound of all pairs of different classes that share a bucket and may be alike.
-
-    The members outside a bucket's largest class are dealt into chunks, and each chunk is compared with
-    each chunk of the whole bucket.
+    own = mine[at]
+    total, theirs = mine.sum(), np.add.reduceat(counts, edges)
+    equal = np.where(own == counts, counts, 0.0)
+    bound = np.add.reduceat(equal, edges) / (total + theirs - np.add.reduceat(np.minimum(own, counts), edges))
+    unequal = np.flatnonzero((own > 0) & (own != counts))
+    of = np.searchsorted(edges, unequal, "right") - 1
+    rest = np.bincount(of, np.minimum(own[unequal] / total, counts[unequal] / theirs[of]), len(edges))
+    return bound + rest, rest == 0
+
+
+def unit_links(ids: np.ndarray, classes: np.ndarray, outer: np.ndarray, left: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a unit: its left members against its other ones.
+
+    A pair of two outer members meets in two units, and counts in the one whose left member has the lesser id.
     """
-    named = materialize(members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "bucket-classes")
-    classes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(x) or not len(y):
+        return []
+    classes = np.unique(classes, return_inverse=True)[1]
+    every, number = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+    ends = np.cumsum([len(h) for h, _ in sets])
+    starts = ends - [len(h) for h, _ in sets]
+    at = np.concatenate([number[starts[j] : ends[j]] for j in y])
+    counts = np.concatenate([sets[j][1] for j in y]).astype(np.float64)
+    edges = np.cumsum([0, *(len(sets[j][0]) for j in y[:-1])])
+    mine, out = np.zeros(len(every)), []
+    for i in x:
+        open_ = (classes[y] != classes[i]) & (~outer[y] | (ids[y] > ids[i]))
+        if not open_.any():
+            continue
+        mine[number[starts[i] : ends[i]]] = sets[i][1]
+        bound, exact = upper_bounds(mine, at, counts, edges)
+        mine[number[starts[i] : ends[i]]] = 0
+        likely = np.flatnonzero(open_ & (bound >= threshold - SLACK))
+        for j in likely[np.argsort(-bound[likely], kind="stable")]:
+            k = y[j]
+            if classes[k] != classes[i] and (exact[j] or similarity(sets[i], sets[k]) >= threshold - SLACK):
+                out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+                classes[classes == classes[k]] = classes[i]
+    return out
+
+
+def bucket_links(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all classes of which two texts share a bucket and are alike."""
+    named = materialize(members.select("key", "id", "size").join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component")), "bucket-classes")
+    classes = named.groupBy("key", "component").agg(F.sum("size").alias("n"))
     buckets = classes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("most < all")
     mixed = materialize(named.join(materialize(buckets, "mixed-buckets"), "key"), "mixed-members")
-    shares = materialize(with_shares(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "shares")
+    sets = materialize(with_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi")), "shingle-sets")
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    mixed = mixed.join(shares, "id").withColumns({"outer": F.col("component") != F.col("main"), "lefts": chunks(F.col("all") - F.col("most")), "rights": chunks(F.col("all"))})
+    mixed = mixed.join(sets, "id").withColumns({"outer": F.col("component") != F.col("main"), "lefts": chunks(F.col("all") - F.col("most")), "rights": chunks(F.col("all"))})
 
     def side(rows: DataFrame, left: bool, own: str, other: str) -> DataFrame:
         dealt = rows.select("*", F.pmod(F.xxhash64("id"), own).cast("int").alias("__own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("__other"))
         i, j = ("__own", "__other") if left else ("__other", "__own")
-        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("outer", F.lit(left).alias("left"), "id", "component", "shares").alias("m"))
+        return dealt.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("id", "component", "outer", F.lit(left).alias("left"), "hashes", "counts").alias("m"))
 
     both = side(mixed.where("outer"), True, "lefts", "rights").union(side(mixed, False, "rights", "lefts"))
     units = both.groupBy("key", "i", "j").agg(F.collect_list("m").alias("unit")).select("unit")
-    found = map_arrow(units, lambda batch: possible_pairs(batch.column(0), threshold), "a long, b long, bound float")
-    return found.groupBy("a", "b").agg(F.max("bound").alias("bound"))
-
-
-def settled(links: DataFrame, tried: DataFrame, members: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """The labels with the links of all pairs that share a bucket and are alike; ``tried`` are the pairs verified before."""
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = materialize(unsettled(members, labels, texts, threshold).join(done, ["a", "b"], "left_anti"), "unsettled")
-    for every in (False, True):
-        # First the likeliest pair of each text with each class: where it links them, their other pairs are settled.
-        label = lambda of, out: labels.select(F.col("id").alias(of), F.col("component").alias(out))  # noqa: B023, E731
-        left = left.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-        left = materialize(left.where("ca <> cb"), "unsettled")
-        if left.isEmpty():
-            break
-        best = lambda of, c: left.groupBy(of, c).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.*")  # noqa: B023, E731
-        pairs = left.select("a", "b") if every else materialize(best("a", "cb").union(best("b", "ca")).distinct(), "best-pairs")
-        found = materialize(verified(pairs, texts, threshold), "links")
-        if not found.isEmpty():
-            links = materialize(links.union(found), "links")
-            labels = components(links)
-        left = (left if every else left.join(pairs, ["a", "b"], "left_anti")).select("a", "b", "bound")
-    return labels
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        links = []
+        for unit in batch.column(0):
+            flat = unit.values
+            ids, classes, outer, left = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sets = [(np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u4")) for h, n in zip(flat.field(4), flat.field(5), strict=True)]
+            links += unit_links(ids, classes, outer, left, sets, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return map_arrow(units, run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -262,39 +267,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """near_classes for ids that are unique and not null."""
     rows = materialize(with_keys(docs, id_col, text_col), "signatures")
-    distinct = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    distinct = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("size").alias("size"))
     distinct = materialize(distinct, "distinct-texts")
-    members = distinct.where("keys is not null").select("id", F.explode("keys").alias("key"))
+    members = distinct.where("keys is not null").select("id", "size", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(materialize(sizes, "bucket-sizes"), "key"), "bucket-members")
     company = materialize(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
-    members = materialize(members.drop("n").join(company, "id"), "bucket-members")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = materialize(texts.join(company.select("id"), "id", "left_semi"), "candidate-texts")
 
-    # First each member is held against the most central of its pivots alone: in a group of many copies that settles most.
-    stars = with_pivots(members)
-    tried = stars.where("pivot <> id").groupBy("id").agg(F.max_by("pivot", F.struct("pivot_company", -F.col("pivot"))).alias("pivot"))
-    tried = materialize(tried.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "tried-pairs")
-    links = materialize(verified(tried, texts, threshold), "links")
-    labels, fresh = components(links), False
-    stars = apart(stars, labels)
-    while not stars.isEmpty():
-        # Then against the others; what stays apart from its pivot takes a new one, until a whole round finds nothing.
-        pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried-pairs")
-        tried = tried.union(pairs)
-        found = materialize(verified(pairs, texts, threshold), "links")
-        if not found.isEmpty():
-            links = materialize(links.union(found), "links")
-            labels = components(links)
-            stars = apart(stars, labels)
-        elif fresh:
-            break
-        stars, fresh = apart(with_pivots(stars.select("key", "id", "company")), labels), True
-    labels = settled(links, tried, members, texts, labels, threshold)
+    # First each member is held against the most central of its pivots: in a group of many copies that settles most.
+    stars = with_pivots(members.drop("n").join(company, "id")).where("pivot <> id")
+    pairs = stars.groupBy("id").agg(F.max_by("pivot", F.struct("pivot_company", -F.col("pivot"))).alias("pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = materialize(verified(materialize(pairs, "pivot-pairs"), texts, threshold), "links")
+    more = materialize(bucket_links(members, components(links), texts, threshold), "links")
+    labels = components(links.union(more))
     classes = distinct.select("digest", F.col("id").alias("rep_id")).join(labels.withColumnRenamed("id", "rep_id"), "rep_id", "left")
-    joined = rows.drop("keys").join(materialize(classes, "classes"), "digest", "left")
+    joined = rows.drop("keys", "size").join(materialize(classes, "classes"), "digest", "left")
     return joined.select(F.col("id").alias(id_col), F.coalesce("component", "rep_id", "id").alias("class_id"), F.coalesce("rep_id", "id").alias("rep_id"))
 
 
@@ -302,9 +291,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """The rows of ``docs`` without near-duplicates: of each class the first row by id and text stays."""
     ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
     if ids.where("id is null or n > 1").isEmpty():
-        drop = _classes(docs, id_col, text_col, threshold).where(f"{id_col} <> class_id").select(id_col)
+        drop = _classes(docs, id_col, text_col, threshold).where(F.col(id_col) != F.col("class_id")).select(id_col)
         return docs.join(materialize(drop, "near-copies"), id_col, "left_anti").select(docs.columns)
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
-    found = _classes(rows, "__row", text_col, threshold)
-    first = rows.join(found, "__row").groupBy("class_id").agg(F.min_by("__row", F.struct(F.col(id_col).isNull(), id_col, text_col, "__row")).alias("__row"))
-    return rows.join(materialize(first.select("__row"), "class-firsts"), "__row", "left_semi").select(docs.columns)
+    key = free_name(docs, "__row")
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-rows")
+    found = _classes(rows, key, text_col, threshold)
+    class_of = free_name(rows, "class_id")
+    first = rows.join(found.select(key, F.col("class_id").alias(class_of)), key).groupBy(class_of).agg(F.min_by(key, F.struct(F.col(id_col).isNull(), id_col, text_col, key)).alias(key))
+    return rows.join(materialize(first.select(key), "class-firsts"), key, "left_semi").select(docs.columns)

@@ -381,7 +381,7 @@ def test_classes_join_all_like_texts_of_a_bucket(spark):
     rng = random.Random(3)
     template = words(rng, 180)
     texts = [" ".join(template + words(rng, rng.randrange(4, 44), 10**6)) for _ in range(400)]
-    keys, sets = near_dedup.band_keys(pa.array(texts)), near_dedup.text_sets(pa.array(texts))
+    keys, sets = near_dedup.band_keys(pa.array(texts))[0], near_dedup.text_sets(pa.array(texts))
     top = list(range(len(texts)))
 
     def find(i):
@@ -397,14 +397,66 @@ def test_classes_join_all_like_texts_of_a_bucket(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
-def test_possible_pairs_bound_the_similarity():
+def test_classes_of_template_families(spark):
+    # Twenty variants of a template, all just below the threshold to each other, and one pair just above it.
+    rng = random.Random(23)
+    texts, pairs = [], []
+    for family in range(8):
+        template = [f"f{family}w{i}" for i in range(357)]
+        texts += [" ".join(template + words(rng, 47, 10**7)) for _ in range(20)]
+        own = words(rng, 43, 10**7)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(template + own + words(rng, 43, 10**7)), " ".join(template + own + words(rng, 43, 10**7))]
+    sets = near_dedup.text_sets(pa.array(texts))
+    assert all(near_dedup.similarity(sets[i], sets[j]) >= 0.8 for i, j in pairs) and near_dedup.similarity(sets[0], sets[1]) < 0.8
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(spark, texts)).collect()}
+    assert [got[i] == got[j] for i, j in pairs] == [True] * 8 and len(set(got.values())) == len(texts) - 8
+
+
+def test_upper_bounds_of_the_similarity():
     rng = random.Random(5)
-    texts = pa.array([" ".join(words(rng, rng.randrange(5, 300), 40)) for _ in range(60)])
-    sets = near_dedup.text_sets(texts)
-    shares = [np.bincount((h % np.uint64(near_dedup.GROUPS)).astype(int), w, near_dedup.GROUPS) / w.sum() for h, w in sets]
-    for i in range(len(sets)):
-        for j in range(i):
-            assert near_dedup.similarity(sets[i], sets[j]) <= np.minimum(shares[i], shares[j]).sum() + 1e-9
+    sets = near_dedup.text_sets(pa.array([" ".join(words(rng, rng.randrange(5, 300), rng.choice([3, 4, 40]))) for _ in range(60)]))
+    every = np.unique(np.concatenate([h for h, _ in sets]))
+    at, counts = np.searchsorted(every, np.concatenate([h for h, _ in sets])), np.concatenate([w for _, w in sets]).astype(float)
+    edges = np.cumsum([0, *(len(h) for h, _ in sets[:-1])])
+    for h, w in sets:
+        mine = np.zeros(len(every))
+        mine[np.searchsorted(every, h)] = w
+        bound, exact = near_dedup.upper_bounds(mine, at, counts, edges)
+        want = np.array([near_dedup.similarity((h, w), other) for other in sets])
+        assert (want <= bound + 1e-9).all() and np.abs(want - bound)[exact].max() < 1e-9
+
+
+def test_links_need_no_common_chunk(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 20_000)  # so that buckets are dealt into many chunks
+    test_classes_join_all_like_texts_of_a_bucket(spark)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    for n in (1024, 4096):
+        x = thue_morse(n)
+        y = x.translate(str.maketrans("ab", "ba"))
+        texts = [f"{x}\n{y}\n{x}x\n", f"{x} p q r s {y} p q r s", f"{x} p q r s {x} p q r s", f"{x}{y} {y}{x}"]
+        found = quality_rules.text_stats(pa.array(texts))
+        assert [tuple(int(found[s][i]) for s in quality_rules.STATS) for i in range(len(texts))] == [brute_stats(t) for t in texts]
+        classes = near_dedup.near_classes(docs(spark, [f"{x} p q r s", f"{y} p q r s"])).collect()
+        assert len({r.class_id for r in classes}) == 2
+        encode = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+        data, offsets = common.text_bytes(pa.array(texts))
+        ids, counts = encode(data, offsets)
+        assert ids.tolist() == [i for t in texts for i in encode.library.encode(t, add_special_tokens=False).ids] and len(counts) == 4
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(common, "mix", lambda x: x.astype(np.uint64) & np.uint64(0))  # every hash collides
+    monkeypatch.setattr(quality_rules, "mix", common.mix)
+    texts = ["a\nb\na\n c d", "p q r s t p q r s u p q r s t", "x y"]
+    found = quality_rules.text_stats(pa.array(texts))
+    assert [tuple(int(found[s][i]) for s in quality_rules.STATS) for i in range(3)] == [brute_stats(t) for t in texts]
 
 
 def test_classes_with_odd_ids(spark):
@@ -601,17 +653,19 @@ def test_llm_is_optional(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
-@pytest.mark.parametrize(("most", "longest"), [(1 << 20, 64), (5, 64), (1 << 20, 3)])
-def test_word_table_against_direct_encoding(most, longest):
-    from harborlight.llm.word_table import WordTable
+@pytest.mark.parametrize(("most", "collide"), [(1 << 20, False), (5, False), (1 << 20, True)])
+def test_word_table_against_direct_encoding(most, collide, monkeypatch):
+    from harborlight.llm.word_table import LONGEST, WordTable
 
+    if collide:
+        monkeypatch.setattr(common, "mix", lambda x: x.astype(np.uint64) & np.uint64(3))
     asked = []
 
     def encode(some):
         asked.extend(some)
         return np.array([b for w in some for b in w], np.int32), np.array([len(w) for w in some])
 
-    table, rng = WordTable(encode, most, longest), random.Random(17)
+    table, rng = WordTable(encode, most), random.Random(17)
     for _ in range(40):
         texts = pa.array([" ".join(rng.choice("abxy") * rng.randrange(1, 20) for _ in range(rng.randrange(12))) for _ in range(5)])
         data, offsets = common.text_bytes(texts)
@@ -619,5 +673,6 @@ def test_word_table_against_direct_encoding(most, longest):
         values, counts = table(data, found)
         want = [w for t in texts.to_pylist() for w in t.encode().split()]
         assert counts.tolist() == [len(w) for w in want] and values.tolist() == [b for w in want for b in w]
-    if most > 5 and longest == 64:
-        assert len(asked) == len(set(asked))
+    if most > 5 and not collide:
+        short = [w for w in asked if len(w) <= LONGEST]
+        assert len(short) == len(set(short))
