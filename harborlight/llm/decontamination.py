@@ -2,9 +2,10 @@
 
 Each Arrow batch of documents is a shard.  Its words are numbered by the benchmark's vocabulary; runs
 of known words shorter than the shortest window cannot hold a match and are left out.  The remaining
-suffixes are sorted into a suffix array by prefix doubling, and every benchmark suffix is
-binary-searched in it.  A suffix that matches for a whole window gives, at every place where it
-occurs, the longest verbatim match.  The benchmark goes to the tasks in blocks of bounded size.
+suffixes are sorted into a suffix array by prefix doubling, and all benchmark suffixes are
+binary-searched in it at once, by arrays.  A suffix that matches for a whole window gives, at every
+place where it occurs, the longest verbatim match.  The benchmark lies in the shared folder in blocks of
+bounded size, which tasks read one at a time; nothing of it passes through the driver.
 
 A window is ``window`` consecutive words of an item; an item with fewer words, but some, is one window.
 
@@ -15,19 +16,22 @@ hits nothing and an empty table gives no rows; other columns are ignored or carr
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLDED, bounded_batches, text_bytes
+from .common import FOLDED, bounded_batches, shared_path, text_bytes
 
-#: Most text bytes of one benchmark block.
+#: Text bytes of one benchmark block, on average, and of the documents that are held against a block at once if there are several.
 BLOCK_BYTES = 32 << 20
+SHARDS_BYTES = 64 << 20
 _FOLD = FOLDED.tobytes()
 _MATCHES = "array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
 
@@ -38,7 +42,7 @@ def folded_words(text: bytes) -> list[bytes]:
 
 
 class TestSuffixes:
-    """A benchmark block: its vocabulary, and each item's word numbers as big-endian bytes."""
+    """A benchmark block: its vocabulary, each item's word numbers as big-endian bytes, and all its windows."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
@@ -49,6 +53,15 @@ class TestSuffixes:
                 numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
                 self.items.append((item, np.array(numbers, ">u4").tobytes(), min(window, len(words))))
         self.shortest = min((need for _, _, need in self.items), default=0)
+        # All windows as rows of word numbers, 0 beyond the words that must match; and each one's item and place.
+        parts, where = [np.zeros((0, window), np.int64)], [np.zeros((0, 2), np.int64)]
+        for n, (_, code, need) in enumerate(self.items):
+            numbers = np.frombuffer(code, ">u4").astype(np.int64)
+            rows = np.zeros((len(numbers) - need + 1, window), np.int64)
+            rows[:, :need] = np.lib.stride_tricks.sliding_window_view(numbers, need)
+            parts.append(rows)
+            where.append(np.column_stack([np.full(len(rows), n), np.arange(len(rows))]))
+        self.windows, self.where = np.concatenate(parts), np.concatenate(where)
 
 
 def suffix_array(x: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
@@ -64,6 +77,29 @@ def suffix_array(x: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
     return at[np.argsort(rank[at], kind="stable")]
 
 
+def found_windows(x: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 place in the suffix array ``order`` of ``x`` of the suffixes that begin with each window."""
+    width = windows.shape[1]
+    padded = np.concatenate([x.astype(np.int64), np.zeros(width, np.int64)])
+
+    def search(after: bool) -> np.ndarray:
+        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), len(order))
+        while (low < high).any():
+            open_ = np.flatnonzero(low < high)
+            middle = (low[open_] + high[open_]) >> 1
+            at, less, equal = order[middle], np.zeros(len(open_), bool), np.ones(len(open_), bool)
+            for j in range(width):
+                have, want = padded[at + j], windows[open_, j]
+                less |= equal & (want > 0) & (have < want)
+                equal &= (want == 0) | (have == want)
+            right = less | equal if after else less
+            low[open_[right]] = middle[right] + 1
+            high[open_[~right]] = middle[~right]
+        return low
+
+    return search(False), search(True)
+
+
 def shard_matches(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], list[list[tuple]]]:
     """For each text its number of words and its maximal matches (item, item word, text word, words)."""
     get = tests.vocabulary.get
@@ -91,78 +127,110 @@ def shard_matches(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], l
     new[place] = np.arange(len(place))
     order = place[suffix_array(x[place].astype(np.int64), new[at], int(left.max()) + 1)]
     raw, doc_end = x.tobytes(), np.cumsum(np.array(sizes) + 1)
-    order_list = order.tolist()
-    for item, code, need in tests.items:
+    low, high = found_windows(x, order, tests.windows)
+    for w in np.flatnonzero(low < high).tolist():
+        (n_item, i), places = tests.where[w].tolist(), order[low[w] : high[w]]
+        item, code, need = tests.items[n_item]
         size = len(code) // 4
-        for i in range(size - need + 1):
-            window = code[4 * i : 4 * (i + need)]
-            width = len(window)
-            key = lambda p: raw[4 * p : 4 * p + width]  # noqa: B023, E731
-            low = bisect_left(order_list, window, key=key)
-            for j in range(low, len(order_list)):
-                p = order_list[j]
-                if key(p) != window:
-                    break
-                doc = int(np.searchsorted(doc_end, p, "right"))
-                first = int(doc_end[doc - 1]) if doc else 0
-                if i and p > first and raw[4 * p - 4 : 4 * p] == code[4 * i - 4 : 4 * i]:
-                    continue  # part of a match that began earlier
-                n, most = need, min(size - i, int(left[p]))
-                while n < most and raw[4 * (p + n) : 4 * (p + n) + 4] == code[4 * (i + n) : 4 * (i + n) + 4]:
-                    n += 1
-                found[doc].append((item, i, p - first, n))
+        docs = np.searchsorted(doc_end, places, "right")
+        for p, doc in zip(places.tolist(), docs.tolist(), strict=True):
+            first = int(doc_end[doc - 1]) if doc else 0
+            if i and p > first and raw[4 * p - 4 : 4 * p] == code[4 * i - 4 : 4 * i]:
+                continue  # part of a match that began earlier
+            n, most = need, min(size - i, int(left[p]))
+            while n < most and raw[4 * (p + n) : 4 * (p + n) + 4] == code[4 * (i + n) : 4 * (i + n) + 4]:
+                n += 1
+            found[doc].append((item, i, p - first, n))
     return sizes, found
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items, collected block by block; each block's size is bounded by ``block_bytes`` on average."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[str, int]:
+    """The folder and number of the benchmark's blocks, folders block=0 and so on; a block without items has none."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
-    for block in range(blocks):
-        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+    folder = shared_path(benchmark.sparkSession, "benchmark-blocks")
+    if blocks:
+        items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` as struct __row, with n_words and matches."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    out = docs.select(F.struct(*docs.columns).alias("__row"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_MATCHES).alias("matches"), F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType(out.schema.fields)
-    kind = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
+_loaded: dict[tuple, TestSuffixes] = {}
 
-    def one_pass(df: DataFrame, items: list) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(TestSuffixes(items, window))
 
-        def search(batches):
-            for batch in batches:
-                data, bounds = text_bytes(batch.column(3))
-                sizes, found = shard_matches([data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], shipped.value)
-                before = batch.column(2).to_pylist()
-                rows = [[*(a or []), *[dict(zip(("item", "item_word", "doc_word", "n_words"), m, strict=True)) for m in b]] for a, b in zip(before, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(rows, kind), batch.column(3)], batch.schema.names)
+def load_block(folder: str, block: int, window: int) -> TestSuffixes:
+    """A block's suffixes; the last one read stays in memory."""
+    key = folder, block, window
+    if key not in _loaded:
+        _loaded.clear()
+        store, base = fs.FileSystem.from_uri(folder)
+        files = store.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True))
+        items = [r for f in files if f.path.endswith(".parquet") for r in pq.read_table(f.path, filesystem=store, partitioning=None).to_pylist()]
+        _loaded[key] = TestSuffixes(sorted(((r["item"], r["text"]) for r in items), key=lambda r: (r[0] or "", r[1])), window)
+    return _loaded[key]
 
-        return df.mapInArrow(search, schema)
 
-    blocks = 0
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        out, blocks = one_pass(out, items), blocks + 1
-    return (out if blocks else one_pass(out, [])).drop("__text")
+def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of batches of some ``limit`` bytes together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of ``docs`` as struct __row, with n_words and matches."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([rows.schema.fields[0], T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(f"matches {_MATCHES}").fields])
+    kind = pa.list_(pa.struct([("item", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
+    folder, blocks = write_blocks(benchmark, item_col, item_text_col, block_bytes)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in shards(batches, SHARDS_BYTES if blocks > 1 else 1):
+            spans = [text_bytes(batch.column(1)) for batch in held]
+            texts = [[data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for data, bounds in spans]
+            sizes, found = [[] for _ in held], [[[] for _ in t] for t in texts]
+            for block in range(max(1, blocks)):
+                tests = load_block(folder, block, window) if blocks else TestSuffixes([], window)
+                for i, some in enumerate(texts):
+                    sizes[i], more = shard_matches(some, tests)
+                    for old, new in zip(found[i], more, strict=True):
+                        old += new
+            for batch, n, matches in zip(held, sizes, found, strict=True):
+                lists = [[dict(zip(("item", "item_word", "doc_word", "n_words"), m, strict=True)) for m in x] for x in matches]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lists, kind)], ["__row", "n_words", "matches"])
+
+    return rows.mapInArrow(search, schema)
 
 
 def hit_summary(matched: DataFrame) -> DataFrame:
-    """Adds n_hit (words inside matches), n_items, items_sha256 and contaminated."""
+    """Adds n_hit (words inside matches), n_items, items_sha256, contaminated, and the longest match.
+
+    The longest match is given by its words, its first word in the document and its item; of several the
+    first in the document, then the first by item.
+    """
     merged = F.aggregate(
         F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b")))),
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, m: F.struct(F.greatest(acc["end"], m["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), m["b"] - F.greatest(acc["end"], m["a"]))).alias("n")),
     )["n"]
     items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item"]), lambda i: i.isNotNull())))
+    first = F.array_sort(F.transform("matches", lambda m: F.struct((-m["n_words"]).alias("n"), m["doc_word"].alias("at"), m["item"].alias("item"))))
+    longest = F.try_element_at(first, F.lit(1))
     return (
         matched.withColumn("n_hit", merged)
         .withColumn("n_items", F.size(items).cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join(items, ","), 256))
         .withColumn("contaminated", F.col("n_hit") > 0)
+        .withColumn("longest_words", F.coalesce(-longest["n"], F.lit(0)).cast("long"))
+        .withColumn("longest_at", longest["at"].cast("long"))
+        .withColumn("longest_item", longest["item"])
     )
 
 

@@ -6,7 +6,11 @@ text lengths (link text apart) are summed over sliding windows of lines.  A regi
 where a window's sum passes the threshold, and ends at the dive, where the sums fall to nothing; the
 region with the most text is the core.  The result is every remaining line of the outermost article and
 main elements of the core, if they hold all of it, or else of the smallest element that does.  If that is
-the whole page, it is the core with the article and main elements that it touches.
+the whole page, it is the core with the other regions that have blocks beside the core's, what stands
+between them but is no link, and the article and main elements that the core touches.
+
+Elements are numbered as they open, so an element's descendants are one range of numbers; every step is
+linear in the page, whatever its markup.
 
 Defined cases: null and empty pages, and pages without text, have an empty text; unclosed elements end
 with their parent, and a boilerplate element that is never closed is read as ordinary text; repeated
@@ -32,11 +36,11 @@ _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"
 _BODY = re.compile(r"""\brole\s*=\s*["']?(?:main|article)\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|\bdisplay\s*:\s*none\b|\baria-hidden\s*=\s*["']?true""", re.I)
 
-RAW = frozenset("script style noscript template iframe object svg textarea title math canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg textarea title audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow mfrac msup msub msubsup munder mover munderover msqrt mroot mspace mstyle mpadded semantics object canvas".split()
 )
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset(
@@ -44,124 +48,166 @@ MARKS = frozenset(
     "topbar toolbar cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended recommendations widget pagination pager skip complementary contentinfo".split()
 )
+#: Words that may follow or precede those marks in a name within the article; any other word makes it a name of content.
+NEUTRAL = frozenset("post posts article articles story stories link links list box block section container wrapper inner outer button buttons bar area item items row content form top bottom left right widget module panel icon icons count".split())
+#: Marks outside the article that are ordinary names of blocks within it.
+_WITHIN = MARKS - frozenset(("header", "alert", "alerts", "disclaimer", "search"))
 CONTENT = frozenset(("article", "main"))
-_LOWER = {i: i + 32 for i in range(65, 91)}
+#: Blocks that hold running text, not other blocks of it.
+_LEAVES = frozenset("p li td h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_CLOSES = frozenset("li tr td th dt dd option".split())
+_LAST_CLOSE = re.compile(r"</([a-zA-Z][^\s/>]*)")
+_ends: dict[str, re.Pattern] = {}
 WINDOW = 3
 THRESHOLD = 80
 
 
 @dataclass
-class Element:
-    tag: str
-    boilerplate: bool
-    number: int
-    path: tuple[int, ...]
+class Tree:
+    """Block elements by number: tag, parent, last descendant, and outermost article or main element around (0: none)."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    last: list[int] = field(default_factory=lambda: [0])
+    content: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, tag: str, parent: int) -> int:
+        number = len(self.tags)
+        self.tags.append(tag)
+        self.parent.append(parent)
+        self.last.append(number)
+        self.content.append(self.content[parent] or (number if tag in CONTENT else 0))
+        return number
 
 
 @dataclass
 class Line:
-    path: tuple[int, ...]
-    text: list[str] = field(default_factory=list)
-    linked: int = 0
+    """A block of text: the element that it lies in, its text, and how much of it is in links."""
+
+    element: int
+    text: str
+    linked: int
+
+
+def _parts(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
 
 
-def _marked(attributes: str, marks: frozenset[str]) -> bool:
+def _marked(attributes: str, within: bool) -> bool:
+    """Whether attributes hide an element or mark it as boilerplate; ``within`` the article, only by whole names."""
     if "=" not in attributes and "hidden" not in attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
-    words = (w for value in _ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
-    return not marks.isdisjoint(words)
+    for value in _ATTRIBUTE.findall(attributes):
+        for name in value.strip("\"'").split():
+            parts = _parts(name)
+            if within and not _WITHIN.isdisjoint(parts) and all(w in MARKS or w in NEUTRAL or w.isdigit() for w in parts) or not within and not MARKS.isdisjoint(parts):
+                return True
+    return False
 
 
-def page_lines(html: str) -> tuple[list[tuple[tuple[int, ...], str, int]], dict[int, str]]:
-    """Blocks outside boilerplate as (path of element numbers, text, characters in links); tags by number."""
-    lower = html.lower()
-    if len(lower) != len(html):  # some letters are longer in lower case, which would shift all positions
-        lower = html.translate(_LOWER)
-    stack = [Element("", False, 0, ())]
-    tags, lines, line, links, at = {0: ""}, [], Line(()), 0, 0
+def page_lines(html: str) -> tuple[list[Line], Tree]:
+    """The blocks outside boilerplate, and the tree of block elements."""
+    last_close = {m.group(1).lower(): m.start() for m in _LAST_CLOSE.finditer(html)}
+    limit = html.rfind(">") + 1  # no markup ends beyond it
+    tree, lines = Tree(), []
+    # The open elements: tag, whether it lies in boilerplate, and its block element; which of them are blocks; and how many have a tag.
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    blocks: list[int] = []
+    opened: dict[str, int] = {}
+    parts: list[str] = []
+    linked, element, at = 0, 0, 0
 
     def flush() -> None:
-        nonlocal line
-        text = " ".join("".join(line.text).split())
+        nonlocal parts, linked
+        text = " ".join("".join(parts).split())
         if text:
-            lines.append((line.path, text, min(line.linked, len(text))))
-        line = Line(stack[-1].path)
+            lines.append(Line(element, text, min(linked, len(text))))
+        parts, linked = [], 0
 
     def close(index: int) -> None:
-        nonlocal links
-        links -= sum(e.tag == "a" for e in stack[index:])
-        block = any(e.tag not in INLINE for e in stack[index:])
+        nonlocal element
+        block = bool(blocks) and blocks[-1] >= index
         if block:
             flush()
-        del stack[index:]
+        while len(stack) > index:
+            tag, _, number = stack.pop()
+            opened[tag] -= 1
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+                tree.last[number] = len(tree.tags) - 1
         if block:
-            line.path = stack[-1].path
+            element = stack[-1][2]
 
     while at < len(html):
-        match = _TOKEN.search(html, at)
-        text = html[at : match.start()] if match else html[at:]
-        if text and not stack[-1].boilerplate:
+        match = _TOKEN.search(html, at, limit) if at < limit else None
+        text = html[at : match.start()] if match else html[at:].partition("<!--")[0]
+        if text and not stack[-1][1]:
             text = unescape(text)
-            line.text.append(text)
-            if links:
-                line.linked += len(text.strip())
+            parts.append(text)
+            if opened.get("a"):
+                linked += len(text.strip())
         if not match:
             break
         at = match.end()
         slash, tag, attributes = match.group(1, 2, 3) if match.group(2) else match.group(4, 5, 6)
         if not tag:
+            if match.group().startswith("<!--") and not match.group().endswith(("-->", "--!>")):
+                break  # a comment that is never closed
             continue
         tag = tag.lower()
         if slash:
-            index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if index:
+            if opened.get(tag):
+                index = len(stack) - 1
+                while stack[index][0] != tag:
+                    index -= 1
                 close(index)
             elif tag not in INLINE:
                 flush()
             continue
         if tag in RAW:
-            end = lower.find(f"</{tag}", at)
-            if end >= 0:
-                at = lower.find(">", end) + 1 or len(html)
+            if last_close.get(tag, -1) >= at:
+                end = _ends.get(tag) or _ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?![\w-])", re.I))
+                found = end.search(html, at)
+                at = html.find(">", found.start()) + 1 or len(html) if found else at
             elif tag in ("script", "style"):
                 at = len(html)
-            line.text.append(" ")
+            parts.append(" ")
             continue
+        inline = tag in INLINE
         if tag in VOID:
-            if tag in INLINE:
-                line.text.append(" " if tag in ("br", "img") else "")
-            else:
+            if not inline:
                 flush()
+            elif tag in ("br", "img"):
+                parts.append(" ")
             continue
-        if tag not in INLINE:
-            index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag not in INLINE), 0)
-            if index and (stack[index].tag == "p" or stack[index].tag == tag and tag in ("li", "tr", "td", "th", "dt", "dd", "option")):
-                close(index)
+        if not inline:
+            if blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] == tag and tag in _CLOSES):
+                close(blocks[-1])
             flush()
-        parent = stack[-1]
-        inside, content = parent.boilerplate, tag in CONTENT or "=" in attributes and bool(_BODY.search(attributes))
+        _, inside, parent = stack[-1]
+        content = tag in CONTENT or "=" in attributes and bool(_BODY.search(attributes))
         if not inside and not content and tag not in ("html", "body"):
             # A header inside the article holds its title.
-            marks = MARKS - {"header"} if any(tags[i] in CONTENT for i in parent.path) else MARKS
-            inside = tag in BOILERPLATE and not (tag == "header" and marks is not MARKS) or _marked(attributes, marks)
-            inside = inside and lower.find(f"</{tag}", at) >= 0
-        number = len(tags)
-        tags[number] = "article" if content else tag
-        stack.append(Element(tag, inside, number, parent.path if tag in INLINE else (*parent.path, number)))
-        links += tag == "a"
-        if tag not in INLINE:
-            line.path = stack[-1].path
+            within = tree.content[parent] > 0
+            inside = (tag in BOILERPLATE and not (tag == "header" and within) or _marked(attributes, within)) and last_close.get(tag, -1) >= at
+        number = parent if inline else tree.add("article" if content else tag, parent)
+        if not inline:
+            blocks.append(len(stack))
+            element = number
+        stack.append((tag, inside, number))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return lines, tags
+    close(1)
+    tree.last[0] = len(tree.tags) - 1
+    return lines, tree
 
 
-def core_region(lengths: list[int]) -> tuple[int, int] | None:
-    """First and last + 1 line of the region between a surge and its dive that has the most text."""
-    n = len(lengths)
+def regions(lengths: list[int]) -> list[tuple[int, int]]:
+    """First and last + 1 line of each region between a surge and its dive."""
+    n, out, at = len(lengths), [], 0
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    best, at = None, 0
     while at < n:
         if sums[at] < THRESHOLD:
             at += 1
@@ -172,38 +218,43 @@ def core_region(lengths: list[int]) -> tuple[int, int] | None:
         last = max(first, at)
         while last < n and sums[last] > 0:
             last += 1
-        total = sum(lengths[first:last])
-        if best is None or total > best[0]:
-            best = total, first, last
+        out.append((first, last))
         at = max(last, at + 1)
-    return best and best[1:]
+    return out
+
+
+def core_region(lengths: list[int]) -> tuple[int, int] | None:
+    """The region with the most text, the first of them."""
+    return max(regions(lengths), key=lambda r: sum(lengths[r[0] : r[1]]), default=None)
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page."""
-    lines, tags = page_lines(html or "")
+    lines, tree = page_lines(html or "")
     if not lines:
         return ""
-    core = core_region([len(text) - linked for _, text, linked in lines])
-    first, last = core or (0, len(lines))
-    held = [path for path, text, linked in lines[first:last] if len(text) > linked] or [path for path, _, _ in lines[first:last]]
-    outermost = [next((e for e in path if tags[e] in CONTENT), 0) for path in held]
-    content = set(outermost) - {0}
-    if all(outermost):
-        return "\n\n".join(text for path, text, _ in lines if not content.isdisjoint(path))
-    holders = [e for e in set(held[0]).intersection(*held) if tags[e] not in ("html", "body")]
-    if holders:
-        # Elements are numbered as they open, so the largest number is the innermost.
-        chosen = max(holders)
-        if tags[chosen] in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-            outer = [e for e in holders if e < chosen and tags[e] not in ("p", "li", "td", "blockquote", "pre")]
-            chosen = max(outer) if outer else -1
-        if chosen >= 0:
-            return "\n\n".join(text for path, text, _ in lines if chosen in path)
-    # Short blocks before the surge belong to the core if they are its first block's neighbours in one parent.
-    while first and lines[first - 1][0][:-1] == lines[first][0][:-1] and len(lines[first - 1][1]) > lines[first - 1][2]:
-        first -= 1
-    return "\n\n".join(text for i, (path, text, _) in enumerate(lines) if first <= i < last or not content.isdisjoint(path))
+    lengths = [len(x.text) - x.linked for x in lines]
+    first, last = core_region(lengths) or (0, len(lines))
+    held = {x.element for x in lines[first:last] if len(x.text) > x.linked} or {x.element for x in lines[first:last]}
+    content = {tree.content[e] for e in held}
+    if 0 not in content:
+        return "\n\n".join(x.text for x in lines if tree.content[x.element] in content)
+    holder, high = min(held), max(held)
+    while holder and (tree.last[holder] < high or tree.tags[holder] in _LEAVES):
+        holder = tree.parent[holder]
+    if holder and tree.tags[holder] not in ("html", "body"):
+        return "\n\n".join(x.text for x in lines if holder <= x.element <= tree.last[holder])
+    beside, content = {tree.parent[e] for e in held}, content - {0}
+    taken = [r for r in regions(lengths) if any(lengths[i] and tree.parent[lines[i].element] in beside for i in range(*r))] or [(first, last)]
+    keep = [tree.content[x.element] in content for x in lines]
+    for a, b in taken:
+        # Short blocks before a surge belong to it if they are its first block's neighbours in one parent.
+        while a and tree.parent[lines[a - 1].element] == tree.parent[lines[a].element] and lengths[a - 1]:
+            a -= 1
+        keep[a:b] = [True] * (b - a)
+    for i in range(taken[0][0], taken[-1][1]):
+        keep[i] = keep[i] or lengths[i] > 0 and tree.parent[lines[i].element] in beside
+    return "\n\n".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,7 +7,8 @@ grouped counts; it is tempered, as neighbouring trigrams are not independent.  E
 
 P(declared | lang) comes from counts of the declared markup language against the text's posterior.
 P(lang | host) is smoothed up a chain: host, registered domain, address suffix, all pages; each level
-adds ``strength`` pseudo-pages of its parent, and all levels are grouped sums of text posteriors.
+adds ``strength`` pseudo-pages of its parent, and all levels are grouped sums of text posteriors.  A
+page's own posterior is taken out of all these sums before they are used for it, so its text counts once.
 
 Defined cases: null or empty html has no text evidence and no declared language; a null or malformed URL
 has the empty host; repeated rows each count; an empty page table gives no rows, and labelled texts
@@ -73,12 +74,18 @@ def trigram_counts(texts: DataFrame, text_col: str = "text", lang_col: str = "la
     return map_arrow(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """The languages, and their log probabilities of each bucket: at most BUCKETS numbers for each language."""
-    counts = trigram_counts(texts, text_col, lang_col).toPandas()
-    langs = sorted(counts["lang"].unique())
+def fit(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, max_langs: int = 256) -> tuple[list[str], np.ndarray]:
+    """The languages, and their log probabilities of each bucket: at most BUCKETS numbers for each of ``max_langs`` languages.
+
+    More labels than that are an error, since the model is sent to all tasks.
+    """
+    grouped = materialize(trigram_counts(texts, text_col, lang_col), "trigram-counts")
+    langs = sorted(r.lang for r in grouped.select("lang").distinct().limit(max_langs + 1).collect())
     if not langs:
         raise ValueError("no labelled texts to fit the text model on")
+    if len(langs) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    counts = grouped.toPandas()
     n = np.zeros((len(langs), BUCKETS))
     n[counts["lang"].map({x: i for i, x in enumerate(langs)}), counts["bucket"]] = counts["n"]
     return langs, np.log((n + smoothing) / (n.sum(1, keepdims=True) + smoothing * BUCKETS)).astype(np.float32)
@@ -113,27 +120,35 @@ def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray, temper:
     return map_arrow(rows, run, f"{id_col} {kind}, url string, declared string, n_trigrams long, text_posterior array<double>")
 
 
-def _sums(rows: DataFrame, by: list[str], size: int, prefix: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*(F.sum(F.col("text_posterior")[k]).alias(f"{prefix}{k}") for k in range(size)))
+def _own(size: int) -> Column:
+    """A page's own share of the sums: its text posterior, nothing without text."""
+    return F.when(F.col("n_trigrams") > 0, F.col("text_posterior")).otherwise(F.array(*[F.lit(0.0)] * size))
 
 
-def host_priors(evidence: DataFrame, size: int, strength: float) -> DataFrame:
-    """host and its smoothed prior, as array of double, from grouped sums at each level of the chain."""
-    sums = _sums(evidence.where("n_trigrams > 0"), ["host", "domain", "suffix"], size, "h")
-    up = lambda child, parent, by: child.groupBy(*by).agg(*(F.sum(f"{child_of[parent]}{k}").alias(f"{parent}{k}") for k in range(size)))
-    child_of = {"d": "h", "s": "d", "g": "s"}
-    domains = up(sums, "d", ["domain", "suffix"])
-    suffixes = up(domains, "s", ["suffix"])
-    everything = up(suffixes.withColumn("__all", F.lit(0)), "g", ["__all"])
+def _sums(rows: DataFrame, by: list[str], column: str, size: int, out: str) -> DataFrame:
+    """The array ``column`` summed element by element."""
+    parts = rows.groupBy(*by).agg(*(F.sum(F.col(column)[k]).alias(f"__{k}") for k in range(size)))
+    return parts.select(*by, F.array(*(f"__{k}" for k in range(size))).alias(out))
 
-    def smoothed(prefix: str, parent: list[Column]) -> list[Column]:
-        total = sum((F.col(f"{prefix}{k}") for k in range(1, size)), F.col(f"{prefix}0"))
-        return [(F.col(f"{prefix}{k}") + F.lit(strength) * parent[k]) / (total + F.lit(strength)) for k in range(size)]
 
+def host_sums(evidence: DataFrame, size: int) -> DataFrame:
+    """host and the sums of the text posteriors of all pages of the host (h), its domain (d), its suffix (s) and all (g)."""
+    hosts = _sums(evidence.withColumn("own", _own(size)), ["host", "domain", "suffix"], "own", size, "h")
+    domains = _sums(hosts, ["domain", "suffix"], "h", size, "d")
+    suffixes = _sums(domains, ["suffix"], "d", size, "s").withColumn("__all", F.lit(0))
     # One row for all pages, and few suffixes: Spark broadcasts them only if their measured size allows it.
-    suffixes = suffixes.withColumn("__all", F.lit(0)).join(everything, "__all").select("suffix", F.array(*smoothed("s", smoothed("g", [F.lit(1.0 / size)] * size))).alias("s_prior"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", F.array(*smoothed("d", [F.col("s_prior")[k] for k in range(size)])).alias("d_prior"))
-    return sums.join(domains, ["domain", "suffix"]).select("host", F.array(*smoothed("h", [F.col("d_prior")[k] for k in range(size)])).alias("prior"))
+    suffixes = suffixes.join(_sums(suffixes, ["__all"], "s", size, "g"), "__all").drop("__all")
+    return hosts.join(domains.join(suffixes, "suffix"), ["domain", "suffix"]).select("host", "h", "d", "s", "g")
+
+
+def without(sums: Column, own: Column) -> Column:
+    return F.zip_with(sums, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+
+
+def smoothed(sums: Column, own: Column, parent: Column, strength: float) -> Column:
+    """The distribution of the sums less ``own``, with ``strength`` pseudo-pages of the parent."""
+    total = F.aggregate(without(sums, own), F.lit(0.0), lambda a, x: a + x)
+    return F.zip_with(without(sums, own), parent, lambda x, p: (x + F.lit(strength) * p) / (total + F.lit(strength)))
 
 
 def identify(
@@ -147,18 +162,21 @@ def identify(
     found = materialize(
         found.withColumn("host", host).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2)), "language-evidence"
     )
-    priors = materialize(host_priors(found, size, strength), "host-priors")
-    declared = materialize(_sums(found.where("declared is not null and n_trigrams > 0"), ["declared"], size, "c"), "declared-counts")
-    # P(declared | lang): a row for each declared code, smoothed by one page spread over the codes.
-    totals = declared.agg(F.count("*").alias("codes"), *(F.sum(f"c{k}").alias(f"t{k}") for k in range(size))).first()
-    share = F.array(*((F.col(f"c{k}") + 1.0 / max(1, totals["codes"])) / ((totals[f"t{k}"] or 0.0) + 1.0) for k in range(size)))
-    declared = declared.select("declared", share.alias("likelihood"))
-    even = F.array(*[F.lit(1.0 / size)] * size)
+    sums = materialize(host_sums(found, size), "host-sums")
+    declared = materialize(_sums(found.where("declared is not null").withColumn("own", _own(size)), ["declared"], "own", size, "c"), "declared-counts")
+    # P(declared | lang): counts of each declared code, smoothed by one page spread over the codes.
+    totals = declared.agg(F.count("*").alias("codes"), *(F.sum(F.col("c")[k]).alias(f"t{k}") for k in range(size))).first()
+    every = F.array(*(F.lit(totals[f"t{k}"] or 0.0) for k in range(size)))
+    even, own = F.array(*[F.lit(1.0 / size)] * size), F.col("own")
+    prior = even
+    for level in ("g", "s", "d", "h"):
+        prior = smoothed(F.col(level), own, prior, strength)
+    likelihood = F.zip_with(without(F.col("c"), own), without(every, own), lambda c, t: (c + F.lit(1.0 / max(1, totals["codes"]))) / (t + 1.0))
     weights = F.transform(
-        F.arrays_zip("text_posterior", F.coalesce("prior", even).alias("p"), F.coalesce("likelihood", even).alias("d")),
+        F.arrays_zip("text_posterior", prior.alias("p"), F.coalesce(likelihood, even).alias("d")),
         lambda x: F.greatest(x["text_posterior"], F.lit(1e-300)) * x["p"] * x["d"],
     )
-    fused = found.join(priors, "host", "left").join(declared, "declared", "left").withColumn("__w", weights)
+    fused = found.join(sums, "host", "left").join(declared, "declared", "left").withColumn("own", _own(size)).withColumn("__w", weights)
     total = F.aggregate("__w", F.lit(0.0), lambda a, x: a + x)
     names = F.array(*map(F.lit, langs))
     fused = fused.withColumn("posterior", F.transform("__w", lambda x: F.try_divide(x, total)))

@@ -165,10 +165,17 @@ def encode_with_offsets(docs: DataFrame, model_path: str, id_col: str = "doc_id"
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts."""
+    """id, n_tokens, ids_sha256 and decoded_sha256 of encoded texts, spans_sha256 and the source bytes that the pieces cover.
+
+    ``spans_sha256`` is of all first bytes joined by commas, a semicolon, and all ends likewise.
+    """
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(joined("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.concat_ws(";", joined("begins"), joined("ends")), 256).alias("spans_sha256"),
+        # Pieces follow each other, and those of one character share its bytes.
+        F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long").alias("covered_bytes"),
     )

@@ -51,7 +51,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = decontamination.with_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontamination.hit_summary(matched).select(F.col("__row.doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontamination.hit_summary(matched).select(F.col("__row.doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_at", "longest_item")
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +69,27 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (
-  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  SELECT *, row_number() OVER () AS nr FROM (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
 iw AS (
-  SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g
-  FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+  SELECT item, nr, ip, k, array_to_string(w[ip:ip + k - 1], ' ') AS g
+  FROM (SELECT item, nr, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS ip FROM i WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT k FROM iw),
 dw AS (
   SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') AS g
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, lengths)),
-hits AS (SELECT doc_id, p, k, item FROM dw JOIN iw USING (k, g)),
+hits AS (SELECT doc_id, p, k, item, nr, ip FROM dw JOIN iw USING (k, g)),
 words AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS at FROM hits),
 n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, item, min(p) - 1 AS at, count(*) + any_value(k) - 1 AS n
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, nr, p - ip ORDER BY p) AS island FROM hits) GROUP BY doc_id, item, nr, p - ip, island),
+longest AS (SELECT doc_id, n AS longest_words, at AS longest_at, item AS longest_item FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item NULLS FIRST) = 1),
 m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(longest_words, 0) AS BIGINT) AS longest_words, CAST(longest_at AS BIGINT) AS longest_at, longest_item
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 OP3_SQL = r"""

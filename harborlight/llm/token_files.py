@@ -72,15 +72,23 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
+#: Bytes of the source (as Spark's statistics give them) for one shard, and the most shards.
+SHARD_BYTES, MOST_SHARDS = 128 << 20, 100_000
 #: Text bytes encoded at once: larger than elsewhere, as each time the table of known words is merged.
 ENCODE_BYTES = 2 << 20
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Write the shards below ``folder``; returns their manifest with bases (shard, path, dtype, n_docs, n_tokens, base)."""
+    """Write the shards below ``folder``; returns their manifest with bases (shard, path, dtype, n_docs, n_tokens, base).
+
+    Without ``shards`` there is one for every ``SHARD_BYTES`` of the source, and at least the session's number of
+    shuffle partitions.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # Spark's default for a source of unknown size is near the greatest long
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-known // SHARD_BYTES)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     # The hash lets a range end between rows of one id, should very many rows share it.
     rows = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -164,9 +166,140 @@ def test_language_accuracy_and_priors(spark):
         language_id.fit(labelled.limit(0))
 
 
+def test_language_posterior_against_loop(spark):
+    labelled = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(31)
+    texts = [r.text[:300] for r in labelled.where("length(text) > 20").limit(40).collect()]
+    urls = ["http://a.x.fr/1", "http://b.x.fr", "https://b.x.fr:80/p", "http://y.de", "http://only.es/z", "junk", None]
+    rows = [(i, rng.choice(urls), rng.choice(["", '<html lang="de">', "<html lang=fr-CA>"]) + f"<p>{rng.choice([*texts, ''])}</p>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    langs, model = language_id.fit(labelled)
+    found = language_id.text_evidence(pages, langs, model, 0.2, "page_id", "url", "html").collect()
+    host = lambda u: re.sub(r":\d*$", "", re.match(r"^.*?://([^/?#]*)", u).group(1).lower()) if u and "://" in u else ""
+    levels = lambda u: [("all",), ("suffix", host(u).split(".")[-1]), ("domain", ".".join(host(u).split(".")[-2:])), ("host", host(u))]
+    size, codes = len(langs), len({r.declared for r in found if r.declared})
+    got = {r.page_id: r.posterior for r in language_id.identify(pages, labelled).collect()}
+    for page in found:
+        others = [r for r in found if r.page_id != page.page_id and r.n_trigrams]  # all that the page's own text is not in
+        prior = [1 / size] * size
+        for level in levels(page.url):
+            sums = [sum(r.text_posterior[k] for r in others if level in levels(r.url)) for k in range(size)]
+            prior = [(x + 5 * p) / (sum(sums) + 5) for x, p in zip(sums, prior, strict=True)]
+        counts = [sum(r.text_posterior[k] for r in others if r.declared == page.declared) for k in range(size)]
+        totals = [sum(r.text_posterior[k] for r in others if r.declared) for k in range(size)]
+        likely = [(c + 1 / codes) / (t + 1) if page.declared else 1 for c, t in zip(counts, totals, strict=True)]
+        weights = [t * p * x for t, p, x in zip(page.text_posterior, prior, likely, strict=True)]
+        want = [w / sum(weights) for w in weights]
+        assert [got[page.page_id][x] for x in langs] == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError):
+        language_id.fit(labelled, max_langs=2)
+
+
 # 5 HTML extraction
 
 
+class NaivePage(HTMLParser):
+    """Well-formed pages of divs, paragraphs, links and articles: lines with the path of their elements."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.path, self.lines, self.text, self.links, self.n = [(0, "")], [], "", 0, 0
+        self.feed(html)
+        self.flush()
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            self.lines.append((list(self.path), text, min(self.links, len(text))))
+        self.text, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag != "a":
+            self.flush()
+            self.n += 1
+        self.path.append((None if tag == "a" else self.n, tag))
+
+    def handle_endtag(self, tag):
+        if tag != "a":
+            self.flush()
+        self.path.pop()
+
+    def handle_data(self, data):
+        if any(t == "nav" for _, t in self.path):
+            return
+        self.text += data
+        self.links += len(data.strip()) * any(t == "a" for _, t in self.path)
+
+
+def naive_main_text(html):
+    lines = NaivePage(html).lines
+    lines = [([e for e in path if e[0] is not None], text, linked) for path, text, linked in lines]
+    own = [len(text) - linked for _, text, linked in lines]
+    sums = [sum(own[i : i + 3]) for i in range(len(own))]
+    spans, i = [], 0
+    while i < len(own):
+        if sums[i] >= 80:
+            a = i
+            while not own[a]:
+                a += 1
+            b = a
+            while b < len(own) and sums[b] > 0:
+                b += 1
+            spans.append((a, b))
+            i = b
+        else:
+            i += 1
+    core = max(spans, key=lambda s: sum(own[s[0] : s[1]]), default=(0, len(lines)))
+    held = [lines[i][0] for i in range(*core) if own[i]] or [lines[i][0] for i in range(*core)]
+    tops = [next((e for e in path if e[1] in ("article", "main")), None) for path in held]
+    if lines and None not in tops:
+        return [t for path, t, _ in lines if any(e in tops for e in path)]
+    common_ = [e for e in held[0] if all(e in path for path in held) and e[1] not in ("", "html", "body", "p", "h2", "li")] if held else []
+    if common_:
+        return [t for path, t, _ in lines if common_[-1] in path]
+    return None  # the whole page: other tests
+
+
+def test_extraction_against_naive_second_implementation():
+    rng, told = random.Random(41), 0
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "nav", "article", "main", "div", "div", "section"] if depth else ["p"])
+        if kind in ("p", "h2"):
+            return f"<{kind}>{'word ' * rng.choice([1, 4, 20, 60])}{rng.choice(['', '<a>link text</a>'])}</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li><a>{'go ' * rng.randrange(1, 5)}</a></li>" for _ in range(rng.randrange(1, 5))) + "</ul>"
+        return f"<{kind}>" + "".join(block(depth - 1) for _ in range(rng.randrange(1, 5))) + f"</{kind}>"
+
+    for _ in range(1000):
+        page = "<html><body>" + "".join(block(3) for _ in range(rng.randrange(1, 5))) + "</body></html>"
+        want = naive_main_text(page)
+        if want is not None:
+            told += 1
+            assert html_extraction.main_text(page) == "\n\n".join(want), page
+    assert told > 200
+
+
+def test_extraction_is_linear_on_hostile_markup():
+    pages = {
+        "nav": "<nav>x " * 20000, "span": "<span>x " * 20000 + "</b>" * 20000, "spans and blocks": "<span>x" * 10000 + "<p>y" * 10000, "div": "<div>some text here " * 8000, "open tag": "<a " * 20000,
+        "raw": "<textarea>" * 20000, "comments": "<!-- " * 20000 + ">", "quotes": "<p title='>" * 20000, "crossed": "<b><p>x</b>" * 20000, "lists": "<ul><li>x" * 10000,
+    }
+    for name, page in pages.items():
+        began = time.perf_counter()
+        html_extraction.main_text(page)
+        assert time.perf_counter() - began < 2, name
+
+
+def test_extraction_keeps_article_text():
+    a, b = ("one " * 60).strip(), ("two " * 80).strip()
+    links = "".join(f"<li><a href=/{i}>see also {i}</a></li>" for i in range(3))
+    assert html_extraction.main_text(f"<body><p>{a}</p><ul>{links}</ul><p>{b}</p></body>") == f"{a}\n\n{b}"
+    assert html_extraction.main_text(f"<article><p>Energy is <math><mi>E</mi></math> here</p><p>{a}</p></article>") == f"Energy is E here\n\n{a}"
+    for name, kept in (("related-work", True), ("alert", True), ("adoption", True), ("related-posts", False), ("comments", False), ("ad", False), ("share-buttons", False), ("newsletter", False)):
+        assert ("inner" in html_extraction.main_text(f"<article><p>{a}</p><div class='{name}'>inner</div><p>{b}</p></article>")) == kept, name
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
