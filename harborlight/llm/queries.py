@@ -82,9 +82,9 @@ hits AS (SELECT doc_id, p, k, item, nr, ip FROM dw JOIN iw USING (k, g)),
 words AS (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS at FROM hits),
 n AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
 runs AS (
-  SELECT doc_id, item, min(p) - 1 AS at, count(*) + any_value(k) - 1 AS n
+  SELECT doc_id, item, min(p) - 1 AS place, count(*) + any_value(k) - 1 AS n
   FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, nr, p - ip ORDER BY p) AS island FROM hits) GROUP BY doc_id, item, nr, p - ip, island),
-longest AS (SELECT doc_id, n AS longest_words, at AS longest_at, item AS longest_item FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item NULLS FIRST) = 1),
+longest AS (SELECT doc_id, n AS longest_words, place AS longest_at, item AS longest_item FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place, item NULLS FIRST) = 1),
 m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
