@@ -408,6 +408,32 @@ def test_passages_with_odd_ids(spark):
     assert out.columns == df.columns and sorted(r.text[:9] for r in out.collect()) == sorted([a[:9], b[:9], "x"])
 
 
+def test_passages_whose_seeds_came_up_in_different_texts(spark):
+    rng, texts, want = random.Random(47), [], []
+    for _ in range(100):
+        passage = words(rng, 60, 10**8)
+        for part in (passage[:32], passage[28:], passage, passage):
+            texts.append(" ".join(words(rng, 40, 10**8) + part + words(rng, 40, 10**8)))
+        want.append((len(texts) - 1, len(texts) - 2))
+    found = {(r.doc_id, r.ref_doc_id): r.n_words for r in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert sum(found.get(pair, 0) >= 60 for pair in want) >= 97
+
+
+def test_recall_of_fuzzy_passages(spark):
+    # Passages of 60 to 120 words of which one word in ten is replaced, in texts whose ids are divisible by 20, against all others.
+    rng, texts, want = random.Random(53), [], set()
+    for i in range(600):
+        texts.append(" ".join(words(rng, 150, 10**8)))
+        if i % 20 == 0 and i:
+            passage = words(rng, rng.randrange(60, 121), 10**8)
+            changed = [f"z{rng.randrange(10**8)}" if rng.random() < 0.1 else w for w in passage]
+            texts[i - rng.randrange(1, 20)] += " " + " ".join(passage)
+            texts[i] += " " + " ".join(changed)
+            want.add(i)
+    found = {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
 def test_best_chains_against_quadratic():
     rng = np.random.default_rng(3)
     for _ in range(60):
