@@ -2,60 +2,68 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import relevance_terms as terms_of
 from .numbers import half_up
 
 
-def any_term(text: Column, terms: list[str] | tuple[str, ...]) -> Column:
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once for each row, however often ``make`` uses it."""
+    return F.transform(F.array(value), make)[0]
+
+
+def any_term(text: Column, terms: Iterable[str]) -> Column:
     """Whether the text contains any of the terms."""
-    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t)) if terms else F.lit(False)
+    terms = list(terms)
+    # The look-ahead for first letters passes most positions by in one step.
+    first = "".join(dict.fromkeys(re.escape(t[0]) for t in terms))
+    return text.rlike(f"(?=[{first}])(?:{'|'.join(map(re.escape, terms))})") if terms else F.lit(False)
 
 
-def any_word(words: Column, terms: list[str] | tuple[str, ...]) -> Column:
-    return F.arrays_overlap(words, F.array(*map(F.lit, terms))) if terms else F.lit(False)
+def any_word(text: Column, terms: Iterable[str]) -> Column:
+    """Whether a lower-case text has any of the terms as a whole run of Latin letters and digits; other terms never fit."""
+    terms = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
+    first = "".join(dict.fromkeys(t[0] for t in terms))
+    return text.rlike(f"(?=[{first}])(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])") if terms else F.lit(False)
 
 
 @dataclass(frozen=True)
 class RelevanceTerms:
-    """Term lists of the relevance cascade.  The defaults are the short lists; pass the long ones of a deployment."""
-
-    strong: tuple[str, ...] = ("earnings", "guidance", "dividend", "buyback", "tariff", "tariffs", "sanctions")
-    weak: tuple[str, ...] = ("demand", "orders", "supply")
-    phrases: tuple[str, ...] = ("rate cut", "rate hike", "export controls", "oil prices")
-    sector_triggers: tuple[str, ...] = ("orders", "capacity", "shipments", "guidance")
-    chinese: tuple[str, ...] = ("降息", "加息", "净利润", "回购", "召回", "原油", "制裁")
-    recall_friends: tuple[str, ...] = ("召回大使", "召回驻")
-    broad: tuple[str, ...] = ("港股", "a股", "大盘")
-    us_context: tuple[str, ...] = ("盘前", "收盘", "上涨", "下跌")
-    digest_titles: tuple[str, ...] = ("早报", "晚报", "8点1氪")
-    acronyms: tuple[str, ...] = ("cpi", "gdp", "ppi", "pmi", "opec", "fomc", "ecb", "boj")
-    geo_actions: tuple[str, ...] = ("空袭", "袭击", "封锁", "blockade", "airstrike")
-    energy_carriers: tuple[str, ...] = ("原油", "油轮", "港口", "管道", "tanker", "pipeline", "crude")
-    status_changes: tuple[str, ...] = ("恢复通行", "停航", "中断", "reopened", "suspended")
-    status_carriers: tuple[str, ...] = ("油轮", "航运", "海峡", "tanker", "strait")
-    noise: tuple[str, ...] = ("演唱会", "球队", "暴雨", "气温")
-    # Shipping, named geopolitics, sectors.
-    shipping_routes: tuple[str, ...] = ("shipper", "shippers", "shipping", "container", "operators")
-    shipping_disruptions: tuple[str, ...] = ("red sea", "route", "routes", "targeting")
-    taiwan: tuple[str, ...] = ("对台", "台湾", "台海")
-    arms: tuple[str, ...] = ("军售", "导弹", "武器")
-    iran: tuple[str, ...] = ("伊朗",)
-    military: tuple[str, ...] = ("军事行动", "动武", "军事打击", "空袭", "袭击")
-    war_powers: tuple[str, ...] = ("战争权力", "议案", "参议院", "投票", "否决")
-    concepts: tuple[str, ...] = ("概念", "板块")
-    moves: tuple[str, ...] = ("涨停", "拉升", "异动", "走强")
-    generic_tech: tuple[str, ...] = ("app", "software", "update", "feature")
-    sectors: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = field(
-        default_factory=lambda: {
-            "ai_compute": (("ai", "gpu", "nvidia", "accelerator", "accelerators"), ("ai", "gpu", "server", "compute", "accelerator", "nvidia")),
-            "semiconductors": (("chip", "chips", "chipmaker", "chipmakers", "semiconductor", "semiconductors", "wafer"), ("chip", "chips", "semiconductor", "export controls", "wafer")),
-            "chinese_internet": (("tencent", "alibaba", "meituan", "jd", "baidu", "pdd", "netease", "gaming", "internet"), ("tencent", "alibaba", "meituan", "jd", "baidu", "internet", "gaming")),
-        }
-    )
+    """Term lists of the relevance cascade."""
+
+    strong: tuple[str, ...] = terms_of.STRONG
+    weak: tuple[str, ...] = terms_of.WEAK
+    phrases: tuple[str, ...] = terms_of.PHRASES
+    sector_triggers: tuple[str, ...] = terms_of.SECTOR_TRIGGERS
+    chinese: tuple[str, ...] = terms_of.MONETARY + terms_of.MACRO + terms_of.REGULATORS + terms_of.TRADE + terms_of.CORPORATE + terms_of.COMMODITIES + terms_of.MARKET_MOVES
+    recall_friends: tuple[str, ...] = terms_of.RECALL_FRIENDS
+    broad: tuple[str, ...] = terms_of.BROAD
+    us_context: tuple[str, ...] = terms_of.US_CONTEXT
+    digest_titles: tuple[str, ...] = terms_of.DIGEST_TITLES
+    acronyms: tuple[str, ...] = terms_of.ACRONYMS
+    geo_actions: tuple[str, ...] = terms_of.GEO_ACTIONS
+    energy_carriers: tuple[str, ...] = terms_of.CARRIERS
+    status_changes: tuple[str, ...] = terms_of.STATUS_CHANGES
+    status_carriers: tuple[str, ...] = terms_of.CARRIERS + terms_of.MORE_CARRIERS
+    noise: tuple[str, ...] = terms_of.NOISE
+    shipping_routes: tuple[str, ...] = terms_of.SHIPPING_ROUTES
+    shipping_disruptions: tuple[str, ...] = terms_of.SHIPPING_DISRUPTIONS
+    taiwan: tuple[str, ...] = terms_of.TAIWAN
+    arms: tuple[str, ...] = terms_of.ARMS
+    iran: tuple[str, ...] = terms_of.IRAN
+    military: tuple[str, ...] = terms_of.MILITARY
+    war_powers: tuple[str, ...] = terms_of.WAR_POWERS
+    concepts: tuple[str, ...] = terms_of.CONCEPTS
+    moves: tuple[str, ...] = terms_of.MOVES
+    generic_tech: tuple[str, ...] = terms_of.GENERIC_TECH
+    sectors: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = field(default_factory=lambda: dict(terms_of.SECTORS))
+    anchor_phrases: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(terms_of.ANCHOR_PHRASES))
 
 
 #: Reasons that do not pass the ingest gate alone.
@@ -68,46 +76,56 @@ def relevance(title: Column, summary: Column, body: Column, terms: RelevanceTerm
     Strong signals come first, then sector rules; noise rejects only what no strong signal has claimed.
     """
     raw = F.concat_ws(" ", title, summary, body)
-    text = F.lower(raw)
-    words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1)
-    sectors = F.filter(F.array(*(F.when(any_word(words, anchors) & any_term(text, near), F.lit(name)) for name, (anchors, near) in terms.sectors.items())), lambda s: s.isNotNull())
-    sector = F.size(sectors) > 0
+    texts = F.struct(title.alias("title"), raw.alias("raw"), F.lower(raw).alias("text"))
+    return bound(texts, lambda x: _cascade(x["title"], x["raw"], x["text"], terms))
+
+
+def _cascade(title: Column, raw: Column, text: Column, terms: RelevanceTerms) -> Column:
+    def in_sector(name: str) -> Column:
+        anchors, near = terms.sectors[name]
+        return (any_word(text, anchors) | any_term(text, terms.anchor_phrases.get(name, ()))) & any_term(text, near)
+
+    sector = F.lit(False)
+    for name in terms.sectors:
+        sector = sector | in_sector(name)
     alias_text = F.when(any_term(title, terms.digest_titles), F.lower(title)).otherwise(text)
     broad = (F.contains(alias_text, F.lit("美股")) & any_term(alias_text, terms.us_context)) | any_term(alias_text, terms.broad)
     chinese = broad | any_term(text, [t for t in terms.chinese if t != "召回"])
     if "召回" in terms.chinese:
         chinese = chinese | (F.contains(text, F.lit("召回")) & ~any_term(text, terms.recall_friends))
     steps = [
-        (any_word(words, terms.strong), True, "market_signal_term"),
-        (sector & any_word(words, terms.weak), True, "sector_signal_term"),
-        (any_term(text, terms.phrases), True, "market_signal_phrase"),
-        (chinese, True, "chinese_market_phrase"),
-        (any_word(words, terms.acronyms), True, "macro_acronym"),
-        (any_word(words, terms.shipping_routes) & any_term(text, terms.shipping_disruptions), True, "shipping_disruption"),
-        (any_term(text, terms.geo_actions) & any_term(text, terms.energy_carriers), True, "geo_energy_shipping"),
-        (any_term(text, terms.status_changes) & any_term(text, terms.status_carriers), True, "shipping_status_change"),
-        (any_term(raw, terms.taiwan) & any_term(raw, terms.arms), True, "taiwan_arms_sale"),
-        (any_term(raw, terms.iran) & any_term(raw, terms.military) & any_term(raw, terms.war_powers), True, "iran_war_powers"),
-        (sector & (any_word(words, terms.sector_triggers) | any_term(text, ("export controls", "supply chain"))), True, "sector_signal"),
-        (any_term(text, terms.noise), False, "chinese_noise"),
-        (any_term(raw, terms.concepts) & any_term(raw, terms.moves), True, "concept_mover"),
-        (any_word(words, terms.generic_tech), False, "generic_tech"),
+        (any_word(text, terms.strong), "market_signal_term"),
+        (any_word(text, terms.weak) & sector, "sector_signal_term"),
+        (any_term(text, terms.phrases), "market_signal_phrase"),
+        (chinese, "chinese_market_phrase"),
+        (any_word(text, terms.acronyms), "macro_acronym"),
+        (any_word(text, terms.shipping_routes) & any_term(text, terms.shipping_disruptions), "shipping_disruption"),
+        (any_term(text, terms.geo_actions) & any_term(text, terms.energy_carriers), "geo_energy_shipping"),
+        (any_term(text, terms.status_changes) & any_term(text, terms.status_carriers), "shipping_status_change"),
+        (any_term(raw, terms.taiwan) & any_term(raw, terms.arms), "taiwan_arms_sale"),
+        (any_term(raw, terms.iran) & any_term(raw, terms.military) & any_term(raw, terms.war_powers), "iran_war_powers"),
+        ((any_word(text, terms.sector_triggers) | any_term(text, ("export controls", "supply chain"))) & sector, "sector_signal"),
+        (any_term(text, terms.noise), "chinese_noise"),
+        (any_term(raw, terms.concepts) & any_term(raw, terms.moves), "concept_mover"),
+        (any_word(text, terms.generic_tech), "generic_tech"),
     ]
-    answer = F.struct(F.lit(False).alias("relevant"), F.lit(None).cast("string").alias("reason"))
-    for test, relevant, reason in reversed(steps):
-        answer = F.when(test, F.struct(F.lit(relevant).alias("relevant"), F.lit(reason).alias("reason"))).otherwise(answer)
-    return F.struct(answer["relevant"].alias("relevant"), answer["reason"].alias("reason"), sectors.alias("sectors"))
+    reason = F.lit(None).cast("string")
+    for test, name in reversed(steps):
+        reason = F.when(test, name).otherwise(reason)
+    sectors = F.array_compact(F.array(*(F.when(in_sector(name), F.lit(name)) for name in terms.sectors)))
+    relevant = lambda why: why.isNotNull() & ~F.coalesce(why.isin("chinese_noise", "generic_tech"), F.lit(False))
+    return bound(F.struct(reason.alias("reason"), sectors.alias("sectors")), lambda y: F.struct(relevant(y["reason"]).alias("relevant"), y["reason"].alias("reason"), y["sectors"].alias("sectors")))
 
 
 def ingest_gate(is_official: Column, has_stock_refs: Column, verdict: Column) -> Column:
     """struct<passed, reason>: official sources and items with stock references pass; weak reasons alone do not."""
     made = lambda passed, reason: F.struct(F.lit(passed).alias("passed"), reason.alias("reason"))
-    return (
-        F.when(is_official, made(True, F.lit("official_source"))).when(has_stock_refs, made(True, F.lit("structured_stock_refs")))
-        .when(~verdict["relevant"], made(False, F.concat(F.lit("no_market_signal:"), F.coalesce(verdict["reason"], F.lit("none")))))
-        .when(verdict["reason"].isin(*WEAK_REASONS), made(False, F.concat(F.lit("weak_signal:"), verdict["reason"])))
-        .otherwise(made(True, F.concat(F.lit("market_signal:"), verdict["reason"])))
-    )
+    judged = lambda v: (
+        F.when(~v["relevant"], made(False, F.concat(F.lit("no_market_signal:"), F.coalesce(v["reason"], F.lit("none")))))
+        .when(v["reason"].isin(*WEAK_REASONS), made(False, F.concat(F.lit("weak_signal:"), v["reason"])))
+        .otherwise(made(True, F.concat(F.lit("market_signal:"), v["reason"])))
+    )
+    return F.when(is_official, made(True, F.lit("official_source"))).when(has_stock_refs, made(True, F.lit("structured_stock_refs"))).otherwise(bound(verdict, judged))
 
 
 # Event types by the first keyword that a title has.

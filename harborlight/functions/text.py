@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track visitors.
 TRACKING_PARAMS = "from src ref referer referrer spm share shareid share_token scene clicktime enterid gclid fbclid yclid msclkid mc_cid mc_eid cmpid ncid smid _hsenc _hsmi f".split()
@@ -22,13 +25,27 @@ def title_tokens(title: Column) -> Column:
     return F.concat(latin, pairs)
 
 
+@F.pandas_udf(T.LongType())
+def _majority_bits(hashes: pd.Series) -> pd.Series:
+    """For each array of longs the bits that more than half of them have; 0 for an empty array."""
+    out = np.zeros(len(hashes), np.int64)
+    for first in range(0, len(hashes), 512):
+        some = hashes.iloc[first : first + 512]
+        sizes = np.array([len(h) for h in some])
+        full = np.flatnonzero(sizes)
+        if len(full):
+            flat = np.concatenate([np.asarray(some.iloc[i], "<i8") for i in full])
+            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts = np.add.reduceat(bits, np.cumsum(sizes[full]) - sizes[full], axis=0, dtype=np.int64)
+            out[first + full] = np.packbits(2 * counts > sizes[full, None], axis=1, bitorder="little").view("<i8").ravel()
+    return pd.Series(out)
+
+
 def simhash64(title: Column) -> Column:
-    """SimHash of the title's tokens by the first eight bytes of their SHA-256, as a signed long; 0 without tokens."""
+    """SimHash of the title's tokens by the first eight bytes of their SHA-256, as a signed long; 0 without tokens, null for null."""
     hashes = F.transform(title_tokens(title), lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 16), 16, -10).cast("long"))
-    # For each bit the hashes that have it less those that have not, then the bits where these are more than 0.
-    lead = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda acc, h: F.transform(acc, lambda n, i: n + 2 * F.call_function("shiftrightunsigned", h, i).bitwiseAND(1).cast("int") - 1))
-    bits = F.transform(lead, lambda n, i: F.when(n > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
+    # The bits are counted by arrays: as a lambda over 64 counters this is some fifty times slower.
+    return F.when(title.isNotNull(), _majority_bits(F.coalesce(hashes, F.array().cast("array<long>"))))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -18,30 +18,40 @@ THEMES = "ai cloud revenue smartphone demand supply oil energy shipment shipment
 STOP_WORDS = "the and for with into from after ahead near term still points point market markets update latest news officials existing without next cycle remains remain focus keeps unchanged described mixed timing".split()
 
 
-def lexicon_tokens(text: Column) -> Column:
-    """Latin words that are no stop words, in order, then the Chinese terms that the text has, longest first."""
-    low = F.lower(text)
-    latin = F.filter(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1), lambda w: ~w.isin(STOP_WORDS))
-    chinese = sorted(dict.fromkeys([*POSITIVE_ZH, *NEGATIVE_ZH, *(w for w in THEMES if not w.isascii())]), key=len, reverse=True)
-    return F.concat(latin, F.filter(F.array(*map(F.lit, chinese)), lambda w: F.contains(low, w)))
-
-
 def classify(rows: DataFrame, text: Column) -> DataFrame:
-    """Adds label, score (clamped, 4 places), confidence, keywords (first six) and topic_key."""
-    weights = F.create_map(*(F.lit(x) for pair in {**POSITIVE, **NEGATIVE, **POSITIVE_ZH, **NEGATIVE_ZH}.items() for x in pair))
+    """Adds label, score (clamped, 4 places), confidence, keywords (first six) and topic_key.
+
+    Tokens are the runs of Latin letters and digits that are no stop words, in order, then the Chinese terms
+    that the text has, longest first.
+    """
     sentiment = [*POSITIVE, *NEGATIVE, *POSITIVE_ZH, *NEGATIVE_ZH]
-    tokens = F.col("__tokens")
+    weights = F.create_map(*(F.lit(x) for pair in {**POSITIVE, **NEGATIVE, **POSITIVE_ZH, **NEGATIVE_ZH}.items() for x in pair))
+    latin = [w for w in sentiment if w.isascii()]
+    chinese = sorted(dict.fromkeys([*POSITIVE_ZH, *NEGATIVE_ZH, *(w for w in THEMES if not w.isascii())]), key=len, reverse=True)
+    word = r"(?<![a-z0-9])({})(?![a-z0-9])"
+    # Sentiment words, and what may be a keyword: other words of over two letters, and "ai".
+    weighted = word.format("|".join(latin))
+    other = word.format(f"(?!(?:{'|'.join([*latin, *STOP_WORDS])})(?![a-z0-9]))(?:[a-z0-9]{{3,}}|ai)")
+    low = F.lower(text)
+    found = F.struct(
+        F.regexp_extract_all(low, F.lit(weighted), 1).alias("weighted"), F.array_distinct(F.regexp_extract_all(low, F.lit(other), 1)).alias("words"),
+        F.when(low.rlike("[一-鿿]"), F.filter(F.array(*map(F.lit, chinese)), lambda w: F.contains(low, w))).otherwise(F.array().cast("array<string>")).alias("chinese"),
+    )
+    mine = F.filter("found.chinese", lambda w: ~w.isin(sentiment) & (F.length(w) > 2))
     # Hundredths are summed, so that the order of the terms does not matter.
-    raw = F.aggregate(tokens, F.lit(0), lambda acc, w: acc + F.coalesce(F.round(F.try_element_at(weights, w) * 100), F.lit(0)).cast("int")) / 100.0
-    keywords = F.slice(F.array_distinct(F.filter(tokens, lambda w: ~w.isin(sentiment) & ((F.length(w) > 2) | (w == "ai")))), 1, 6)
-    rest = F.slice(F.col("keywords"), 2, 5)
+    raw = F.aggregate(F.concat("found.weighted", "found.chinese"), F.lit(0), lambda acc, w: acc + F.coalesce(F.round(F.try_element_at(weights, w) * 100), F.lit(0)).cast("int")) / 100.0
+    # Each step is a generator over one row, so that no later one computes it again.
+    step = lambda df, name, value: df.select(*(F.col(c) for c in df.columns), F.inline(F.array(F.struct(value.alias(name)))))
+    out = step(rows, "found", found)
+    out = step(out, "lexicon", F.struct(raw.alias("raw"), F.slice(F.array_distinct(F.concat("found.words", mine)), 1, 6).alias("keywords"))).drop("found")
+    raw, keywords = F.col("lexicon.raw"), F.col("lexicon.keywords")
+    rest = F.slice(keywords, 2, 5)
     themes = F.slice(F.filter(rest, lambda w: w.isin(THEMES)), 1, 2)
-    topic = F.array_join(F.concat(F.slice("keywords", 1, 1), F.when(F.size(themes) > 0, themes).otherwise(F.slice(rest, 1, 2))), " ")
-    out = rows.withColumn("__tokens", lexicon_tokens(text)).withColumn("__raw", raw).withColumn("keywords", keywords)
-    return (
-        out.withColumn("label", F.when(F.col("__raw") >= 0.2, "positive").when(F.col("__raw") <= -0.2, "negative").otherwise("neutral"))
-        .withColumn("score", half_up(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("__raw"))), 4)).withColumn("confidence", half_up(fallback_confidence(F.col("__raw")), 4))
-        .withColumn("topic_key", F.when(F.size("keywords") == 0, "general-market-update").otherwise(topic)).drop("__tokens", "__raw")
+    topic = F.array_join(F.concat(F.slice(keywords, 1, 1), F.when(F.size(themes) > 0, themes).otherwise(F.slice(rest, 1, 2))), " ")
+    return out.select(
+        *(F.col(c) for c in rows.columns), F.when(raw >= 0.2, "positive").when(raw <= -0.2, "negative").otherwise("neutral").alias("label"),
+        half_up(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), 4).alias("score"), half_up(fallback_confidence(raw), 4).alias("confidence"), keywords.alias("keywords"),
+        F.when(F.size(keywords) == 0, "general-market-update").otherwise(topic).alias("topic_key"),
     )
 
 

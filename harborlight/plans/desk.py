@@ -148,14 +148,14 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quant.allocate(vol.join(s, "symbol"))
 
 
-@query(f"""WITH {_B}, x AS (SELECT arg_min(close, trade_date) AS s, arg_max(close, trade_date) AS e FROM b WHERE symbol = 'P1')
-SELECT 'P1' AS symbol, {r('(e * 1.1 + 0.5 * 1.1) / nullif(s, 0) - 1', 6)} AS total_return FROM x""")
+@query(f"""WITH {_B}, x AS (SELECT symbol, arg_min(close, trade_date) AS s, arg_max(close, trade_date) AS e, max(trade_date) > min(trade_date) AS paid FROM b GROUP BY 1)
+SELECT symbol, {r('CASE WHEN paid THEN e * 1.1 + 0.5 * 1.1 ELSE e END / nullif(s, 0) - 1', 6)} AS total_return FROM x""")
 def total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total return of one symbol with a distribution (WIN17)."""
-    bars = t.bars(spark, sf_dir).where("symbol = 'P1'")
-    span = bars.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z")).first()
-    actions = spark.createDataFrame([("P1", span["z"], span["a"], 0.5, 0.1)], "symbol string, ex_date date, available_at date, cash_ratio double, share_ratio double")
-    return quant.total_return(bars, actions, F.lit(span["a"]), F.lit(span["z"]), F.lit(span["z"]))
+    """Total return of each symbol over its own span, with a distribution on its last day (WIN17)."""
+    bars = t.bars(spark, sf_dir)
+    spans = bars.groupBy("symbol").agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end"))
+    actions = spans.select("symbol", "start", "end", F.col("end").alias("ex_date"), F.col("start").alias("available_at"), F.lit(0.5).alias("cash_ratio"), F.lit(0.1).alias("share_ratio"))
+    return quant.total_return(bars.join(spans, "symbol"), actions, F.col("start"), F.col("end"), F.col("end"))
 
 
 @query(f"WITH {_B} SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, max(trade_date) AS last_date, {r('count(DISTINCT symbol) * 100.0 / 6141', 2)} AS coverage FROM b", dates="last_date")

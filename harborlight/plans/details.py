@@ -64,33 +64,11 @@ def reviewed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.reviewed(t.read(spark, sf_dir, "labels"), v, "doc_id", "quality", "decision", "event_id")
 
 
-@query(f"WITH b AS ({t.BARS_SQL}) SELECT trade_date, count(*) FILTER (close > open) AS advance, count(*) FILTER (close < open) AS decline, count(*) FILTER (close = open) AS flat FROM b GROUP BY 1", dates="trade_date")
-def market_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols that rose, fell or stayed on each day (AGG17)."""
-    return reviews.breadth(t.bars(spark, sf_dir))
-
-
-@query(f"""WITH {_N}, m AS ({t.MENTIONS_SQL}), g AS (SELECT symbol, sentiment_label, count(*) AS k, min(news_id) AS first FROM m JOIN n USING (news_id) GROUP BY 1, 2)
-SELECT symbol, CAST(sum(k) OVER (PARTITION BY symbol) AS BIGINT) AS n, sentiment_label AS dominant FROM g QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY k DESC, first) = 1""")
-def dominant_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Most common mood of each symbol's news (AGG57)."""
-    m = t.mentions(spark, sf_dir).select("news_id", "symbol").join(t.news(spark, sf_dir).select("news_id", "sentiment_label"), "news_id")
-    return reviews.most_common(m, ["symbol"], "sentiment_label", "news_id", "dominant")
-
-
-@query("""WITH v AS (SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'hk' ELSE 'cn' END AS market, event_type FROM events WHERE abs(value - 50) > 40), g AS (SELECT market, event_type, count(*) AS k, min(event_id) AS first FROM v GROUP BY 1, 2)
-SELECT market, CAST(sum(k) OVER (PARTITION BY market) AS BIGINT) AS n, event_type AS reason FROM g QUALIFY row_number() OVER (PARTITION BY market ORDER BY k DESC, first) = 1""")
-def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Movers of each market and their most common reason (FE06, FE07)."""
-    market = F.element_at(F.array(*map(F.lit, ("us", "hk", "cn"))), (F.col("user_id") % 3 + 1).cast("int"))
-    return reviews.most_common(t.read(spark, sf_dir, "events").where("abs(value - 50) > 40").select("event_id", market.alias("market"), "event_type"), ["market"], "event_type", "event_id", "reason")
-
-
-@query(f"WITH b AS ({t.BARS_SQL}) SELECT trade_date, {r('inflow', 2)} AS inflow FROM (SELECT * FROM b WHERE symbol = 'P1' ORDER BY trade_date DESC LIMIT 60) ORDER BY trade_date", dates="trade_date")
+@query(f"WITH b AS ({t.BARS_SQL}) SELECT symbol, trade_date, {r('inflow', 2)} AS inflow FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) <= 60", dates="trade_date")
 def fund_flow_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest 60 days of one symbol's flow, oldest first (TOP19); the limit is the chart's length."""
-    last = t.bars(spark, sf_dir).where("symbol = 'P1'").orderBy(F.col("trade_date").desc()).limit(60)
-    return last.orderBy("trade_date").select("trade_date", half_up(F.col("inflow"), 2).alias("inflow"))
+    """Latest 60 days of each symbol's flow (TOP19); the limit is the chart's length."""
+    at = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("trade_date").desc()))
+    return t.bars(spark, sf_dir).withColumn("at", at).where("at <= 60").select("symbol", "trade_date", half_up(F.col("inflow"), 2).alias("inflow"))
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), l AS (SELECT symbol, CASE WHEN volume % 5 <> 0 THEN volume END AS v FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) <= 20)

@@ -65,24 +65,62 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("g", rules.ingest_gate(F.col("source_name") == "src3", F.col("news_id") % 29 == 0, F.col("v")))
 
 
-@query(f"""WITH {_N}, w AS (SELECT news_id, source_name, lower(title || ' ' || summary) AS txt, regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]+') AS ws FROM n),
+_GATE_SQL = f"""WITH {_N}, w AS (SELECT news_id, source_name, lower(title || ' ' || summary) AS txt, regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]+') AS ws FROM n),
 v AS (SELECT *, list_has_any(ws, ['inging', 'onthe', 'tion']) AND contains(txt, 'the') AS sector FROM w),
 k AS (SELECT *, CASE WHEN list_has_any(ws, ['thent', 'oning']) THEN 'market_signal_term' WHEN sector AND list_has_any(ws, ['ander', 'thand']) THEN 'sector_signal_term' WHEN contains(txt, 'of the the') THEN 'market_signal_phrase'
   WHEN list_has_any(ws, ['st', 'nd']) THEN 'macro_acronym' WHEN sector AND list_has_any(ws, ['orders', 'capacity', 'shipments', 'guidance']) THEN 'sector_signal' WHEN contains(txt, 'quelle') THEN 'chinese_noise' WHEN list_has_any(ws, ['that']) THEN 'generic_tech' END AS reason FROM v)
 SELECT news_id, CASE WHEN source_name = 'src3' THEN 'official_source' WHEN news_id % 29 = 0 THEN 'structured_stock_refs' WHEN reason IS NULL OR reason IN ('chinese_noise', 'generic_tech') THEN 'no_market_signal:' || coalesce(reason, 'none')
   WHEN reason = 'sector_signal_term' THEN 'weak_signal:' || reason ELSE 'market_signal:' || reason END AS reason,
-  source_name = 'src3' OR news_id % 29 = 0 OR coalesce(reason IN ('market_signal_term', 'market_signal_phrase', 'macro_acronym', 'sector_signal'), false) AS passed FROM k""")
+  source_name = 'src3' OR news_id % 29 = 0 OR coalesce(reason IN ('market_signal_term', 'market_signal_phrase', 'macro_acronym', 'sector_signal'), false) AS passed FROM k"""
+
+
+@query(_GATE_SQL)
 def ingest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance cascade and ingest gate, with terms of the invented languages (CLS07 to CLS11, FLT15)."""
     return _gate(spark, sf_dir).select("news_id", "g.reason", "g.passed")
 
 
-@query()
+@query(f"SELECT reason, passed, count(*) AS n FROM ({_GATE_SQL}) GROUP BY ALL")
 def drop_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many items each gate reason let through or dropped (SNK04)."""
     return _gate(spark, sf_dir).groupBy("g.reason", "g.passed").agg(F.count("*").alias("n"))
 
 
+#: Closing words of titles that make each rule of the cascade the first that fits, and some that make none.
+_PROBES = (
+    "shares of a bank", "shipment of ai servers", "dividend paid", "央行公开市场操作", "召回外交人员", "产品召回", "CPI up", "shipping on a new route", "空袭 油轮", "恢复 运河", "台湾 军售", "伊朗 军事行动 参议院 投票", "iphone supplier orders", "演唱会", "新概念 涨停",
+    "laptop", "早报 要闻", "港股 走低", "nothing here", "美股 收跌", "halbleiter wafer export controls", "tencent gaming recovery",
+)
+_ROUNDUPS = ("", "美股 上涨", "a股")
+
+
+def _probe_sql() -> str:
+    terms = rules.RelevanceTerms()
+    has = lambda col, words: f"regexp_matches({col}, '{'|'.join(words)}')"
+    words = lambda some: "list_has_any(ws, [" + ", ".join(f"'{w}'" for w in some) + "])"
+    sector = {name: f"(({words(anchors)}" + "".join(f" OR contains(txt, '{p}')" for p in terms.anchor_phrases.get(name, ())) + f") AND {has('txt', near)})" for name, (anchors, near) in terms.sectors.items()}
+    pick = lambda some, key: f"[{', '.join(repr(x) for x in some)}][{key} % {len(some)} + 1]"
+    return f"""WITH {_N}, k AS (SELECT news_id, title || ' ' || {pick(_PROBES, 'news_id')} AS title, {pick(_ROUNDUPS, 'news_id')} AS body FROM n),
+x AS (SELECT news_id, title, title || ' ' || body AS raw, lower(title || ' ' || body) AS txt, regexp_extract_all(lower(title || ' ' || body), '[a-z0-9]+') AS ws, CASE WHEN {has('title', terms.digest_titles)} THEN lower(title) ELSE lower(title || ' ' || body) END AS alias FROM k),
+s AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, test in sector.items())}], lambda z: z IS NOT NULL) AS tags FROM x),
+v AS (SELECT news_id, array_to_string(tags, ',') AS sectors, CASE WHEN {words(terms.strong)} THEN 'market_signal_term' WHEN len(tags) > 0 AND {words(terms.weak)} THEN 'sector_signal_term' WHEN {has('txt', terms.phrases)} THEN 'market_signal_phrase'
+  WHEN contains(alias, '美股') AND {has('alias', terms.us_context)} OR {has('alias', terms.broad)} OR {has('txt', [w for w in terms.chinese if w != '召回'])} OR contains(txt, '召回') AND NOT {has('txt', terms.recall_friends)} THEN 'chinese_market_phrase'
+  WHEN {words(terms.acronyms)} THEN 'macro_acronym' WHEN {words(terms.shipping_routes)} AND {has('txt', terms.shipping_disruptions)} THEN 'shipping_disruption' WHEN {has('txt', terms.geo_actions)} AND {has('txt', terms.energy_carriers)} THEN 'geo_energy_shipping'
+  WHEN {has('txt', terms.status_changes)} AND {has('txt', terms.status_carriers)} THEN 'shipping_status_change' WHEN {has('raw', terms.taiwan)} AND {has('raw', terms.arms)} THEN 'taiwan_arms_sale'
+  WHEN {has('raw', terms.iran)} AND {has('raw', terms.military)} AND {has('raw', terms.war_powers)} THEN 'iran_war_powers' WHEN len(tags) > 0 AND ({words(terms.sector_triggers)} OR {has('txt', ('export controls', 'supply chain'))}) THEN 'sector_signal'
+  WHEN {has('txt', terms.noise)} THEN 'chinese_noise' WHEN {has('raw', terms.concepts)} AND {has('raw', terms.moves)} THEN 'concept_mover' WHEN {words(terms.generic_tech)} THEN 'generic_tech' END AS reason FROM s)
+SELECT news_id, reason, coalesce(reason NOT IN ('chinese_noise', 'generic_tech'), false) AS relevant, sectors FROM v"""
+
+
+@query(_probe_sql())
+def relevance_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole relevance cascade with its own terms, over titles that make each rule fire (CLS07 to CLS11)."""
+    pick = lambda some: F.element_at(F.array(*map(F.lit, some)), (F.col("news_id") % len(some) + 1).cast("int"))
+    rows = t.news(spark, sf_dir).select("news_id", F.concat_ws(" ", "title", pick(_PROBES)).alias("title"), pick(_ROUNDUPS).alias("body"))
+    v = rows.select("news_id", rules.relevance(F.col("title"), F.lit(None).cast("string"), F.col("body")).alias("v"))
+    return v.select("news_id", "v.reason", "v.relevant", F.array_join("v.sectors", ",").alias("sectors"))
+
+
 _IN = "news_id % 3 = 0"
 
 

@@ -282,6 +282,27 @@ def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("news_id", "label", "score", "confidence", F.array_join("keywords", ",").alias("keywords"))
 
 
+_ZH = sorted(dict.fromkeys([*sentiment.POSITIVE_ZH, *sentiment.NEGATIVE_ZH, *(w for w in sentiment.THEMES if not w.isascii())]), key=len, reverse=True)
+_ZH_WEIGHTS = {**sentiment.POSITIVE_ZH, **sentiment.NEGATIVE_ZH}
+_ZH_PROBES = ("业绩 大涨", "利空 下跌 风险", "人工智能 芯片 growth", "新能源 供应链 承压", "weak demand 利好", "oil shipment 半导体", "plain", "上涨 上涨")
+
+
+@query(f"""WITH {_N}, x AS (SELECT news_id, lower(substr(title, 1, 60) || ' ' || {list(_ZH_PROBES)}[news_id % {len(_ZH_PROBES)} + 1]) AS txt FROM n),
+w AS (SELECT news_id, list_filter(regexp_extract_all(txt, '[a-z0-9]+'), lambda x: NOT list_contains({sentiment.STOP_WORDS}, x)) AS ws, list_filter({_ZH}, lambda x: contains(txt, x)) AS zh FROM x),
+s AS (SELECT news_id, (coalesce(list_sum(list_transform(ws, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {round(v * 100)}" for k, v in _LEX.items())} ELSE 0 END)), 0)
+  + coalesce(list_sum(list_transform(zh, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {round(v * 100)}" for k, v in _ZH_WEIGHTS.items())} ELSE 0 END)), 0)) / 100.0 AS raw,
+  list_filter(ws || zh, lambda x: NOT list_contains({[*_LEX, *_ZH_WEIGHTS]}, x) AND (length(x) > 2 OR x = 'ai')) AS cand FROM w),
+k AS (SELECT news_id, raw::DOUBLE AS raw, list_filter(cand, lambda x, i: list_position(cand, x) = i)[1:6] AS ks FROM s),
+th AS (SELECT *, ks[2:6] AS rest, list_filter(ks[2:6], lambda x: list_contains({sentiment.THEMES}, x))[1:2] AS themes FROM k)
+SELECT news_id, CASE WHEN raw >= 0.2 THEN 'positive' WHEN raw <= -0.2 THEN 'negative' ELSE 'neutral' END AS label, {r('greatest(-1.0, least(1.0, raw))', 4)} AS score, array_to_string(ks, ',') AS keywords,
+  CASE WHEN len(ks) = 0 THEN 'general-market-update' ELSE array_to_string(ks[1:1] || CASE WHEN len(themes) > 0 THEN themes ELSE rest[1:2] END, ' ') END AS topic_key FROM th""")
+def lexicon_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment, keywords and topic keys of titles with Chinese terms (CLS01 to CLS05)."""
+    probe = F.element_at(F.array(*map(F.lit, _ZH_PROBES)), (F.col("news_id") % len(_ZH_PROBES) + 1).cast("int"))
+    rows = t.news(spark, sf_dir).select("news_id", F.concat_ws(" ", F.substring("title", 1, 60), probe).alias("x"))
+    return sentiment.classify(rows, F.col("x")).select("news_id", "label", "score", F.array_join("keywords", ",").alias("keywords"), "topic_key")
+
+
 @query(f"""WITH {_N}, w AS (SELECT news_id, {_WORDS.replace('event_title', 'title')} AS w FROM n), p AS (SELECT a.news_id, coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 0) AS o FROM w a JOIN w b ON b.news_id = a.news_id + 1)
 SELECT news_id, {r('o', 4)} AS overlap FROM p""")
 def title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One news item for each document: its first line is the title; times follow from the id."""
+    """One news item for each document: its first line, up to 500 characters, is the title, the rest the summary; times follow from the id."""
     first = F.substring_index("text", "\n", 1)
     minutes = F.col("doc_id") * 37 % 43200
     fetched = F.expr(f"timestamp_ntz'{EPOCH}'") + F.make_dt_interval(mins=minutes.cast("int"))
@@ -24,7 +24,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = (F.col("doc_id") * 53 % 201 - 100) / F.lit(100.0)
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("news_id"), F.col("source").alias("source_name"), F.substring(first, 1, 500).alias("title"),
-        F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("summary"),
+        F.substring("text", F.when(F.length(first) > 500, 501).otherwise(F.length(first) + 2), F.lit(2147483647)).alias("summary"),
         F.when(F.col("lang") == "en", "us").when(F.col("lang") == "de", "hk").otherwise("cn").alias("market"), F.col("lang").alias("language"),
         published.alias("published_at"), fetched.alias("fetched_at"), F.coalesce(published, fetched).alias("effective_at"), score.alias("sentiment_score"),
         F.when(score >= 0.2, "positive").when(score <= -0.2, "negative").otherwise("neutral").alias("sentiment_label"),
@@ -33,7 +33,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEWS_SQL = rf"""
 SELECT doc_id AS news_id, source AS source_name, substr(split_part(text, chr(10), 1), 1, 500) AS title,
-  substr(text, length(split_part(text, chr(10), 1)) + 2) AS summary,
+  substr(text, CASE WHEN length(split_part(text, chr(10), 1)) > 500 THEN 501 ELSE length(split_part(text, chr(10), 1)) + 2 END) AS summary,
   CASE lang WHEN 'en' THEN 'us' WHEN 'de' THEN 'hk' ELSE 'cn' END AS market, lang AS language,
   CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '{EPOCH}' + to_minutes(doc_id * 37 % 43200 - doc_id % 90) END AS published_at,
   TIMESTAMP '{EPOCH}' + to_minutes(doc_id * 37 % 43200) AS fetched_at,
@@ -120,15 +120,15 @@ TOPICS_SQL = "SELECT doc_id * 31 % 97 AS topic_id, doc_id AS news_id FROM docume
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions: one for each customer number that quotes have as symbol."""
-    c = read(spark, sf_dir, "customer").where("c_custkey <= 150")
+    """Positions: one for each customer, in the symbol of its number."""
+    c = read(spark, sf_dir, "customer")
     return c.select(F.concat(F.lit("S"), "c_custkey").alias("symbol"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey") % 50 + 1).cast("double").alias("position_size"), F.when(F.col("c_custkey") % 4 != 0, F.abs("c_acctbal") / 100).alias("average_cost"))
 
 
 HOLDINGS_SQL = """
 SELECT 'S' || c_custkey AS symbol, CAST(CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 50 + 1 END AS DOUBLE) AS position_size,
   CASE WHEN c_custkey % 4 <> 0 THEN abs(c_acctbal) / 100 END AS average_cost
-FROM customer WHERE c_custkey <= 150
+FROM customer
 """
 
 

@@ -227,11 +227,11 @@ def test_json_payloads(spark):
 
 
 def test_relevance_order(spark):
-    cases = {"台风 暴雨 原油 上涨": "chinese_market_phrase", "召回大使": None, "产品召回": "chinese_market_phrase", "演唱会 概念 涨停": "chinese_noise", "芯片概念 拉升": "concept_mover", "new app update": "generic_tech", "CPI data": "macro_acronym", "8点1氪：新品": None}
+    cases = {"台风 暴雨 原油 上涨": "chinese_market_phrase", "召回大使": None, "产品召回": "chinese_market_phrase", "演唱会 概念 涨停": "chinese_noise", "芯片概念 涨停": "concept_mover", "new camera update": "generic_tech", "CPI data": "macro_acronym", "8点1氪：新品": None}
     for title, want in cases.items():
         v = one(spark, rules.relevance(F.lit(title), F.lit(None).cast("string"), F.lit("美股 上涨" if title.startswith("8点") else None).cast("string")))
         assert v.reason == want, title
-    gate = one(spark, rules.ingest_gate(F.lit(False), F.lit(False), rules.relevance(F.lit("芯片概念 拉升"), F.lit(None).cast("string"), F.lit(None).cast("string"))))
+    gate = one(spark, rules.ingest_gate(F.lit(False), F.lit(False), rules.relevance(F.lit("芯片概念 涨停"), F.lit(None).cast("string"), F.lit(None).cast("string"))))
     assert tuple(gate) == (False, "weak_signal:concept_mover")
 
 
