@@ -18,19 +18,43 @@ def bound(value: Column, make: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), make)[0]
 
 
-def any_term(text: Column, terms: Iterable[str]) -> Column:
-    """Whether the text contains any of the terms."""
+_CJK = "一-鿿"
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(f"[{_CJK}]")
+
+
+def any_term(text: Column, terms: Iterable[str], cjk: Column | None = None) -> Column:
+    """Whether the text contains any of the terms; ``cjk``: whether it has any CJK character, where that is known."""
     terms = list(terms)
-    # The look-ahead for first letters passes most positions by in one step.
-    first = "".join(dict.fromkeys(re.escape(t[0]) for t in terms))
-    return text.rlike(f"(?=[{first}])(?:{'|'.join(map(re.escape, terms))})") if terms else F.lit(False)
+    wide = [t for t in terms if re.search(f"[{_CJK}]", t)] if cjk is not None or len(terms) > 16 else []
+    out = F.lit(False)
+    for t in terms:
+        if t not in wide:
+            out = out | F.contains(text, F.lit(t))
+    if wide:
+        out = out | ((cjk if cjk is not None else F.lit(True)) & text.rlike("|".join(map(re.escape, wide))))
+    return out
 
 
-def any_word(text: Column, terms: Iterable[str]) -> Column:
-    """Whether a lower-case text has any of the terms as a whole run of Latin letters and digits; other terms never fit."""
-    terms = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
-    first = "".join(dict.fromkeys(t[0] for t in terms))
-    return text.rlike(f"(?=[{first}])(?<![a-z0-9])(?:{'|'.join(terms)})(?![a-z0-9])") if terms else F.lit(False)
+def words_of(text: Column, terms: Iterable[str]) -> Column:
+    """Which of the terms a lower-case text has as whole runs of Latin letters and digits, in order; other terms never fit."""
+    heads: dict[str, list[str]] = {}
+    for t in sorted({t for t in terms if re.fullmatch("[a-z0-9]+", t)}):
+        heads.setdefault(t[0], []).append(t[1:])
+    if not heads:
+        return F.array().cast("array<string>")
+    every = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in heads.items())
+    return F.regexp_extract_all(text, F.lit(f"(?<![a-z0-9])({every})(?![a-z0-9])"), 1)
+
+
+def any_word(words: Column, terms: Iterable[str]) -> Column:
+    terms = list(terms)
+    return F.arrays_overlap(words, F.array(*map(F.lit, terms))) if terms else F.lit(False)
+
+
+_any_term = any_term
 
 
 @dataclass(frozen=True)
@@ -76,14 +100,20 @@ def relevance(title: Column, summary: Column, body: Column, terms: RelevanceTerm
     Strong signals come first, then sector rules; noise rejects only what no strong signal has claimed.
     """
     raw = F.concat_ws(" ", title, summary, body)
+    # All words that any rule asks for are found in one pass.
+    every = [*terms.strong, *terms.weak, *terms.acronyms, *terms.shipping_routes, *terms.sector_triggers, *terms.generic_tech, *(w for anchors, _ in terms.sectors.values() for w in anchors)]
     texts = F.struct(title.alias("title"), raw.alias("raw"), F.lower(raw).alias("text"))
-    return bound(texts, lambda x: _cascade(x["title"], x["raw"], x["text"], terms))
+    found = lambda x: F.struct(x["title"].alias("title"), x["raw"].alias("raw"), x["text"].alias("text"), words_of(x["text"], every).alias("words"), has_cjk(x["text"]).alias("cjk"))
+    return bound(bound(texts, found), lambda x: _cascade(x["title"], x["raw"], x["text"], x["words"], x["cjk"], terms))
+
 
+def _cascade(title: Column, raw: Column, text: Column, words: Column, cjk: Column, terms: RelevanceTerms) -> Column:
+    def any_term(of: Column, some: Iterable[str]) -> Column:
+        return _any_term(of, some, cjk)
 
-def _cascade(title: Column, raw: Column, text: Column, terms: RelevanceTerms) -> Column:
     def in_sector(name: str) -> Column:
         anchors, near = terms.sectors[name]
-        return (any_word(text, anchors) | any_term(text, terms.anchor_phrases.get(name, ()))) & any_term(text, near)
+        return (any_word(words, anchors) | any_term(text, terms.anchor_phrases.get(name, ()))) & any_term(text, near)
 
     sector = F.lit(False)
     for name in terms.sectors:
@@ -94,20 +124,20 @@ def _cascade(title: Column, raw: Column, text: Column, terms: RelevanceTerms) ->
     if "召回" in terms.chinese:
         chinese = chinese | (F.contains(text, F.lit("召回")) & ~any_term(text, terms.recall_friends))
     steps = [
-        (any_word(text, terms.strong), "market_signal_term"),
-        (any_word(text, terms.weak) & sector, "sector_signal_term"),
+        (any_word(words, terms.strong), "market_signal_term"),
+        (any_word(words, terms.weak) & sector, "sector_signal_term"),
         (any_term(text, terms.phrases), "market_signal_phrase"),
         (chinese, "chinese_market_phrase"),
-        (any_word(text, terms.acronyms), "macro_acronym"),
-        (any_word(text, terms.shipping_routes) & any_term(text, terms.shipping_disruptions), "shipping_disruption"),
+        (any_word(words, terms.acronyms), "macro_acronym"),
+        (any_word(words, terms.shipping_routes) & any_term(text, terms.shipping_disruptions), "shipping_disruption"),
         (any_term(text, terms.geo_actions) & any_term(text, terms.energy_carriers), "geo_energy_shipping"),
         (any_term(text, terms.status_changes) & any_term(text, terms.status_carriers), "shipping_status_change"),
         (any_term(raw, terms.taiwan) & any_term(raw, terms.arms), "taiwan_arms_sale"),
         (any_term(raw, terms.iran) & any_term(raw, terms.military) & any_term(raw, terms.war_powers), "iran_war_powers"),
-        ((any_word(text, terms.sector_triggers) | any_term(text, ("export controls", "supply chain"))) & sector, "sector_signal"),
+        ((any_word(words, terms.sector_triggers) | any_term(text, ("export controls", "supply chain"))) & sector, "sector_signal"),
         (any_term(text, terms.noise), "chinese_noise"),
         (any_term(raw, terms.concepts) & any_term(raw, terms.moves), "concept_mover"),
-        (any_word(text, terms.generic_tech), "generic_tech"),
+        (any_word(words, terms.generic_tech), "generic_tech"),
     ]
     reason = F.lit(None).cast("string")
     for test, name in reversed(steps):

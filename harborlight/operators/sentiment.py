@@ -28,21 +28,20 @@ def classify(rows: DataFrame, text: Column) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for pair in {**POSITIVE, **NEGATIVE, **POSITIVE_ZH, **NEGATIVE_ZH}.items() for x in pair))
     latin = [w for w in sentiment if w.isascii()]
     chinese = sorted(dict.fromkeys([*POSITIVE_ZH, *NEGATIVE_ZH, *(w for w in THEMES if not w.isascii())]), key=len, reverse=True)
-    word = r"(?<![a-z0-9])({})(?![a-z0-9])"
-    # Sentiment words, and what may be a keyword: other words of over two letters, and "ai".
-    weighted = word.format("|".join(latin))
-    other = word.format(f"(?!(?:{'|'.join([*latin, *STOP_WORDS])})(?![a-z0-9]))(?:[a-z0-9]{{3,}}|ai)")
     low = F.lower(text)
-    found = F.struct(
-        F.regexp_extract_all(low, F.lit(weighted), 1).alias("weighted"), F.array_distinct(F.regexp_extract_all(low, F.lit(other), 1)).alias("words"),
+    # Each step is a generator over one row, so that no later one computes it again.
+    step = lambda df, name, value: df.select(*(F.col(c) for c in df.columns), F.inline(F.array(F.struct(value.alias(name)))))
+    tokens = F.struct(
+        F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1).alias("latin"),
         F.when(low.rlike("[一-鿿]"), F.filter(F.array(*map(F.lit, chinese)), lambda w: F.contains(low, w))).otherwise(F.array().cast("array<string>")).alias("chinese"),
     )
+    out = step(rows, "tokens", tokens)
+    words = F.filter("tokens.latin", lambda w: ((F.length(w) > 2) | (w == "ai")) & ~w.isin([*latin, *STOP_WORDS]))
+    found = F.struct(F.filter("tokens.latin", lambda w: w.isin(latin)).alias("weighted"), F.array_distinct(words).alias("words"), F.col("tokens.chinese").alias("chinese"))
+    out = step(out, "found", found).drop("tokens")
     mine = F.filter("found.chinese", lambda w: ~w.isin(sentiment) & (F.length(w) > 2))
     # Hundredths are summed, so that the order of the terms does not matter.
     raw = F.aggregate(F.concat("found.weighted", "found.chinese"), F.lit(0), lambda acc, w: acc + F.coalesce(F.round(F.try_element_at(weights, w) * 100), F.lit(0)).cast("int")) / 100.0
-    # Each step is a generator over one row, so that no later one computes it again.
-    step = lambda df, name, value: df.select(*(F.col(c) for c in df.columns), F.inline(F.array(F.struct(value.alias(name)))))
-    out = step(rows, "found", found)
     out = step(out, "lexicon", F.struct(raw.alias("raw"), F.slice(F.array_distinct(F.concat("found.words", mine)), 1, 6).alias("keywords"))).drop("found")
     raw, keywords = F.col("lexicon.raw"), F.col("lexicon.keywords")
     rest = F.slice(keywords, 2, 5)
