@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +60,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark keeps its workers, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch."""
     bounded_batches(df.sparkSession)
@@ -67,6 +76,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             if batch.num_rows:
                 yield rows(batch)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLDED, bounded_batches, shared_path, text_bytes
+from .common import FOLDED, bounded_batches, release_memory, shared_path, text_bytes
 
 #: Text bytes of one benchmark block, on average, and of the documents that are held against a block at once if there are several.
 BLOCK_BYTES = 32 << 20
@@ -205,6 +205,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch, n, matches in zip(held, sizes, found, strict=True):
                 lists = [[dict(zip(("item", "item_word", "doc_word", "n_words"), m, strict=True)) for m in x] for x in matches]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lists, kind)], ["__row", "n_words", "matches"])
+        release_memory()
 
     return rows.mapInArrow(search, schema)
 

@@ -163,11 +163,11 @@ def with_pivots(members: DataFrame) -> DataFrame:
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
-    """id, its sorted shingle hashes as 64-bit integers, and their counts as 32-bit integers."""
+    """id, its sorted shingle hashes as 64-bit integers, and their counts as 32-bit integers, null if all are 1."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = text_sets(batch.column(1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())], ["id", "hashes", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() if (w > 1).any() else None for _, w in sets], pa.binary())], ["id", "hashes", "counts"])
 
     return map_arrow(texts.select("id", "text"), run, "id long, hashes binary, counts binary")
 
@@ -244,7 +244,8 @@ def bucket_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
         for unit in batch.column(0):
             flat = unit.values
             ids, classes, outer, left = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sets = [(np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(n.as_buffer(), "<u4")) for h, n in zip(flat.field(4), flat.field(5), strict=True)]
+            hashes = [np.frombuffer(h.as_buffer(), "<u8") for h in flat.field(4)]
+            sets = [(h, np.frombuffer(n.as_buffer(), "<u4") if n.is_valid else np.ones(len(h), np.uint32)) for h, n in zip(hashes, flat.field(5), strict=True)]
             links += unit_links(ids, classes, outer, left, sets, threshold)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 

@@ -17,13 +17,14 @@ one; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_slices, text_bytes
+from .common import bounded_batches, release_memory, row_slices, text_bytes
 from .piece_memo import PieceMemo, joined
 
 MARK = "▁"
@@ -92,7 +93,7 @@ class PieceCodec:
         self.unknown = self.library.unk_id()
         plain = [p.piece for p in model.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.by_word = self.prefix and not self.trim and not spec.precompiled_charsmap and model.trainer_spec.model_type == 2 and not any(MARK in p.lstrip(MARK) for p in plain)
-        self.memo = PieceMemo(lambda words: joined(self.library.encode(words, num_threads=1)), max_pieces=300_000)
+        self.memo = PieceMemo(lambda words: joined(self.library.encode(words, num_threads=1)), max_pieces=150_000)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of each text."""
@@ -145,23 +146,23 @@ def encode_with_offsets(docs: DataFrame, model_path: str, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "ids", "begins", "ends", "decoded"]
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs.get(model_path) or _codecs.setdefault(model_path, PieceCodec(model_path))
-        data, bounds = text_bytes(batch.column(1))
-        ids, begins, ends, decoded = [], [], [], []
-        for first, last in row_slices(bounds):
-            texts = [data[a:b].tobytes() for a, b in zip(bounds[first:last], bounds[first + 1 : last + 1], strict=True)]
-            found = codec.encode([t.decode() for t in texts])
-            spans = [codec.spans(t, x) for t, x in zip(texts, found, strict=True)]
-            ids += found
-            begins += [x for x, _ in spans]
-            ends += [x for _, x in spans]
-            decoded += codec.library.decode([x.tolist() for x in found])
-        offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (ids, begins, ends)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(decoded, pa.string())], names)
-
-    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), encode, f"{id_col} {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(1))
+            for first, last in row_slices(bounds):  # each slice is a batch of its own: the ids and spans take more room than the text
+                texts = [data[a:b].tobytes() for a, b in zip(bounds[first:last], bounds[first + 1 : last + 1], strict=True)]
+                found = codec.encode([t.decode() for t in texts])
+                spans = [codec.spans(t, x) for t, x in zip(texts, found, strict=True)]
+                offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (found, [x for x, _ in spans], [x for _, x in spans])]
+                decoded = [codec.library.decode(x.tolist()) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists, pa.array(decoded, pa.string())], names)
+        release_memory()
+
+    rows = docs.select(id_col, F.col(text_col).cast("string"))
+    bounded_batches(docs.sparkSession)
+    return rows.mapInArrow(encode, f"{id_col} {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
