@@ -3,9 +3,12 @@
 Every text gets exact word statistics.  A fixed base rule rejects texts of under ten words and texts
 of which more than a fifth lies in repeated five-word windows.  For what is left, KLL quantile
 sketches of each metric are built for each (lang, source) and merged upwards to each lang and to all
-texts.  A group's fence is its upper quartile plus ``reach`` times its spread above the median; a
-group of under ``min_rows`` texts takes the fences of its language, or of all texts.  The fences are
-then joined back to the texts, and a text beyond a fence is rejected.
+texts.  A fence is the median plus ``reach`` times the spread below it (median less lower quartile),
+which stays clean while less than half of the texts are bad.  A group's fence is the tighter one of
+its own and its language's, so a source that is mostly bad is measured by the rest of its language;
+groups and languages of under ``min_rows`` texts have none of their own, and where neither has one
+the fence of all texts holds.  The fences are then joined back to the texts, and a text beyond a
+fence is rejected.
 
 Defined cases: a null text has no words and so fails the base rule; null lang or source form groups
 of their own; repeated rows are judged one by one and all count; an empty table gives no rows; other
@@ -132,9 +135,12 @@ def fences(stats: DataFrame, min_rows: int = 200, reach: float = 6.0, sketch_k:
     )
 
     def fence(m: Metric) -> F.Column:
-        best = F.when(F.col("n") >= min_rows, F.col(m.name)).when(F.col("n_lang") >= min_rows, F.col(f"{m.name}_lang")).otherwise(F.col(f"{m.name}_all"))
-        q = F.kll_sketch_get_quantile_double(best, F.array(F.lit(0.5), F.lit(0.75)))
-        return (q[1] + F.lit(reach) * F.greatest(q[1] - q[0], F.lit(m.least_spread))).alias(f"{m.name}_fence")
+        def own(sketch: str) -> F.Column:
+            q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5)))
+            return q[1] + F.lit(reach) * F.greatest(q[1] - q[0], F.lit(m.least_spread))
+
+        enough = F.least(*(F.when(F.col(n) >= min_rows, own(sketch)) for n, sketch in (("n", m.name), ("n_lang", f"{m.name}_lang"))))
+        return F.coalesce(enough, own(f"{m.name}_all")).alias(f"{m.name}_fence")
 
     return groups.select("lang_key", "source_key", *(fence(m) for m in METRICS))
 

@@ -89,6 +89,47 @@ def test_quality_thresholds_adapt(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_verdicts_against_loop(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(700):
+        source = rng.choice(["dirty", "dirty", "foul", "clean", "rare"] if i > 30 else ["rare"])
+        t = words(rng, rng.randrange(30, 60))
+        if rng.random() < {"dirty": 0.35, "foul": 0.7, "clean": 0.02, "rare": 0.1}[source]:
+            t = [w + "%%" for w in t]
+        elif rng.random() < 0.3:
+            t[3] += "*"
+        lines = [" ".join(t[k : k + 8]) for k in range(0, len(t), 8)]
+        rows.append((i, "\n".join(lines + lines[: rng.randrange(2)]), rng.choice(["en", "en", "en", "de"]) if source != "rare" else "xx", source, 0))
+    df = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in quality_rules.judge(df, min_rows=60).collect()}
+
+    ratios, base = {}, {}
+    for i, t, *_ in rows:
+        n, chars, symbols, lines, dup, rep = brute_stats(t)
+        base[i] = n < 10 or 100 * rep > 20 * n
+        ratios[i] = (symbols / chars, chars / n, dup / lines, rep / n)
+    spreads = [m.least_spread for m in quality_rules.METRICS]
+
+    def limits(ids):
+        out = []
+        for k, spread in enumerate(spreads):
+            values = sorted(ratios[i][k] for i in ids)
+            low, middle = (values[-(-len(values) * p // 4) - 1] for p in (1, 2))
+            out.append(middle + 6 * max(middle - low, spread))
+        return out
+
+    sound = [r for r in rows if not base[r[0]]]
+    for i, _, lang, source, _ in rows:
+        levels = [[r[0] for r in sound if r[2:4] == (lang, source)], [r[0] for r in sound if r[2] == lang]]
+        levels = [limits(ids) for ids in levels if len(ids) >= 60] or [limits([r[0] for r in sound])]
+        fences = [min(f) for f in zip(*levels)]
+        assert [got[i][f"{m.name}_fence"] for m in quality_rules.METRICS] == pytest.approx(fences)
+        assert got[i].kept == (not base[i] and all(a <= b for a, b in zip(ratios[i], fences)))
+    junk = {r[0] for r in rows if "%%" in r[1]}
+    assert junk and {i for i, r in got.items() if not r.kept} == junk | {i for i in base if base[i]}
+
+
 # 2 token counts
 
 
