@@ -1,6 +1,8 @@
 """Parsers of landed payloads: feeds, JSON and text protocols, page bodies, and their times."""
 
+import json
 import re
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,12 +122,59 @@ def anchors(html: Column, least: int = 1) -> Column:
 
 
 def embedded_array(content: Column, marker: str, item: str) -> Column:
-    """The JSON array that follows a marker in a script, as array of ``item``; brackets inside it are matched to depth 3."""
-    level = r"[^\[\]]*"
-    for _ in range(3):
-        level = rf"(?:[^\[\]]|\[{level}\])*"
-    text = F.regexp_extract(content, rf"(?s){marker}\s*(\[{level}\])", 1)
-    return F.from_json(F.when(text != "", text), f"array<{item}>")
+    """The JSON array that follows a marker in a script, as array of ``item``: null if there is none, malformed items null."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: None if text is None else _array_items(text, marker))
+
+    return F.transform(items(content), lambda x: F.from_json(x, item))
+
+
+def _array_items(text: str, marker: str) -> list[str] | None:
+    """The items of the first JSON array that directly follows the pattern, each as JSON text."""
+    for found in re.finditer(marker + r"\s*(?=\[)", text):
+        try:
+            return [json.dumps(x) for x in json.JSONDecoder().raw_decode(text, found.end())[0]]
+        except ValueError:
+            continue
+    return None
+
+
+def streamed_chunks(content: Column) -> Column:
+    """The text chunks that a page pushes to its script in a stream, decoded; malformed ones are left out."""
+    raw = F.regexp_extract_all(content, F.lit(r'(?s)self\.__next_f\.push\(\[1,"((?:\\.|[^"\\])*)"\]\)'), 1)
+    decoded = F.transform(raw, lambda x: F.get(F.from_json(F.concat(F.lit('["'), x, F.lit('"]')), "array<string>"), F.lit(0)))
+    return F.filter(decoded, lambda x: x.isNotNull())
+
+
+def inline_news(content: Column, marker: str = '"newsItems"\\s*:') -> Column:
+    """News records in a page's script, as array<struct<url, title, summary, created>>: those with an id and a title, first of each id."""
+    records = F.filter(embedded_array(content, marker, "id string, title_zh string, title_en string, resume_zh string, resume_en string, createAt string"), lambda x: x.isNotNull())
+    filled = lambda x, y: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.nullif(F.trim(y), F.lit("")))
+    items = F.transform(records, lambda x: F.struct(F.concat(F.lit("/zh/news/"), F.trim(x["id"])).alias("url"), filled(x["title_zh"], x["title_en"]).alias("title"), filled(x["resume_zh"], x["resume_en"]).alias("summary"), x["createAt"].alias("created")))
+    kept = F.filter(items, lambda x: x["title"].isNotNull() & ~x["url"].isin("/zh/news/", "/zh/news/true", "/zh/news/false"))
+    none = F.array().cast("array<struct<url:string,title:string,summary:string,created:string>>")
+    return F.aggregate(kept, none, lambda found, x: F.when(F.exists(found, lambda y: y["url"] == x["url"]), found).otherwise(F.concat(found, F.array(x))))
+
+
+def title_from_body(body: Column) -> Column:
+    """A flash item's title: what its leading brackets hold, else its first 60 characters; null if there is neither."""
+    bracket = F.trim(F.regexp_extract(body, r"^\s*[【\[]([^】\]]{2,80})[】\]]", 1))
+    return F.coalesce(F.nullif(bracket, F.lit("")), F.nullif(F.substring(F.regexp_replace(body, r"^\s+|\s+$", ""), 1, 60), F.lit("")))
+
+
+@F.pandas_udf(T.StringType())
+def absolute_url(href: pd.Series, base: pd.Series) -> pd.Series:
+    """A link's absolute URL, by the URL of its page; null for a null link, the link itself where it cannot be parsed."""
+
+    def one(link: str | None, page: str | None) -> str | None:
+        try:
+            return None if link is None else urljoin(page or "", link)
+        except ValueError:
+            return link
+
+    return pd.Series([one(a, b) for a, b in zip(href, base, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from harborlight.functions import numbers, rules, text, times
-from harborlight.operators import asof, backtest, desk, news, quant, sentiment, timeseries, upsert
+from harborlight.functions import numbers, rules, text, times, topics
+from harborlight.operators import asof, backtest, desk, news, quant, records, sentiment, timeseries, upsert
 from harborlight.sources import payloads
 
 
@@ -319,3 +319,72 @@ def test_provider_payloads(spark):
     facts = '{"result":{"data":[{"REPORT_DATE":"2023-12-31 00:00:00","NOTICE_DATE":"2024-03-01 00:00:00","SECURITY_CODE":"600000","EPS":1.5,"YOY":"25"},{"REPORT_DATE":"2023-09-30","EPS":null},{"EPS":3}]}}'
     found = providers.parse_facts(spark.createDataFrame([("a", facts), ("b", "{}"), ("c", None)], "symbol string, content string"), {"eps": "EPS", "net_profit_yoy": "YOY"}, ("net_profit_yoy",)).collect()
     assert sorted(map(tuple, found)) == [("A", dt.date(2023, 12, 31), k, v, dt.date(2024, 3, 1), "600000") for k, v in (("eps", 1.5), ("net_profit_yoy", 0.25))]
+
+
+def test_embedded_arrays_at_any_depth(spark):
+    page = 'x "list": [{"id": 1, "s": "a]b", "deep": [[[[[1]]]]]}, 5, {"id": 2}] y'
+    assert [x and x.id for x in one(spark, payloads.embedded_array(F.lit(page), '"list":', "struct<id:int>"))] == [1, None, 2]
+    assert one(spark, payloads.embedded_array(F.lit('"list": [1, '), '"list":', "struct<id:int>")) is None
+
+
+def test_titles_and_links_of_payloads(spark):
+    for body, want in [(None, None), ("", None), ("  ", None), ("【A b】 rest", "A b"), ("[x] rest", "[x] rest"), ("y" * 90, "y" * 60)]:
+        assert one(spark, payloads.title_from_body(F.lit(body).cast("string"))) == want
+    assert one(spark, payloads.absolute_url(F.lit("../a"), F.lit("https://h.example/b/c/d"))) == "https://h.example/b/a"
+    assert one(spark, payloads.absolute_url(F.lit(None).cast("string"), F.lit("https://h.example/"))) is None
+    assert one(spark, payloads.absolute_url(F.lit("http://[x"), F.lit("https://h.example/"))) == "http://[x"
+
+
+def test_topic_functions(spark):
+    words = lambda *w: F.array(*map(F.lit, w)).cast("array<string>")
+    assert one(spark, topics.topic_name(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"))) == topics.NO_TOPIC
+    assert one(spark, topics.topic_name(F.lit("x-oil"), F.lit("t"), words(" AI ", "rate", "rates", "x"))) == "人工智能利率原油"
+    assert one(spark, topics.first_alias(F.lit("x-oil"), words("zzz"))) == "原油"
+    assert one(spark, topics.takeaway(F.lit("the quiet day"), F.lit(None).cast("string"), words())) == "quiet：出现市场相关进展，影响相关板块"
+    assert one(spark, topics.takeaway(F.lit(""), F.lit(""), words("oil"))) == "原油：出现市场相关进展，影响原油相关标的"
+    assert [one(spark, topics.horizon_seconds(F.lit(h))) for h in ("30m", "0d", "1w", " 2H")] == [1800, None, None, 7200]
+
+
+def test_result_hash_is_canonical(spark):
+    import hashlib
+
+    text = '{"b":[1.5,2],"a":"\\u00e9"}'
+    assert one(spark, records.result_hash(F.lit('{ "a": "é", "b": [1.50, 2] }'))) == hashlib.sha256(b'{"a":"\\u00e9","b":[1.5,2]}').hexdigest()
+    assert one(spark, records.result_hash(F.lit(text))) != one(spark, records.result_hash(F.lit("{}")))
+    assert one(spark, records.result_hash(F.lit(None).cast("string"))) is None
+
+
+def test_fills_against_loop(spark):
+    rng = random.Random(3)
+    rows = []
+    for account in range(60):
+        items = [(f"P{i}", rng.choice([0.1, 0.3, 0.9]), rng.choice([None, 0.0, 3.3, 17.0, 999.0]), rng.choice([None, None, None, "limit_up_unfilled"])) for i in range(rng.randrange(6))]
+        rows.append((account, float(rng.randrange(100000)), items))
+    df = spark.createDataFrame(rows, "account long, cash double, items array<struct<symbol:string,weight:double,price:double,reject_reason:string>>")
+    got = {x.account: [tuple(o) for o in x.orders] for x in df.select("account", records.proposal_fills(F.col("items"), F.col("cash")).alias("orders")).collect()}
+    for account, cash, items in rows:
+        want = []
+        for symbol, weight, price, reason in items:
+            shares = 0
+            if reason is None and not price:
+                reason = "no_market_data"
+            if reason is None:
+                shares = int(cash * weight / price // 100) * 100
+                reason, shares = ("below_min_lot", 0) if shares < 100 else (None, shares)
+            cash -= shares * price if reason is None else 0
+            want.append((symbol, shares, price if reason is None else None, reason))
+        assert got[account] == want
+
+
+def test_backfill_resumes(spark, tmp_path):
+    done, bars = str(tmp_path / "done"), str(tmp_path / "bars")
+    wanted = spark.createDataFrame([("007",), ("B",), ("C",), ("B",)], "symbol string")
+    fetched = lambda *rows: spark.createDataFrame(rows, "day int, close double, symbol string")
+    records.backfill(wanted, done, fetched((1, 1.0, "007"), (2, 2.0, "007"), (1, 5.0, "X")), bars)
+    assert [x.symbol for x in spark.read.parquet(done).collect()] == ["007"]
+    records.backfill(wanted, done, fetched((1, 9.0, "007"), (1, 3.0, "B")), bars)
+    read = spark.read.schema("day int, close double, symbol string").parquet(bars)
+    assert sorted(map(tuple, read.collect())) == [(1, 1.0, "007"), (1, 3.0, "B"), (2, 2.0, "007")]
+    assert sorted(x.symbol for x in spark.read.parquet(done).collect()) == ["007", "B"]
+    records.backfill(wanted, done, fetched(), bars)
+    assert read.count() == 3
