@@ -198,13 +198,13 @@ def driver_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT source, CASE TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' ELSE 'fallback' END AS tier, false AS official FROM documents")
 def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tier and official flag of each source (SRC01, SRC02, FLT16)."""
+    """Tier and official flag of each source without a registry entry (FLT16)."""
     s = t.read(spark, sf_dir, "documents").select("source").distinct()
     return s.select("source", news_ops.source_tier(F.col("source")).alias("tier"), news_ops.official(F.col("source")).alias("official"))
 
 
 @query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a href="([^"]+)">', 1))) AS INT) AS n_links, regexp_extract(html, '<a href="([^"]+)">', 1) AS first_url FROM pages""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each page (SRC09, SRC10)."""
+    """Links of each page (part of SRC09)."""
     p = t.read(spark, sf_dir, "pages").select("page_id", payloads.anchors(F.col("html")).alias("a"))
     return p.select("page_id", F.size("a").alias("n_links"), F.coalesce(F.get("a", F.lit(0))["url"], F.lit("")).alias("first_url"))

@@ -91,7 +91,7 @@ def price_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(t.BARS_SQL.replace("sum(CASE", "floor(sum(CASE").replace("(1 - l_discount)) AS inflow", "(1 - l_discount)) * 100 + 0.500001) / 100 AS inflow").replace("sum(l_extendedprice) AS amount", f"{r('sum(l_extendedprice)', 2)} AS amount"), dates="trade_date")
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars and fund flow by symbol and day (SRC28, JN19, WIN05)."""
+    """Bars and fund flow by symbol and day (JN19, WIN05)."""
     return t.bars(spark, sf_dir).withColumn("amount", half_up(F.col("amount"), 2)).withColumn("inflow", half_up(F.col("inflow"), 2))
 
 
