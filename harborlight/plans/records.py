@@ -180,7 +180,7 @@ def proposal_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT conv_id, '{"code_commit":"c1","items":[' || string_agg('{"deterministic_score":' || CAST((conv_id + turn * 25) % 400 / 100.0::DOUBLE AS VARCHAR) || ',"rank":' || turn || ',"sleeve":"' || role || '","symbol":"S' || turn || '"}', ',' ORDER BY role, turn) || '],"rule_version":"\\u89c4' || conv_id % 2 || '"}' AS payload FROM conversations GROUP BY conv_id),
 h AS (SELECT conv_id AS run_id, sha256(payload) AS result_hash FROM p) SELECT * FROM h WHERE result_hash NOT IN (SELECT result_hash FROM h WHERE run_id % 3 = 0)""")
-def open_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unexecuted_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs by the hash of their result, without those whose hash the decision log has (SC22, SET15)."""
     c = t.read(spark, sf_dir, "conversations")
     item = F.struct(F.col("role").alias("sleeve"), F.col("turn").alias("rank"), F.concat(F.lit("S"), "turn").alias("symbol"), ((F.col("conv_id") + F.col("turn") * 25) % 400 / F.lit(100.0)).alias("deterministic_score"))
