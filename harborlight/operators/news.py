@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +113,32 @@ def event_cards(links: DataFrame, news: DataFrame, mentions: DataFrame, now: Col
     )
 
 
+def _rarest(cards: DataFrame, values: str, kept: Column, mark: str) -> DataFrame:
+    """topic_id, event_type and key: the ``kept`` rarest values of each card, by how many cards have them."""
+    each = cards.select("topic_id", "event_type", kept.alias("kept"), F.explode(values).alias("value"))
+    ranked = each.join(each.groupBy("value").agg(F.count("*").alias("n")), "value")
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("topic_id", "event_type").orderBy("n", "value")))
+    return ranked.where("at <= kept").select("topic_id", "event_type", F.concat(F.lit(mark), "value").alias("key"))
+
+
 def fusable(cards: DataFrame) -> DataFrame:
     """Pairs of cards (a < b) of one type that share a first symbol, two symbols, or half of their title words.
 
-    Cards are the bounded set of candidate topics; pairs come from equal keys (first symbol, symbol,
-    title word), never from all pairs of a type.
+    Pairs come from equal keys, and common words and symbols are no keys where rarer ones must be shared too:
+    cards with half of their words (two of their symbols) in common share one of the rarest half and one more
+    of each card's words (one of all its symbols but the most common).
     """
     c = cards.where("event_type <> 'general'").select("topic_id", "event_type", "symbols", F.element_at(F.when(F.size("symbols") > 0, F.col("symbols")), 1).alias("first"), F.array_distinct(comparison_tokens(F.col("event_title"))).alias("words"))
-    keyed = c.withColumn("key", F.explode(F.array_distinct(F.concat(F.transform("symbols", lambda s: F.concat(F.lit("s:"), s)), F.transform("words", lambda w: F.concat(F.lit("w:"), w))))))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.topic_id") < F.col("b.topic_id"))).select(*(F.struct(f"{x}.topic_id", f"{x}.event_type", f"{x}.symbols", f"{x}.first", f"{x}.words").alias(x) for x in "ab")).distinct()
+    words = _rarest(c, "words", F.size("words") - F.ceil(F.size("words") / 2) + 1, "w:")
+    both = _rarest(c.withColumn("symbols", F.array_distinct("symbols")), "symbols", F.size("symbols") - 1, "s:")
+    first = c.where("first IS NOT NULL").select("topic_id", "event_type", F.concat(F.lit("f:"), "first").alias("key"))
+    keys = words.union(both).union(first)
+    near = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.topic_id") < F.col("b.topic_id")))
+    near = near.select(F.col("a.topic_id").alias("a_id"), F.col("b.topic_id").alias("b_id"), F.col("a.event_type").alias("event_type")).distinct()
+    side = lambda x: c.select(F.col("topic_id").alias(f"{x}_id"), "event_type", F.struct("symbols", "first", "words").alias(x))
+    pairs = near.join(side("a"), ["a_id", "event_type"]).join(side("b"), ["b_id", "event_type"])
     alike = (F.coalesce(F.col("a.first") == F.col("b.first"), F.lit(False))) | (F.size(F.array_intersect("a.symbols", "b.symbols")) >= 2) | (overlap(F.col("a.words"), F.col("b.words")) >= 0.5)
-    return pairs.where(alike).select(F.col("a.topic_id").alias("a"), F.col("b.topic_id").alias("b"), F.col("a.event_type").alias("event_type"))
+    return pairs.where(alike).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "event_type").distinct()
 
 
 def editorial(news: DataFrame, best: DataFrame, mentioned: DataFrame, now: Column) -> DataFrame:
@@ -150,13 +166,15 @@ def priority_order(news: DataFrame, now: Column) -> DataFrame:
 def near_titles(news: DataFrame, minutes: int = 60, duplicate: int = 3, gray: int = 6) -> DataFrame:
     """Pairs (a earlier id) of headlines at most ``minutes`` apart that look alike, and the first such match of each b.
 
-    Candidates share a block of the SimHash: with ``gray`` + 1 blocks, hashes at most ``gray`` bits apart
-    agree in one, so the join is on equal (time bucket, block) keys and loses no pair.
+    Candidates share two blocks of the SimHash: of ``gray`` + 2 blocks, hashes at most ``gray`` bits apart
+    agree in two, so the join is on equal (time bucket, pair of blocks) keys of 16 bits and loses no pair.
     """
-    blocks = gray + 1
-    width = 64 // blocks + 1
-    # The hash is bound by a lambda, so that it is computed once for all its blocks.
-    parts = lambda h: F.array(*(F.struct(h.alias("h"), F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(h, i * width).bitwiseAND((1 << width) - 1).alias("v")).alias("block")) for i in range(blocks)))
+    blocks = gray + 2
+    width = 64 // blocks + (64 % blocks > 0)
+    block = lambda h, i: F.shiftrightunsigned(h, i * width).bitwiseAND((1 << width) - 1)
+    key = lambda h, n, i, j: F.struct(F.lit(n).alias("n"), F.shiftleft(block(h, i), width).bitwiseOR(block(h, j)).alias("v"))
+    # The hash is bound by a lambda, so that it is computed once for all its keys.
+    parts = lambda h: F.array(*(F.struct(h.alias("h"), key(h, n, i, j).alias("block")) for n, (i, j) in enumerate(combinations(range(blocks), 2))))
     rows = news.where(F.size(title_tokens(F.col("title"))) >= 4).select(
         "news_id", numeric_fingerprint(F.col("title")).alias("numbers"), F.unix_micros(F.col("effective_at").cast("timestamp")).alias("t"), F.inline(F.flatten(F.transform(F.array(simhash64(F.col("title"))), parts)))
     )

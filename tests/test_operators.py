@@ -86,6 +86,24 @@ def test_near_titles_lose_no_pair(spark):
     assert {(r.a, r.b) for r in news.near_titles(df).collect()} == want and want
 
 
+def test_fusable_loses_no_pair(spark):
+    rng, rows = random.Random(11), []
+    for i in range(150):
+        # Some words and symbols are in most cards.
+        title = ["market", "stocks"] * rng.randrange(2) + rng.sample([f"word{k}" for k in range(12)], rng.randrange(5))
+        rows.append((i, rng.choice(["macro", "mna", "general"]), rng.sample(["HOT", *(f"S{k}" for k in range(15))], rng.randrange(4)) + ["HOT"] * rng.randrange(2), " ".join(title)))
+    df = spark.createDataFrame(rows, "topic_id long, event_type string, symbols array<string>, event_title string")
+    words = {r.topic_id: set(r.w) for r in df.select("topic_id", text.comparison_tokens(F.col("event_title")).alias("w")).collect()}
+    want = set()
+    for a, kind, left, _ in rows:
+        for b, other, right, _ in rows:
+            if a < b and kind == other != "general":
+                x, y = words[a], words[b]
+                if left and right and left[0] == right[0] or len({*left} & {*right}) >= 2 or x and y and len(x & y) / len(x | y) >= 0.5:
+                    want.add((a, b, kind))
+    assert [tuple(r) for r in news.fusable(df).orderBy("a", "b").collect()] == sorted(want) and len(want) > 50
+
+
 def test_url_keys(spark):
     cases = {
         "HTTP://Example.com:80/a/?utm_source=x&b=2&a=1#top": "http://example.com/a?a=1&b=2", "https://example.com/": "https://example.com/", "https://m.example.com:443/x//?ref=1": "https://m.example.com/x",
