@@ -1,4 +1,4 @@
 """All queries over the supplied tables, each with SQL that gives the same rows."""
 
-from . import desk, details, ingest, market, news, records, roundup  # noqa: F401
+from . import desk, details, ingest, market, news, records, roundup, runs  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlight.functions import numbers, rules, text, times, topics
-from harborlight.operators import asof, backtest, desk, news, quant, records, sentiment, timeseries, upsert
+from harborlight.operators import asof, backtest, desk, news, quant, records, runs, sentiment, timeseries, upsert
 from harborlight.sources import payloads
 
 
@@ -406,3 +406,33 @@ def test_backfill_resumes(spark, tmp_path):
     assert sorted(x.symbol for x in spark.read.parquet(done).collect()) == ["007", "B"]
     records.backfill(wanted, done, fetched(), bars)
     assert read.count() == 3
+
+
+def test_sample_files(spark, tmp_path):
+    path, csv = str(tmp_path / "s"), str(tmp_path / "c")
+    rows = spark.createDataFrame([(1, 'a "q",\nb', None), (2, None, "x")], "sample_id long, title string, label string")
+    runs.write_samples(rows, path)
+    got = runs.read_samples(spark, path, "sample_id long, title string, label string", ["title", "label"]).orderBy("sample_id").collect()
+    assert [tuple(r) for r in got] == [(1, 'a "q",\nb', None, "label"), (2, None, "x", "title")]
+    lines = spark.createDataFrame([("{oops",), ("",), ("{}",)], "line string")
+    assert sorted(r.problem for r in runs.parsed_samples(lines, "sample_id long", ["sample_id"]).collect()) == ["malformed", "sample_id"]
+    runs.write_review_queue(rows, csv)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(csv).orderBy("sample_id").collect()
+    assert [tuple(r) for r in back] == [("1", 'a "q",\nb', None), ("2", None, "x")]
+
+
+def test_runs_are_whole_after_a_retry(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    df = lambda run, *values: spark.createDataFrame([(run, v) for v in values], "run_id long, v string")
+    for run, items in ((1, "ab"), (2, "c"), (1, "abd")):
+        runs.persist_run(df(run, "r"), df(run, *items), df(run, "s", "t"), path)
+    read = lambda name: sorted((r.run_id, r.v) for r in spark.read.parquet(f"{path}/{name}").collect())
+    assert read("runs") == [(1, "r"), (2, "r")] and read("items") == [(1, "a"), (1, "b"), (1, "d"), (2, "c")] and len(read("stages")) == 4
+
+
+def test_batch_quotes_and_pending(spark):
+    frames = spark.createDataFrame([('{"day":"2024-01-02","close":{"A":2.0,"B":null}}',), ('{"day":"2024-01-01","close":{"A":1.0,"B":0.0}}',), ('{"day":"2024-01-02","close":{"A":2.0}}',), ("oops",), (None,)], "payload string")
+    assert sorted((r.symbol, str(r.day), r.price, r.previous_close, r.change_percent) for r in runs.batch_quotes(frames).collect()) == [("A", "2024-01-02", 2.0, 1.0, 100.0), ("B", "2024-01-01", 0.0, None, None)]
+    rows = spark.createDataFrame([(1, None, ts(5)), (2, None, None), (3, "done", ts(9)), (4, None, ts(7))], "id long, status string, at timestamp")
+    assert [r.id for r in runs.pending(rows, "status", "at", "id").collect()] == [4, 1, 2]
+    assert [r.id for r in runs.pending(rows, "status", "at", "id", 1).collect()] == [4]
