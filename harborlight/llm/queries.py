@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, substring_dedup, token_counts, token_files, url_filters
+from . import decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, source_divergence, source_mixing, substring_dedup, token_counts, token_files, url_filters, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_url_filters, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_near_dedup, op8_decontamination, op9_piece_codec, op10_token_files)}
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents")).drop("odds_rank", "inclusion")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_counts, op3_url_filters, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_near_dedup, op8_decontamination, op9_piece_codec, op10_token_files,
+        op11_source_mixing, op12_embedding_whitening, op13_source_divergence,
+    )
+}
 
 OP8_SQL = r"""
 WITH d AS (
@@ -111,4 +129,65 @@ SELECT c.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN listed.c
 FROM c LEFT JOIN fit USING (page_id) LEFT JOIN listed ON listed.canonical_url = c.canonical_url
 """
 
-ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op8_decontamination": OP8_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+r AS (
+  SELECT doc_id, s, size, length(CASE WHEN size = 0 THEN '0' ELSE bin(size) END) AS stratum, CAST(floor(greatest(least(ln(u / (1 - u)), 20e0), -20e0) * 128) AS BIGINT) AS cell FROM d),
+src AS (
+  SELECT s, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][(row_number() OVER (ORDER BY s = '', s) - 1) % 3 + 1] AS weight FROM r GROUP BY s),
+share(round, unit) AS (
+  SELECT 0, CAST(sum(n) AS DOUBLE) / CAST(sum(weight) AS DOUBLE) FROM src
+  UNION ALL
+  SELECT round + 1, (SELECT CAST(sum(n) - 3 * coalesce(sum(n) FILTER (3 * n < unit * weight), 0) AS DOUBLE) / CAST(sum(weight) FILTER (3 * n >= unit * weight) AS DOUBLE) FROM src) FROM share
+  WHERE round < (SELECT count(*) FROM src)),
+goal AS (SELECT s, n, least(3e0 * n, max(unit) * weight) AS target FROM src, share GROUP BY s, n, weight),
+g AS (SELECT *, coalesce(target / nullif(CAST(n AS DOUBLE), 0), 0e0) AS ratio FROM goal),
+cells AS (SELECT s, stratum, cell, CAST(sum(size) AS DOUBLE) AS words FROM r GROUP BY s, stratum, cell),
+strata AS (
+  SELECT s, stratum, sum(words) AS words, list({'cell': cell, 'words': words, 'upto': upto} ORDER BY cell) AS cells, row_number() OVER (PARTITION BY s ORDER BY stratum DESC) AS k,
+    (CAST('0x' || substr(md5(concat_ws(':', '0', 'border', s, CAST(stratum AS VARCHAR))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS coin
+  FROM (SELECT *, sum(words) OVER (PARTITION BY s, stratum ORDER BY cell) AS upto FROM cells) GROUP BY s, stratum),
+fold(s, k, chance, carry, remaining, stratum, last) AS (
+  SELECT s, CAST(0 AS BIGINT), ratio - floor(ratio), 0e0, CAST(n AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM g
+  UNION ALL
+  SELECT s, k, chance, want - CASE WHEN over THEN edge.upto ELSE under END, remaining, stratum, cells[whole + CASE WHEN over THEN 1 ELSE 0 END].cell
+  FROM (
+    SELECT *, coalesce(CASE WHEN edge.upto - want <= chance * remaining AND want - under <= (1 - chance) * remaining THEN coin < part ELSE part >= 0.5 END, false) AS over
+    FROM (
+      SELECT *, cells[whole + 1] AS edge, CASE WHEN whole > 0 THEN cells[whole].upto ELSE 0e0 END AS under,
+        (want - CASE WHEN whole > 0 THEN cells[whole].upto ELSE 0e0 END) / nullif(cells[whole + 1].words, 0) AS part
+      FROM (
+        SELECT f.s, t.k, chance, chance * words + carry AS want, remaining - words AS remaining, CAST(t.stratum AS BIGINT) AS stratum, cells, coin,
+          len(list_filter(cells, lambda c: c.upto <= chance * words + carry)) AS whole
+        FROM fold f JOIN strata t ON t.s = f.s AND t.k = f.k + 1)))),
+taken AS (
+  SELECT doc_id, size, n AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(ratio) AS BIGINT) + CASE WHEN coalesce(cell <= last, false) THEN 1 ELSE 0 END END AS copies
+  FROM r JOIN g USING (s) JOIN fold f ON f.s = r.s AND f.stratum = r.stratum)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM taken
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT nr, lang, source, term, count(*) AS c FROM (SELECT nr, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(c) AS HUGEINT) AS lc FROM w GROUP BY lang, term HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, CAST(sum(c) AS HUGEINT) AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(lc) AS ln FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p, 1 + (1000000000 * (lc + 5)) // (ln + 5 * v) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS f
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS f FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY f DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(f AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL = {"op3_url_filters": OP3_SQL, "op8_decontamination": OP8_SQL, "op11_source_mixing": OP11_SQL, "op13_source_divergence": OP13_SQL}
