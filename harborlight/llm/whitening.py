@@ -48,7 +48,8 @@ def scaled(d: int) -> list[Column]:
 
 def triangle(centred: DataFrame, d: int) -> np.ndarray:
     """Sums of the products of all pairs of the columns y0, y1 and so on, by one aggregation of generated expressions."""
-    sums = centred.agg(F.expr("array(" + ", ".join(f"sum(y{i} * y{j})" for i in range(d) for j in range(i, d)) + ")")).first()[0]
+    whole = centred.select(*(F.coalesce(c, F.lit(0.0)).alias(c) for c in centred.columns))  # none is null: Spark leaves out its checks for null
+    sums = whole.agg(F.expr("array(" + ", ".join(f"sum(y{i} * y{j})" for i in range(d) for j in range(i, d)) + ")")).first()[0]
     out = np.zeros((d, d))
     out[np.triu_indices(d)] = sums
     return out + np.triu(out, 1).T
