@@ -1,7 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into one line for each block of text, in page order; scripts, styles and blocks that
-are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out.  The
+Markup is stripped into one line for each block of text, in page order; scripts, styles, menus, headers,
+footers and sidebars by element are left out.  So are blocks whose class, id or role names them as such, as
+forms, notices, adverts or reader comments, unless the page needs them: a name is overruled where the block
+holds an article with more text than all that is outside named blocks, or, where no article is outside, four
+times that text.  Reader comments stay out as long as there is any other text, in article elements too.  The
 text lengths (link text apart) are summed over sliding windows of lines.  A region begins at a surge,
 where a window's sum passes the threshold, and ends at the dive, where the sums fall to nothing; the
 region with the most text is the core.  The result is every remaining line of the outermost article and
@@ -22,6 +25,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +42,7 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|\bdisplay\s*:\s*none\b|
 
 RAW = frozenset("script style noscript template iframe svg textarea title audio video annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog button select head".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mo mn ms mtext mrow mfrac msup msub msubsup munder mover munderover msqrt mroot mspace mstyle mpadded semantics object canvas".split()
 )
@@ -48,8 +52,20 @@ MARKS = frozenset(
     "topbar toolbar cookie cookies consent gdpr notice notices alert alerts disclaimer popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended recommendations widget pagination pager skip complementary contentinfo".split()
 )
+#: Marks of reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Marks that decide as the head of a name, whatever qualifies them.
+STRONG = COMMENTS | frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion nav navbar navigation breadcrumb breadcrumbs sidebar topbar cookie cookies consent gdpr newsletter subscribe subscription related recommended recommendations social".split())
 #: Words that may follow or precede those marks in a name within the article; any other word makes it a name of content.
-NEUTRAL = frozenset("post posts article articles story stories link links list box block section container wrapper inner outer button buttons bar area item items row content form top bottom left right widget module panel icon icons count".split())
+NEUTRAL = frozenset(
+    "post posts article articles story stories link links list box block section container wrapper inner outer button buttons bar area item items row content form top bottom left right widget module panel icon icons count "
+    "slot unit card cards cta thread tools tool media reading body text group holder holders site page paywall user users author inline sticky google reader readers".split()
+)
+#: Words before a mark that tell what a wrapper has, and words after one that make it a name of the wrapper.
+STATES = frozenset("with without has have no not is hide show non".split())
+WRAPPERS = frozenset("page layout root app site main document website wrap".split())
+#: Words before "header" that make it the heading of the text.
+HEADED = frozenset("article post entry story content news headline title section".split())
 #: Marks outside the article that are ordinary names of blocks within it.
 _WITHIN = MARKS - frozenset(("header", "alert", "alerts", "disclaimer", "search"))
 CONTENT = frozenset(("article", "main"))
@@ -64,19 +80,21 @@ THRESHOLD = 80
 
 @dataclass
 class Tree:
-    """Block elements by number: tag, parent, last descendant, and outermost article or main element around (0: none)."""
+    """Block elements by number: tag, parent, last descendant, outermost article or main element around (0: none), and what its name marks it as."""
 
     tags: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
     last: list[int] = field(default_factory=lambda: [0])
     content: list[int] = field(default_factory=lambda: [0])
+    mark: list[int] = field(default_factory=lambda: [0])
 
-    def add(self, tag: str, parent: int) -> int:
+    def add(self, tag: str, parent: int, mark: int) -> int:
         number = len(self.tags)
         self.tags.append(tag)
         self.parent.append(parent)
         self.last.append(number)
         self.content.append(self.content[parent] or (number if tag in CONTENT else 0))
+        self.mark.append(mark)
         return number
 
 
@@ -93,22 +111,38 @@ def _parts(name: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
 
 
-def _marked(attributes: str, within: bool) -> bool:
-    """Whether attributes hide an element or mark it as boilerplate; ``within`` the article, only by whole names."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for value in _ATTRIBUTE.findall(attributes):
-        for name in value.strip("\"'").split():
-            parts = _parts(name)
-            if within and not _WITHIN.isdisjoint(parts) and all(w in MARKS or w in NEUTRAL or w.isdigit() for w in parts) or not within and not MARKS.isdisjoint(parts):
-                return True
-    return False
+#: What a name says of an element: nothing, boilerplate, or reader comments.
+PLAIN, BOILER, COMMENT = 0, 1, 2
+
+
+def name_mark(name: str, within: bool) -> int:
+    """What a class, id or role name marks an element as; ``within`` the article, only by whole names or strong marks."""
+    parts = _parts(name)
+    parts += [a + b for a, b in zip(parts, parts[1:], strict=False) if a + b in MARKS]
+    if not parts or MARKS.isdisjoint(parts) and STRONG.isdisjoint(parts):
+        return PLAIN
+    if not STATES.isdisjoint(parts) or parts[-1] in WRAPPERS and len(parts) > 1:
+        return PLAIN
+    head = next((w for w in reversed(parts) if w in MARKS or w in STRONG or w not in NEUTRAL and not w.isdigit()), "")
+    if head in COMMENTS:
+        return COMMENT
+    if within:
+        whole = not _WITHIN.isdisjoint(parts) and all(w in MARKS or w in NEUTRAL or w.isdigit() for w in parts)
+        return BOILER if whole or head in STRONG else PLAIN
+    if head == "header" and not HEADED.isdisjoint(parts):
+        return PLAIN
+    return BOILER
+
+
+def _mark(attributes: str, within: bool) -> int:
+    """What the class, id and role of an element mark it as."""
+    if "=" not in attributes:
+        return PLAIN
+    return max((name_mark(name, within) for value in _ATTRIBUTE.findall(attributes) for name in value.strip("\"'").split()), default=PLAIN)
 
 
 def page_lines(html: str) -> tuple[list[Line], Tree]:
-    """The blocks outside boilerplate, and the tree of block elements."""
+    """The blocks outside boilerplate elements, and the tree of block elements with their marks."""
     last_close = {m.group(1).lower(): m.start() for m in _LAST_CLOSE.finditer(html)}
     limit = html.rfind(">") + 1  # no markup ends beyond it
     tree, lines = Tree(), []
@@ -188,11 +222,21 @@ def page_lines(html: str) -> tuple[list[Line], Tree]:
             flush()
         _, inside, parent = stack[-1]
         content = tag in CONTENT or "=" in attributes and bool(_BODY.search(attributes))
-        if not inside and not content and tag not in ("html", "body"):
-            # A header inside the article holds its title.
+        mark = PLAIN
+        if not inside and tag not in ("html", "body"):
             within = tree.content[parent] > 0
-            inside = (tag in BOILERPLATE and not (tag == "header" and within) or _marked(attributes, within)) and last_close.get(tag, -1) >= at
-        number = parent if inline else tree.add("article" if content else tag, parent)
+            mark = _mark(attributes, within)
+            if content:  # an article that is in no other is dropped for its name only if it is a comment
+                mark = mark if mark == COMMENT or within else PLAIN
+            elif tag == "form":
+                mark = max(mark, BOILER)
+            closed = last_close.get(tag, -1) >= at
+            mark = mark if closed else PLAIN
+            # A header inside the article holds its title.
+            hard = not content and tag in BOILERPLATE and not (tag == "header" and within) or not content and bool(_HIDDEN.search(attributes))
+            inside = closed and (hard or inline and mark != PLAIN)
+        kind = "article" if content and mark != COMMENT else "div" if content else tag
+        number = parent if inline else tree.add(kind, parent, mark)
         if not inline:
             blocks.append(len(stack))
             element = number
@@ -228,9 +272,44 @@ def core_region(lengths: list[int]) -> tuple[int, int] | None:
     return max(regions(lengths), key=lambda r: sum(lengths[r[0] : r[1]]), default=None)
 
 
+def unmarked(lines: list[Line], tree: Tree) -> list[Line]:
+    """The lines outside elements that their names mark, but for elements that the page needs."""
+    if not any(tree.mark):
+        return lines
+    size = len(tree.tags)
+    near = [0] * size  # the innermost marked element around
+    for e in range(1, size):
+        near[e] = e if tree.mark[e] else near[tree.parent[e]]
+    own, article, plain = [0] * size, [0] * size, [0] * size
+    for x in lines:
+        n = len(x.text) - x.linked
+        own[x.element] += n
+        article[x.element] += n * (tree.content[x.element] > 0)
+        plain[near[x.element]] += n
+    total, articles = [0, *accumulate(own)], [0, *accumulate(article)]
+    free = any(article[x.element] and not near[x.element] for x in lines)
+    outside, dropped, e = plain[0], [False] * size, 1
+    while e < size:
+        if tree.mark[e]:
+            text, held = (sums[tree.last[e] + 1] - sums[e] for sums in (total, articles))
+            if tree.mark[e] == COMMENT:
+                needed = not outside and text > 4 * THRESHOLD
+            else:
+                needed = held > outside or not free and text > 4 * max(outside, THRESHOLD)
+            if needed:
+                outside += plain[e]
+                free = free or held > 0
+            else:
+                dropped[e : tree.last[e] + 1] = [True] * (tree.last[e] + 1 - e)
+                e = tree.last[e]
+        e += 1
+    return [x for x in lines if not dropped[x.element]]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page."""
     lines, tree = page_lines(html or "")
+    lines = unmarked(lines, tree)
     if not lines:
         return ""
     lengths = [len(x.text) - x.linked for x in lines]

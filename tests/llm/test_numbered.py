@@ -379,6 +379,56 @@ def test_extraction_keeps_the_whole_core():
         assert html_extraction.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(want)
 
 
+#: Names that mark boilerplate wherever they are, and names of wrappers and parts of the text that hold such words.
+JUNK_NAMES = "ad-slot ad-unit adsbygoogle google-ad inline-ad newsletter-cta social-media-links related-reading comment-thread user-comments author-comments site-notice paywall-notice promo-card share-tools side-bar top-bar comment comment-body adUnit relatedPosts cookie-consent".split()
+WRAPPER_NAMES = "with-sidebar has-banner no-comments alerts-page search-result-page layout--without-ads page-with-menu sidebar-layout has-related-posts".split()
+TEXT_NAMES = "market-share related-work adoption headline story-lead shareholders login-history noticeboard".split()
+
+
+@pytest.mark.parametrize("name", WRAPPER_NAMES)
+def test_extraction_keeps_what_a_wrapper_holds(name):
+    body = ("word " * 60).strip()
+    for page in (f'<div class="layout {name}"><article><p>{body}</p></article></div>', f'<div id="page" class="{name}"><p>{body}</p></div>', f'<section id="{name}"><main><h1>T</h1><p>{body}</p></main></section>'):
+        assert body in html_extraction.main_text(f"<html><body>{page}<footer>f</footer></body></html>"), page
+    for held in ("post-header", "article-header", "entry-header"):
+        assert html_extraction.main_text(f'<div class="{name}"><div class="{held}"><h1>T</h1></div><div class="post-body"><p>{body}</p></div></div>') == f"T\n\n{body}"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "menu", "banner", "ads", "alerts", "cookie-notice", "related", "search"])
+def test_extraction_overrules_names_that_hold_the_text(name):
+    body = ("word " * 80).strip()
+    for page in (f'<div class="{name}"><article><p>{body}</p></article></div><div>short note</div>', f'<div class="{name}"><p>{body}</p><p>{body}</p></div>', f'<form class="{name}"><div><p>{body}</p></div></form>', f'<div class="{name}"><div class="comments"><p>{body} not this</p></div><article><p>{body}</p></article></div>'):
+        text = html_extraction.main_text(page)
+        assert body in text and "not this" not in text, page
+    assert html_extraction.main_text(f'<div class="{name}"><article>teaser</article></div><article><p>{body}</p></article>') == body
+
+
+def test_extraction_of_reader_comments_in_articles():
+    body, said = ("word " * 60).strip(), "reader says " * 90
+    for comment in (f'<article class="comment"><p>{said}</p></article>', f'<section class="comments"><article><p>{said}</p></article></section>', f'<article id="reply-7"><div><p>{said}</p></div></article>', f'<div class="comment-body">{said}</div>'):
+        for page in (f"<article><p>{body}</p></article>{comment}", f"<article><p>{body}</p>{comment}</article>", f"{comment}<main><p>{body}</p></main>", f"<div><p>{body}</p></div>{comment}"):
+            assert html_extraction.main_text(page) == body, page
+    assert "reader says" in html_extraction.main_text(f'<div class="comments"><p>{said}</p></div>')  # nothing else is there
+
+
+def test_extraction_of_generated_class_names():
+    rng = random.Random(51)
+    for _ in range(300):
+        keep, page = [], []
+        for i in range(rng.randrange(3, 9)):
+            junk = rng.random() < 0.4
+            text = f"{'junk' if junk else 'text'}{i} " + "word " * rng.choice([3, 12] if junk else [12, 40])
+            name = rng.choice(JUNK_NAMES if junk else [*TEXT_NAMES, *WRAPPER_NAMES, "", "x1"])
+            page.append(f'<{rng.choice(["div", "section"])} {rng.choice(["class", "id"])}="{name}"><p>{text}</p>')
+            page[-1] += f"</{page[-1][1:].split()[0]}>"
+            keep += [] if junk else [text.strip()]
+        if not keep:
+            continue
+        wrapper = rng.choice(WRAPPER_NAMES)
+        html = f'<html><body><div class="{wrapper}"><article class="{rng.choice(["", "post", "has-sidebar"])}">{"".join(page)}</article></div></body></html>'
+        assert html_extraction.main_text(html) == "\n\n".join(keep), html
+
+
 def test_extraction_without_containers_uses_surge_and_dive():
     assert html_extraction.core_region([3, 0, 0, 0, 200, 5, 180, 0, 0, 0, 4]) == (4, 7)
     assert html_extraction.core_region([]) is None and html_extraction.core_region([1, 2, 3]) is None
