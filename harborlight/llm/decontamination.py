@@ -1,11 +1,14 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each Arrow batch of documents is a shard.  Its words are numbered by the benchmark's vocabulary; runs
-of known words shorter than the shortest window cannot hold a match and are left out.  The remaining
-suffixes are sorted into a suffix array by prefix doubling, and all benchmark suffixes are
-binary-searched in it at once, by arrays.  A suffix that matches for a whole window gives, at every
-place where it occurs, the longest verbatim match.  The benchmark lies in the shared folder in blocks of
-bounded size, which tasks read one at a time; nothing of it passes through the driver.
+Each Arrow batch of documents is a shard.  Its words are numbered by the benchmark's vocabulary and split
+into runs wherever two neighbours are not neighbours in any item, as no match goes across; runs shorter than
+the shortest window cannot hold one and are left out.  The remaining suffixes are sorted into a suffix array by
+prefix doubling.  Of the benchmark's suffixes, those with a word or pair of neighbours in their first window
+that the shard lacks occur nowhere; all others are binary-searched in it at once, by arrays.  A suffix that
+matches for a whole window gives, at every place where it occurs, the longest verbatim match.  A document keeps,
+for each item, its longest match and as few others as have all words between them that the item hits, however often
+a text repeats itself.  The benchmark lies in the shared folder in blocks of bounded size, which tasks read
+one at a time; nothing of it passes through the driver.
 
 A window is ``window`` consecutive words of an item; an item with fewer words, but some, is one window.
 
@@ -33,6 +36,10 @@ from .common import FOLDED, bounded_batches, release_memory, shared_path, text_b
 BLOCK_BYTES = 32 << 20
 SHARDS_BYTES = 64 << 20
 _FOLD = FOLDED.tobytes()
+#: Pairs of neighbouring words are looked up by as many bits of a hash: chance hits cost a search, and never a result.
+PAIR_BITS = 22
+#: Places handled at once.
+CHUNK = 1 << 20
 _MATCHES = "array<struct<item:string,item_word:int,doc_word:int,n_words:int>>"
 
 
@@ -62,6 +69,34 @@ class TestSuffixes:
             parts.append(rows)
             where.append(np.column_stack([np.full(len(rows), n), np.arange(len(rows))]))
         self.windows, self.where = np.concatenate(parts), np.concatenate(where)
+        # All items' words, with a 0 after each; where each item begins; and the pairs of neighbours, by hash.
+        self.words = np.concatenate([np.zeros(0, np.int64), *(np.append(np.frombuffer(code, ">u4").astype(np.int64), 0) for _, code, _ in self.items)])
+        sizes = np.array([len(code) // 4 for _, code, _ in self.items], np.int64)
+        self.sizes, self.needs = sizes, np.array([need for *_, need in self.items], np.int64)
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.pair = pair_hash(self.words)
+        self.paired = pair_table(self.pair)
+
+    def possible(self, x: np.ndarray) -> np.ndarray:
+        """The windows all of whose words and pairs of neighbours the word numbers ``x`` may have."""
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[x] = True
+        lacks = np.r_[0, np.cumsum(~there[self.words])]
+        apart = np.r_[0, np.cumsum(~pair_table(pair_hash(x))[self.pair])] if len(self.pair) else np.zeros(1, np.int64)
+        item, at = self.where.T
+        first, need = self.begin[item] + at, self.needs[item]
+        return np.flatnonzero((lacks[first + need] == lacks[first]) & (apart[first + need - 1] == apart[first]))
+
+
+def pair_hash(x: np.ndarray) -> np.ndarray:
+    """Of each two neighbours of ``x``, a number below 2 ** PAIR_BITS."""
+    return ((x[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x[1:].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def pair_table(pairs: np.ndarray) -> np.ndarray:
+    table = np.zeros(1 << PAIR_BITS, bool)
+    table[pairs] = True
+    return table
 
 
 def suffix_array(x: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
@@ -100,8 +135,81 @@ def found_windows(x: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tupl
     return search(False), search(True)
 
 
+def known_runs(x: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of ``x`` that can hold a match, with a 0 after each; the place in ``x`` of each word; and the words left in its run."""
+    known = x > 0
+    going = known[1:] & known[:-1] & tests.paired[pair_hash(x)] if len(x) > 1 else np.zeros(0, bool)
+    first = np.flatnonzero(known & ~np.r_[False, going])
+    size = np.flatnonzero(known & ~np.r_[going, False]) + 1 - first
+    long = size >= tests.shortest
+    first, size = first[long], size[long]
+    ends = np.cumsum(size + 1)
+    step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - 1, size + 1)
+    left = np.repeat(size, size + 1) - step
+    place = np.repeat(first, size + 1) + step
+    return np.where(left > 0, x[np.minimum(place, len(x) - 1)], 0), place, left
+
+
+def matches_of(tests: TestSuffixes, y: np.ndarray, left: np.ndarray, order: np.ndarray, windows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows of item, item word, place in ``y`` and words of the matches that begin with ``windows`` and nowhere earlier."""
+    item, at = tests.where[windows].T
+    before = np.where(at > 0, tests.words[tests.begin[item] + at - 1], 0)
+    # Windows that have the same places and the same word before them go on from the same places.
+    _, one, alike = np.unique(np.column_stack([low, high, before]), axis=0, return_index=True, return_inverse=True)
+    alike, previous = alike.ravel(), np.r_[0, y[:-1]]
+    starts = []
+    for g in one.tolist():
+        places = order[low[g] : high[g]]
+        starts.append(places if before[g] == 0 else places[previous[places] != before[g]])
+    sizes, out = np.array([len(x) for x in starts], np.int64), [np.zeros((0, 4), np.int64)]
+    per = sizes[alike]
+    bounds = np.unique(np.r_[0, np.searchsorted(np.cumsum(per), np.arange(0, per.sum(), CHUNK)), len(per)])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        place = np.concatenate([starts[g] for g in alike[a:b].tolist()])
+        who, i = np.repeat(item[a:b], per[a:b]), np.repeat(at[a:b], per[a:b])
+        n, most = tests.needs[who], np.minimum(tests.sizes[who] - i, left[place])
+        origin = tests.begin[who] + i
+        some = np.flatnonzero(n < most)
+        while len(some):
+            some = some[y[place[some] + n[some]] == tests.words[origin[some] + n[some]]]
+            n[some] += 1
+            some = some[n[some] < most[some]]
+        out.append(np.column_stack([who, i, place, n]))
+    return np.concatenate(out)
+
+
+def covering(rows: np.ndarray) -> np.ndarray:
+    """Which matches stay: of each (text, item), the longest one, and the fewest that have all words between them. Rows: text, item, text word, words."""
+    order = np.lexsort((-rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))
+    stays = np.zeros(len(rows), bool)
+    if not len(rows):
+        return stays
+    text, item, begin, size = rows[order].T
+    edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
+        if b == a + 1:
+            stays[order[a]] = True
+            continue
+        stays[order[a + int(np.argmax(size[a:b]))]] = True
+        firsts = begin[a:b]
+        reach = np.maximum.accumulate(firsts + size[a:b])
+        best = np.flatnonzero(np.r_[True, reach[1:] > reach[:-1]])[np.cumsum(np.r_[True, reach[1:] > reach[:-1]]) - 1]  # up to each match, the one that reaches farthest
+        k = 0
+        while k < b - a:  # from the next word that is not covered on, the match that reaches farthest
+            last = int(np.searchsorted(firsts, firsts[k], "right")) - 1
+            while True:
+                stays[order[a + best[last]]] = True
+                end = reach[last]
+                more = int(np.searchsorted(firsts, end, "right")) - 1  # begin within the covered words, or right behind them
+                if reach[more] == end:
+                    break
+                last = more
+            k = int(np.searchsorted(firsts, end, "right"))
+    return stays
+
+
 def shard_matches(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], list[list[tuple]]]:
-    """For each text its number of words and its maximal matches (item, item word, text word, words)."""
+    """For each text its number of words and its matches (item, item word, text word, words)."""
     get = tests.vocabulary.get
     numbers, sizes = [], []
     for text in texts:
@@ -110,37 +218,24 @@ def shard_matches(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], l
         numbers += map(get, words, repeat(0))
         numbers.append(0)
     found: list[list[tuple]] = [[] for _ in texts]
-    x = np.array(numbers, ">u4")
-    ends = np.flatnonzero(x == 0)
-    left = np.zeros(len(x), np.int64)  # known words from each position on
-    if len(ends):
-        left = ends[np.searchsorted(ends, np.arange(len(x)))] - np.arange(len(x))
-    at = np.flatnonzero(left >= tests.shortest) if tests.items else ends[:0]
+    y, origin, left = known_runs(np.array(numbers, np.int64), tests) if tests.items else (np.zeros(0, np.int64),) * 3
+    at = np.flatnonzero(left >= tests.shortest)
     if not len(at):
         return sizes, found
-    runs = np.zeros(len(x), bool)
-    starts = at[np.r_[True, np.diff(at) > 1]]
-    for a in starts.tolist():
-        runs[a : a + left[a]] = True
-    place = np.flatnonzero(runs | np.r_[False, runs[:-1]])  # each run and the 0 behind it
-    new = np.zeros(len(x) + 1, np.int64)
-    new[place] = np.arange(len(place))
-    order = place[suffix_array(x[place].astype(np.int64), new[at], int(left.max()) + 1)]
-    raw, doc_end = x.tobytes(), np.cumsum(np.array(sizes) + 1)
-    low, high = found_windows(x, order, tests.windows)
-    for w in np.flatnonzero(low < high).tolist():
-        (n_item, i), places = tests.where[w].tolist(), order[low[w] : high[w]]
-        item, code, need = tests.items[n_item]
-        size = len(code) // 4
-        docs = np.searchsorted(doc_end, places, "right")
-        for p, doc in zip(places.tolist(), docs.tolist(), strict=True):
-            first = int(doc_end[doc - 1]) if doc else 0
-            if i and p > first and raw[4 * p - 4 : 4 * p] == code[4 * i - 4 : 4 * i]:
-                continue  # part of a match that began earlier
-            n, most = need, min(size - i, int(left[p]))
-            while n < most and raw[4 * (p + n) : 4 * (p + n) + 4] == code[4 * (i + n) : 4 * (i + n) + 4]:
-                n += 1
-            found[doc].append((item, i, p - first, n))
+    windows = tests.possible(y)
+    if not len(windows):
+        return sizes, found
+    order = suffix_array(y, at, int(left.max()) + 1)
+    low, high = found_windows(y, order, tests.windows[windows])
+    hit = low < high
+    rows = matches_of(tests, y, left, order, windows[hit], low[hit], high[hit])
+    doc_end = np.cumsum(np.array(sizes) + 1)
+    place = origin[rows[:, 2]]
+    text = np.searchsorted(doc_end, place, "right")
+    word = place - np.r_[0, doc_end][text]
+    stays = covering(np.column_stack([text, rows[:, 0], word, rows[:, 3]]))
+    for doc, item, i, w, n in np.column_stack([text, rows[:, :2], word, rows[:, 3]])[stays].tolist():
+        found[doc].append((tests.items[item][0], i, w, n))
     return sizes, found
 
 

@@ -3,12 +3,13 @@
 Every text gets exact word statistics.  A fixed base rule rejects texts of under ten words and texts
 of which more than a fifth lies in repeated five-word windows.  For what is left, KLL quantile
 sketches of each metric are built for each (lang, source) and merged upwards to each lang and to all
-texts.  A fence is the median plus ``reach`` times the spread below it (median less lower quartile),
-which stays clean while less than half of the texts are bad.  A group's fence is the tighter one of
-its own and its language's, so a source that is mostly bad is measured by the rest of its language;
-groups and languages of under ``min_rows`` texts have none of their own, and where neither has one
-the fence of all texts holds.  The fences are then joined back to the texts, and a text beyond a
-fence is rejected.
+texts.  From each sketch come a lower and an upper quantile; a group's are drawn towards its language's, and
+those towards all texts', as strongly as ``min_rows`` texts would.  The fence is the lower quantile plus
+``1 + reach`` times the gap to the upper one, so a source whose texts are all of one make has a fence of its
+own, however unusual.  Bad texts lift the upper quantile and not the lower one: the gap counts up to ``most_gap``
+times that of the language's tighter groups (the lower quartile of their gaps), so that a source does not lift its own
+fence while a quarter of its texts are good, and the sources of a language do not while a quarter of them are mostly good; and at least as a least spread, where most texts have one and the same value.  The fences are
+then joined back to the texts, and a text beyond a fence is rejected.
 
 Defined cases: a null text has no words and so fails the base rule; null lang or source form groups
 of their own; repeated rows are judged one by one and all count; an empty table gives no rows; other
@@ -43,11 +44,14 @@ class Metric:
 
 METRICS = (
     Metric("symbol_ratio", "n_symbols", "word_chars", 0.01),
-    Metric("mean_word_chars", "word_chars", "n_words", 0.75),
+    Metric("mean_word_chars", "word_chars", "n_words", 0.4),
     Metric("dup_line_ratio", "n_dup_lines", "n_lines", 0.1),
-    Metric("repeat_ratio", "n_repeat_words", "n_words", 0.03),
+    Metric("repeat_ratio", "n_repeat_words", "n_words", 0.05),
 )
 
+#: The quantiles that make up a fence.
+LOWER, UPPER = 0.25, 0.9
+
 
 def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     """The statistics of STATS for each text of a string column."""
@@ -117,7 +121,7 @@ def with_stats(docs: DataFrame, text_col: str, carried: list[str]) -> DataFrame:
     )
 
 
-def fences(stats: DataFrame, min_rows: int = 200, reach: float = 6.0, sketch_k: int = 400) -> DataFrame:
+def fences(stats: DataFrame, min_rows: int = 200, reach: float = 2.5, most_gap: float = 2.0, sketch_k: int = 400) -> DataFrame:
     """lang_key, source_key and the fence of each metric, from mergeable sketches of the rows that pass the base rule."""
     sound = stats.where(~F.col("base_failed"))
     sketches = sound.groupBy("lang_key", "source_key").agg(
@@ -134,15 +138,27 @@ def fences(stats: DataFrame, min_rows: int = 200, reach: float = 6.0, sketch_k:
         sketches.withColumn("all_key", F.lit(0)).join(merged(["lang_key"], "lang"), "lang_key").join(merged([], "all"), "all_key")
     )
 
-    def fence(m: Metric) -> F.Column:
-        def own(sketch: str) -> F.Column:
-            q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5)))
-            return q[1] + F.lit(reach) * F.greatest(q[1] - q[0], F.lit(m.least_spread))
+    def low_and_gap(sketch: str) -> F.Column:
+        q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(LOWER), F.lit(UPPER)))
+        return F.array(q[0], q[1] - q[0])
+
+    def drawn(own: F.Column, n: str, parent: F.Column) -> F.Column:
+        return F.zip_with(own, parent, lambda x, y: (x * F.col(n) + y * min_rows) / (F.col(n) + min_rows))
 
-        enough = F.least(*(F.when(F.col(n) >= min_rows, own(sketch)) for n, sketch in (("n", m.name), ("n_lang", f"{m.name}_lang"))))
-        return F.coalesce(enough, own(f"{m.name}_all")).alias(f"{m.name}_fence")
+    own = {m.name: low_and_gap(m.name) for m in METRICS}
+    parent = {m.name: drawn(low_and_gap(f"{m.name}_lang"), "n_lang", low_and_gap(f"{m.name}_all")) for m in METRICS}
+    ranges = groups.select(
+        "lang_key", "source_key", "n", *(own[m.name][1].alias(f"{m.name}_gap") for m in METRICS), *(drawn(own[m.name], "n", parent[m.name]).alias(m.name) for m in METRICS),
+        *(parent[m.name][1].alias(f"{m.name}_parent") for m in METRICS),
+    )
+    # The tight gap is one of groups, not of texts: large and dirty sources have one voice each.
+    tight = ranges.where(F.col("n") >= min_rows).groupBy("lang_key").agg(*(F.percentile_approx(f"{m.name}_gap", 0.25, 1000).alias(f"{m.name}_tight") for m in METRICS))
+
+    def fence(m: Metric) -> F.Column:
+        most = F.lit(most_gap) * F.greatest(F.coalesce(f"{m.name}_tight", f"{m.name}_parent"), F.lit(m.least_spread))
+        return (F.col(m.name)[0] + F.lit(1 + reach) * F.greatest(F.least(F.col(m.name)[1], most), F.lit(m.least_spread))).alias(f"{m.name}_fence")
 
-    return groups.select("lang_key", "source_key", *(fence(m) for m in METRICS))
+    return ranges.join(tight, "lang_key", "left").select("lang_key", "source_key", *(fence(m) for m in METRICS))
 
 
 def with_verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
@@ -153,14 +169,14 @@ def with_verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
     return stats.join(limits, ["lang_key", "source_key"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_rows: int = 200, reach: float = 6.0) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_rows: int = 200, reach: float = 2.5) -> DataFrame:
     """id, lang, source, the statistics, base_failed, each ratio with its fence, and kept."""
     stats = materialize(with_stats(docs, text_col, [id_col]), "quality-stats")
     limits = materialize(fences(stats, min_rows, reach), "quality-fences")
     return with_verdict(stats, limits).select(f"__row.{id_col}", "*").drop("__row", "lang_key", "source_key")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", min_rows: int = 200, reach: float = 6.0) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", min_rows: int = 200, reach: float = 2.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; one pass for the sketches, one to judge."""
     limits = materialize(fences(with_stats(docs, text_col, [text_col]).drop("__row"), min_rows, reach), "quality-fences")
     return with_verdict(with_stats(docs, text_col, docs.columns), limits).where("kept").select("__row.*")

@@ -23,14 +23,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Domain rules as (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Host names whose pages make up the list of URLs that op3 filters by.
+#: Host names whose pages the list of URLs that op3 filters by is drawn from: those whose canonical URL has an MD5 of 0 to 7,
+#: about half, so that a page's host does not tell whether it is listed.
 LISTED_HOSTS = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filters.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\."))
-    return url_filters.filter_urls(pages, listed.select(url_filters.canonical_of(F.col("url")).alias("canonical_url")), URL_RULES).drop("possible_hit")
+    hosts = pages.where(url_filters.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\."))
+    listed = hosts.select(url_filters.canonical_of(F.col("url")).alias("canonical_url")).where(F.md5("canonical_url") < "8")
+    return url_filters.filter_urls(pages, listed, URL_RULES).drop("possible_hit")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ WITH u AS (
 c AS (
   SELECT page_id, host, path, regexp_replace(host, '^(www|m)[.]', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical_url FROM u),
-listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|[.])(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)[.]')),
+listed AS (SELECT DISTINCT canonical_url FROM c WHERE regexp_matches(host, '(^|[.])(ads-track|free-bets|cheap-pills|spam-farm|casino-win|adult-x)[.]') AND md5(canonical_url) < '8'),
 rules(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 fit AS (
   SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict

@@ -4,7 +4,7 @@ Everything here is DataFrame expressions.  Each listed canonical URL sets one bi
 64-bit words of its block; a block is one row of the filter.  The filter has at most ``MAX_BLOCKS``
 rows of eight longs, which bounds what is broadcast however long the list is: a longer list lets more
 false positives through, and the exact hash join that follows removes them all.  Only possible hits go
-through that join.  Both its sides are plain shuffles, so adaptive execution splits a hot URL.
+through that join; a page's URL is parsed once, and what is kept of it written.  Both sides of the join are plain shuffles, so adaptive execution splits a hot URL.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 never listed; repeated rows and list entries are allowed; an empty list blocks nothing; an empty table
@@ -81,12 +81,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     url = F.col(url_col).cast("string")
     parsed = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), canonical_of(url).alias("canonical_url"))
     ruled = parsed.withColumn("__fits", matching_rule(F.col("host"), F.col("path"), rules))
-    probed = probe(ruled.where("__fits is null"), build_filter(exact, "canonical_url", blocks), "canonical_url", blocks)
+    probed = probe(ruled, build_filter(exact, "canonical_url", blocks), "canonical_url", blocks).withColumn("possible_hit", F.col("possible_hit") & F.col("__fits").isNull())
+    probed = materialize(probed, "probed-urls")  # URLs are read and parsed once
     possible = probed.where("possible_hit").join(exact.withColumn("__listed", F.lit(True)), "canonical_url", "left")
-    rule, none = F.col("__fits.rule").alias("rule"), F.lit(None).cast("string").alias("rule")
-    tail = ["canonical_url", "possible_hit"]
-    return (
-        ruled.where("__fits is not null").select(id_col, "host", "path", rule, F.col("__fits.verdict").alias("verdict"), "canonical_url", F.lit(False).alias("possible_hit"))
-        .union(possible.select(id_col, "host", "path", none, F.when(F.col("__listed"), "block").otherwise("allow").alias("verdict"), *tail))
-        .union(probed.where(~F.col("possible_hit")).select(id_col, "host", "path", none, F.lit("allow").alias("verdict"), *tail))
-    )
+    rest = probed.where(~F.col("possible_hit")).withColumn("__listed", F.lit(None).cast("boolean"))
+    verdict = F.when(F.col("__fits").isNotNull(), F.col("__fits.verdict")).when(F.col("__listed"), "block").otherwise("allow")
+    return possible.unionByName(rest).select(id_col, "host", "path", F.col("__fits.rule").alias("rule"), verdict.alias("verdict"), "canonical_url", "possible_hit")
