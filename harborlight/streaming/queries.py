@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import news, upsert
+from ..operators import sequential, upsert
 
 DAY_START = "16 hours"  # a Shanghai day begins at 16:00 UTC
 
@@ -56,26 +57,30 @@ def edge_alerts(quotes: DataFrame, threshold: float, quiet_seconds: int = 0) ->
 
 
 def near_title_sink(history_path: str, out_path: str, minutes: int = 60):
-    """A foreachBatch sink: appends a batch's headlines that are no near-duplicates of earlier ones.
+    """A foreachBatch sink: appends a batch's headlines (news_id, title, effective_at, url if there is one) that the near-duplicate gate keeps.
 
-    A batch is held against the stored headlines within ``minutes`` of it, and its later items against
-    its earlier ones.  A repeated batch id writes the same folder again.
+    A batch is held against the headlines kept before within ``minutes`` of it, of which only those hours are read,
+    and its later items against its earlier ones that were kept.  A repeated batch id reads only what the batches
+    before it kept, and writes the same folder again.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        span = batch.agg(F.min("effective_at").alias("a"), F.max("effective_at").alias("b")).first()
-        rows = batch
-        if span["a"] is not None:
+        spark, hour = batch.sparkSession, F.floor(F.unix_micros(F.col("effective_at").cast("timestamp")) / 3.6e9)
+        span = batch.agg(F.min(hour).alias("a"), F.max(hour).alias("b")).first()
+        url = F.col("url") if "url" in batch.columns else F.lit("http://any")
+        sided = lambda df: df.select(F.col("news_id").alias("id"), "title", url.alias("url"), F.col("effective_at").alias("at"))
+        stored = None
+        if batch_id and span["a"] is not None:
+            reach = -(-minutes // 60)
             try:
-                stored = spark.read.schema(batch.schema).parquet(history_path).where(F.col("effective_at").between(F.lit(span["a"]) - F.expr(f"interval {minutes} minutes"), F.lit(span["b"]) + F.expr(f"interval {minutes} minutes")))
-                rows = stored.select(batch.columns).unionByName(batch)
+                past = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType()), T.StructField("hour", T.LongType())])).option("basePath", history_path).parquet(history_path)
+                stored = sided(past.where((F.col("batch") < batch_id) & F.col("hour").between(span["a"] - reach, span["b"] + reach)))
             except Exception as error:  # no history yet
                 if "PATH_NOT_FOUND" not in str(error):
                     raise
-        repeats = news.near_titles(rows, minutes).where("duplicate").select(F.col("b").alias("news_id")).distinct()
-        kept = batch.join(repeats, "news_id", "left_anti").select(batch.columns)
-        kept.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        kept = sequential.duplicate_gate(sided(batch), stored, minutes).where("kept").select(F.col("id").alias("news_id"))
+        rows = batch.join(kept, "news_id", "left_semi").select(batch.columns)
+        rows.withColumn("hour", hour).write.mode("overwrite").partitionBy("hour").parquet(f"{out_path}/batch={batch_id}")
 
     return sink
 
