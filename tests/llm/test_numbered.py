@@ -607,13 +607,13 @@ def test_best_chains_against_quadratic():
         for i in order:
             for j in order:
                 if x[j] < x[i] and y[j] < y[i]:
-                    best[i] = max(best[i], best[j] + substring_dedup.K - 0.1 * (x[i] - x[j] + y[i] - y[j]))
+                    best[i] = max(best[i], best[j] + substring_dedup.K - 0.05 * (x[i] - x[j] + y[i] - y[j]))
         chains = substring_dedup.best_chains(x, y)
         for c in chains:
             assert all(x[p] < x[q] and y[p] < y[q] for p, q in zip(c, c[1:], strict=False))
         if max(best) > substring_dedup.K:
             c = chains[0]
-            score = substring_dedup.K + sum(substring_dedup.K - 0.1 * (x[q] - x[p] + y[q] - y[p]) for p, q in zip(c, c[1:], strict=False))
+            score = substring_dedup.K + sum(substring_dedup.K - 0.05 * (x[q] - x[p] + y[q] - y[p]) for p, q in zip(c, c[1:], strict=False))
             assert score == pytest.approx(max(best))
 
 
