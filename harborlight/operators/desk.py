@@ -137,21 +137,25 @@ def rating(positives: Column, negatives: Column, total: Column, change: Column)
 def stratified(rows: DataFrame, strata: list[str], order: list[Column], limit: int) -> DataFrame:
     """A round-robin sample over the strata; the limit is the sample's size."""
     rn = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
-    return rows.withColumn("rn", rn).orderBy("rn", *strata).limit(limit)
+    # No stratum gives more rows than the sample has: each task sorts its own heads before the shuffle.
+    return rows.withColumn("rn", rn).where(F.col("rn") <= limit).orderBy("rn", *strata).limit(limit)
+
+
+def search_score(rows: DataFrame, query: str) -> Column:
+    """How well a security (symbol, name, pinyin) matches: nine tiers of equal, prefix and inside; null if not at all. Digits match codes alone."""
+    q, s, n, p = query.strip().lower(), F.lower("symbol"), F.lower(F.coalesce("name", F.lit(""))), F.lower(F.coalesce("pinyin", F.lit("")))
+    digits, words = F.substring_index(s, ".", 1), F.lit(not q.isdigit())
+    tiers = [
+        ((digits == q) | (s == q), 100), (words & (n == q), 95), (words & (p == q), 90), (digits.startswith(q) | s.startswith(q), 85), (words & n.startswith(q), 80), (words & p.startswith(q), 75),
+        (F.contains(digits, F.lit(q)) | F.contains(s, F.lit(q)), 65), (words & F.contains(n, F.lit(q)), 60), (words & F.contains(p, F.lit(q)), 55),
+    ]
+    score = F.lit(None).cast("int")
+    for match, tier in reversed(tiers):
+        score = F.when(match, tier).otherwise(score)
+    return score if q else F.lit(None).cast("int")
 
 
 def search_tiers(rows: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """Securities (symbol, name) by how well they match: exact, prefix, inside."""
-    q, s, n = query.strip().lower(), F.lower("symbol"), F.lower("name")
-    digits = F.substring_index(s, ".", 1)
-    words = not q.isdigit()
-    score = F.when((digits == q) | (s == q), 100)
-    if words:
-        score = score.when(n == q, 95)
-    score = score.when(digits.startswith(q) | s.startswith(q), 85)
-    if words:
-        score = score.when(n.startswith(q), 80)
-    score = score.when(F.contains(s, F.lit(q)), 65)
-    if words:
-        score = score.when(F.contains(n, F.lit(q)), 60)
-    return rows.withColumn("score", score).where("score is not null").orderBy(F.col("score").desc(), "symbol").limit(limit)
+    """The ``limit`` securities (symbol, name, and pinyin if there is one) that match best; of equal ones by symbol."""
+    rows = rows if "pinyin" in rows.columns else rows.withColumn("pinyin", F.lit(""))
+    return rows.withColumn("score", search_score(rows, query)).where("score is not null").orderBy(F.col("score").desc(), "symbol").limit(limit)

@@ -85,3 +85,19 @@ def persist_run(run: DataFrame, items: DataFrame, stages: DataFrame, path: str)
     """A run, its items and its stages, three tables keyed by run_id; the run last, so that a run that is there is whole."""
     for name, rows in (("items", items), ("stages", stages), ("runs", run)):
         append_rows(rows, f"{path}/{name}", "run_id")
+
+
+def positions(rows: DataFrame, by: str, time: str, key: str) -> DataFrame:
+    """Adds pos: the place of a row within ``by``, latest ``time`` first and nulls last, then by falling ``key``.
+
+    Places are counted within a day; the rows of the days after it are a prefix sum over one row for each day, so that
+    no task has more than a day of one ``by``.
+    """
+    day = F.to_date(time)
+    w = Window.partitionBy(by, "__day").orderBy(F.desc_nulls_last(time), F.desc(key))
+    later = Window.partitionBy(by).orderBy(F.desc_nulls_last("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(by, day.alias("__day")).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(later), F.lit(0))).drop("__n")
+    days = days.withColumnsRenamed({by: "__by", "__day": "__of"})
+    placed = rows.withColumn("__day", day).withColumn("__pos", F.row_number().over(w))
+    joined = placed.join(days, placed[by].eqNullSafe(days["__by"]) & placed["__day"].eqNullSafe(days["__of"]))
+    return joined.withColumn("pos", (F.col("__before") + F.col("__pos")).cast("int")).drop("__day", "__pos", "__before", "__by", "__of")

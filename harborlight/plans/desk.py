@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -316,13 +318,20 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.stratified(news, ["market", "sentiment_label"], [F.length("summary").desc(), F.col("news_id")], 40).select("news_id", "market", "sentiment_label")
 
 
-@query("""WITH s AS (SELECT 'C' || p_partkey || '.SZ' AS symbol, p_name AS name FROM part), k AS (SELECT symbol, CASE WHEN split_part(lower(symbol), '.', 1) = 'c1' OR lower(symbol) = 'c1' THEN 100 WHEN lower(name) = 'c1' THEN 95 WHEN starts_with(lower(symbol), 'c1') THEN 85
-  WHEN starts_with(lower(name), 'c1') THEN 80 WHEN contains(lower(symbol), 'c1') THEN 65 WHEN contains(lower(name), 'c1') THEN 60 END AS score FROM s)
-SELECT symbol, CAST(score AS INT) AS score FROM k WHERE score IS NOT NULL ORDER BY score DESC, symbol LIMIT 30""")
+_SEARCHES = ("c1", "c1.sz", "red widget", "hg11", "red", "h", "7", "dget", "g1", "12")
+
+
+@query(f"""WITH s AS (SELECT 'C' || p_partkey || '.SZ' AS symbol, p_name AS name, left(p_name, 1) || left(split_part(p_name, ' ', 2), 1) || p_partkey % 50 AS pinyin FROM part), q AS (SELECT unnest({list(_SEARCHES)}) AS q),
+k AS (SELECT q, symbol, CASE WHEN split_part(lower(symbol), '.', 1) = q OR lower(symbol) = q THEN 100 WHEN NOT num AND lower(name) = q THEN 95 WHEN NOT num AND pinyin = q THEN 90 WHEN starts_with(lower(symbol), q) THEN 85
+  WHEN NOT num AND starts_with(lower(name), q) THEN 80 WHEN NOT num AND starts_with(pinyin, q) THEN 75 WHEN contains(lower(symbol), q) THEN 65 WHEN NOT num AND contains(lower(name), q) THEN 60 WHEN NOT num AND contains(pinyin, q) THEN 55 END AS score
+  FROM s, (SELECT q, regexp_full_match(q, '[0-9]+') AS num FROM q))
+SELECT q AS query, symbol, CAST(score AS INT) AS score FROM k WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, symbol) <= 30""")
 def security_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiered security search (TOP14, TOP15); the limit is the list's length."""
-    rows = t.read(spark, sf_dir, "part").select(F.concat(F.lit("C"), "p_partkey", F.lit(".SZ")).alias("symbol"), F.col("p_name").alias("name"))
-    return desk.search_tiers(rows, "c1").select("symbol", "score")
+    """Securities found in nine tiers by code, name and pinyin, for several searches (TOP14, TOP15); the limit is the list's length."""
+    part, word = t.read(spark, sf_dir, "part"), lambda i: F.substring(F.split_part("p_name", F.lit(" "), F.lit(i)), 1, 1)
+    rows = part.select(F.concat(F.lit("C"), "p_partkey", F.lit(".SZ")).alias("symbol"), F.col("p_name").alias("name"), F.concat(word(1), word(2), F.col("p_partkey") % 50).alias("pinyin"))
+    found = [desk.search_tiers(rows, q).select(F.lit(q).alias("query"), "symbol", "score") for q in _SEARCHES]
+    return reduce(DataFrame.union, found)
 
 
 @query(f"""WITH n AS ({t.NEWS_SQL}), m AS (SELECT DISTINCT news_id, symbol FROM ({t.MENTIONS_SQL})), c AS (SELECT symbol, count(*) FILTER (sentiment_label = 'positive') AS p, count(*) FILTER (sentiment_label = 'negative') AS g, count(*) AS k FROM n JOIN m USING (news_id) GROUP BY 1)

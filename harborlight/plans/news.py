@@ -225,7 +225,14 @@ def title_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.news(spark, sf_dir).select("news_id", F.size(title_tokens(F.col("title"))).alias("n_tokens"), simhash64(F.col("title")).alias("simhash"))
 
 
-@query()
+_NUMBERS = "list_sort(list_distinct(list_transform(regexp_extract_all(title, '[0-9]+(?:[.,][0-9]+)*'), lambda x: replace(x, ',', ''))))"
+
+
+@query(f"""WITH {_N}, k AS (SELECT news_id, effective_at, {_TOK} AS tokens, {_NUMBERS} AS numbers FROM n),
+b AS (SELECT news_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN 1 ELSE -1 END) AS w FROM (SELECT news_id, unnest({_HASH.format('tokens')}) AS h FROM k WHERE len(tokens) >= 4), (SELECT range::UBIGINT AS bit FROM range(64)) GROUP BY 1, 2),
+s AS (SELECT k.*, u FROM k JOIN (SELECT news_id, bit_or(CASE WHEN w > 0 THEN (1::UBIGINT << bit) ELSE 0::UBIGINT END) AS u FROM b GROUP BY 1) USING (news_id))
+SELECT a.news_id AS a, b.news_id AS b, CAST(bit_count(xor(a.u, b.u)) AS INT) AS distance, a.numbers <> b.numbers AS contradict, bit_count(xor(a.u, b.u)) <= 3 AS duplicate
+FROM s a JOIN s b ON a.news_id < b.news_id AND abs(epoch(a.effective_at - b.effective_at)) <= 3600 WHERE bit_count(xor(a.u, b.u)) <= 6""")
 def near_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate headlines within an hour (SET07, JN20, SC03, SC05, SC06, STR11)."""
     return ops.near_titles(t.news(spark, sf_dir))
@@ -287,7 +294,7 @@ _ZH_WEIGHTS = {**sentiment.POSITIVE_ZH, **sentiment.NEGATIVE_ZH}
 _ZH_PROBES = ("业绩 大涨", "利空 下跌 风险", "人工智能 芯片 growth", "新能源 供应链 承压", "weak demand 利好", "oil shipment 半导体", "plain", "上涨 上涨")
 
 
-@query(f"""WITH {_N}, x AS (SELECT news_id, lower(substr(title, 1, 60) || ' ' || {list(_ZH_PROBES)}[news_id % {len(_ZH_PROBES)} + 1]) AS txt FROM n),
+@query(f"""WITH {_N}, x AS (SELECT news_id, lower(title || ' ' || summary || ' ' || {list(_ZH_PROBES)}[news_id % {len(_ZH_PROBES)} + 1]) AS txt FROM n),
 w AS (SELECT news_id, list_filter(regexp_extract_all(txt, '[a-z0-9]+'), lambda x: NOT list_contains({sentiment.STOP_WORDS}, x)) AS ws, list_filter({_ZH}, lambda x: contains(txt, x)) AS zh FROM x),
 s AS (SELECT news_id, (coalesce(list_sum(list_transform(ws, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {round(v * 100)}" for k, v in _LEX.items())} ELSE 0 END)), 0)
   + coalesce(list_sum(list_transform(zh, lambda x: CASE x {' '.join(f"WHEN '{k}' THEN {round(v * 100)}" for k, v in _ZH_WEIGHTS.items())} ELSE 0 END)), 0)) / 100.0 AS raw,
@@ -297,9 +304,9 @@ th AS (SELECT *, ks[2:6] AS rest, list_filter(ks[2:6], lambda x: list_contains({
 SELECT news_id, CASE WHEN raw >= 0.2 THEN 'positive' WHEN raw <= -0.2 THEN 'negative' ELSE 'neutral' END AS label, {r('greatest(-1.0, least(1.0, raw))', 4)} AS score, array_to_string(ks, ',') AS keywords,
   CASE WHEN len(ks) = 0 THEN 'general-market-update' ELSE array_to_string(ks[1:1] || CASE WHEN len(themes) > 0 THEN themes ELSE rest[1:2] END, ' ') END AS topic_key FROM th""")
 def lexicon_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentiment, keywords and topic keys of titles with Chinese terms (CLS01 to CLS05)."""
+    """Sentiment, keywords and topic keys of whole texts with Chinese terms (CLS01 to CLS05)."""
     probe = F.element_at(F.array(*map(F.lit, _ZH_PROBES)), (F.col("news_id") % len(_ZH_PROBES) + 1).cast("int"))
-    rows = t.news(spark, sf_dir).select("news_id", F.concat_ws(" ", F.substring("title", 1, 60), probe).alias("x"))
+    rows = t.news(spark, sf_dir).select("news_id", F.concat_ws(" ", "title", "summary", probe).alias("x"))
     return sentiment.classify(rows, F.col("x")).select("news_id", "label", "score", F.array_join("keywords", ",").alias("keywords"), "topic_key")
 
 

@@ -19,7 +19,7 @@ _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 g AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d))
 SELECT DISTINCT doc_id, name_id FROM g JOIN k ON gram = array_to_string(nw, ' ') AND len(nw) = 2""")
 def dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of a dictionary found in texts (JN21, JN22, JN23, SRC38, SRC39)."""
+    """Two-word names of a dictionary found as whole words in texts (SRC38, SRC39); `security_mentions` finds substrings."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), 1)
     docs = t.read(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
     names = t.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.slice(words, 1, 2).alias("words"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runs
@@ -26,8 +26,7 @@ def late_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News without a signal, by source in the order in which they are taken (SRC43)."""
     n = t.news(spark, sf_dir).withColumn("signal_status", F.when(F.col("news_id") % 3 != 0, "done"))
-    w = Window.partitionBy("source_name").orderBy(F.desc_nulls_last("published_at"), F.desc("news_id"))
-    return n.where("signal_status IS NULL").select("news_id", F.row_number().over(w).alias("pos"))
+    return runs.positions(n.where("signal_status IS NULL").select("news_id", "source_name", "published_at"), "source_name", "published_at", "news_id").select("news_id", "pos")
 
 
 @query(f"""WITH b AS ({t.BARS_SQL}), k AS (SELECT *, row_number() OVER w AS pos, lead(close) OVER w AS previous_close FROM b WINDOW w AS (PARTITION BY symbol ORDER BY trade_date DESC))
