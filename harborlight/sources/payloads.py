@@ -177,17 +177,49 @@ def absolute_url(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(href, base, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def decode_page(content: pd.Series, content_type: pd.Series) -> pd.Series:
-    """Page bytes as text: the charset of the header, else of the page's start, else UTF-8, with bad bytes replaced."""
+#: Charsets without a mark of their own that bytes are tried as, and the code points that are frequent in text of each.
+_GUESSES = {"gb18030": (0x4E00, 0x9FA5), "big5": (0x4E00, 0x9FA5), "shift_jis": (0x3040, 0x30FF), "euc_kr": (0xAC00, 0xD7A3)}
+_COMMON = frozenset("的一是不了人在有中国大上个到年和会为公司市场股份业发增长元日月报告投资のにをはがたでとしれさ이의에는을가다한")
+
 
-    def one(raw: bytes | None, header: str | None) -> str | None:
-        if raw is None:
-            return None
-        found = re.search(r"charset=[\"']?([\w-]+)", header or "") or re.search(r"charset=[\"']?([\w-]+)", raw[:2048].decode("ascii", "replace"))
+def _valid_as(raw: bytes) -> str | None:
+    """The charset that bytes are valid as and read most like text in: by the share of frequent characters, then of its own script."""
+    best = (0.0, 0.0, None)
+    for charset, (low, high) in _GUESSES.items():
         try:
-            return raw.decode(found.group(1) if found else "utf-8", "replace")
+            text = raw.decode(charset)
+        except UnicodeDecodeError:
+            continue
+        wide = [c for c in text if c > "\x7f"]
+        if wide:
+            score = (sum(c in _COMMON for c in wide) / len(wide), sum(low <= ord(c) <= high for c in wide) / len(wide), charset)
+            best = max(best, score, key=lambda s: s[:2])
+    return best[2]
+
+
+def decoded(raw: bytes | None, header: str | None) -> str | None:
+    """Bytes as text: strictly by the header's charset, that of the page's start, UTF-8, and what they are valid as; else with bad bytes replaced."""
+    if raw is None:
+        return None
+    raw = bytes(raw)
+    sources = (header or "", raw[:4096].decode("ascii", "replace"))
+    named = [m.group(1) for m in (re.search(r"""charset\s*=\s*["']?([\w-]+)""", s, re.I) for s in sources) if m]
+    named = ["gb18030" if c.lower() in ("gb2312", "gbk") else c for c in named]
+    for charset in dict.fromkeys([*named, "utf-8"]):
+        try:
+            return raw.decode(charset)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    for charset in [_valid_as(raw), *named, "utf-8"]:
+        try:
+            if charset:
+                return raw.decode(charset, "replace")
         except LookupError:
-            return raw.decode("utf-8", "replace")
+            continue
+    return raw.decode("utf-8", "replace")
+
 
-    return pd.Series([one(a, b) for a, b in zip(content, content_type, strict=True)])
+@F.pandas_udf(T.StringType())
+def decode_page(content: pd.Series, content_type: pd.Series) -> pd.Series:
+    """Page bytes as text, see ``decoded``."""
+    return pd.Series([decoded(a, b) for a, b in zip(content, content_type, strict=True)], dtype=object)

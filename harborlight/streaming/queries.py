@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,6 +56,76 @@ def edge_alerts(quotes: DataFrame, threshold: float, quiet_seconds: int = 0) ->
     return quotes.select("symbol", "id", "price", "at").groupBy("symbol").applyInPandasWithState(step, "symbol string, id long, price double, at long", "over boolean, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def due_sources(results: DataFrame, most_backoff: int = 8, empty_threshold: int = 3, late: str = "0 seconds") -> DataFrame:
+    """When each source is due again: a row (kind next) for each result, and one (kind due) when that time has come.
+
+    ``results`` has source, cadence_seconds, status (success, empty, or anything else for a failure) and at.  A source is due
+    after its cadence; after k failures in a row after 2^k times that, at most ``most_backoff`` times; and from ``empty_threshold``
+    empty results in a row on after twice, four times that and so on.  The clock is the watermark: a timer for each source fires
+    when it has passed the due time, once, also after a restart.  State is four numbers a source.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, empties, due, last = state.get if state.exists else (0, 0, 0, -1)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], "due", due, failures, empties))
+            state.update((failures, empties, 0, last))
+        else:
+            for row in pd.concat(list(frames)).sort_values(["at", "status"]).itertuples(index=False):
+                at = int(row.at.timestamp())
+                if at < last:
+                    continue  # a result from before the last one tells nothing new
+                failures, empties, last = (0, 0, at) if row.status == "success" else (0, empties + 1, at) if row.status == "empty" else (failures + 1, 0, at)
+                power = failures or max(0, empties - empty_threshold + 1)
+                due = at + int(row.cadence_seconds) * min(2 ** min(power, 30), most_backoff)
+                out.append((key[0], "next", due, failures, empties))
+            state.update((failures, empties, due, last))
+            if due:
+                state.setTimeoutTimestamp(max(due * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["source", "kind", "due_at", "failures", "empties"])
+
+    rows = results.select("source", "cadence_seconds", "status", "at").withWatermark("at", late)
+    kept = "failures long, empties long, due long, last long"
+    return rows.groupBy("source").applyInPandasWithState(step, "source string, kind string, due_at long, failures long, empties long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def queue_drain_sink(path: str, cap: int, pending: Callable[[SparkSession], DataFrame] | None = None, scan_seconds: int = 60):
+    """A foreachBatch sink that takes at most ``cap`` queued ids (id, at) for each batch, in the order in which they came.
+
+    What is over stays queued before later ids; an id that is queued already is not queued again.  Rows without an id
+    only move the clock.  When nothing is queued and ``scan_seconds`` have passed since the last scan, ``pending`` gives
+    ids that wait elsewhere, and the first ``cap`` of them by id are taken.  ``path`` has, for each batch, what was taken
+    (claimed: id, from_scan), what stays queued, and the time of the next scan; a repeated batch starts from the batch
+    before it and writes the same again.
+    """
+    queue_schema, scan_schema = "id long, at timestamp, came long", "next_scan long"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def version(name: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{path}/{name}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+
+        before = version("queue", queue_schema)
+        fresh = batch.where("id is not null").groupBy("id").agg(F.min("at").alias("at")).join(before.select("id"), "id", "left_anti")
+        queue = before.unionByName(fresh.withColumn("came", F.lit(batch_id).cast("long")))
+        clock = batch.agg(F.unix_timestamp(F.max("at")).alias("now")).first()["now"]
+        row = version("scan", scan_schema).first()
+        next_scan = row["next_scan"] if row else 0
+        head = queue.orderBy("came", "at", "id").limit(cap).select("id", F.lit(False).alias("from_scan"))
+        if pending is not None and clock is not None and clock >= next_scan and queue.isEmpty():
+            head = pending(spark).select(F.col("id").cast("long")).distinct().orderBy("id").limit(cap).select("id", F.lit(True).alias("from_scan"))
+            next_scan = clock + scan_seconds
+        claimed = f"{path}/claimed/batch={batch_id}"
+        head.coalesce(1).write.mode("overwrite").parquet(claimed)
+        taken = spark.read.schema("id long, from_scan boolean").parquet(claimed).select("id")
+        queue.join(taken, "id", "left_anti").select("id", "at", "came").write.mode("overwrite").parquet(f"{path}/queue/batch={batch_id}")
+        spark.createDataFrame([(next_scan,)], scan_schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/scan/batch={batch_id}")
+
+    return sink
+
+
 def near_title_sink(history_path: str, out_path: str, minutes: int = 60):
     """A foreachBatch sink: appends a batch's headlines (news_id, title, effective_at, url if there is one) that the near-duplicate gate keeps.
 
