@@ -1,4 +1,4 @@
 """All queries over the supplied tables, each with SQL that gives the same rows."""
 
-from . import desk, details, ingest, lookup, market, markup, news, ordered, records, roundup, runs  # noqa: F401
+from . import desk, details, ingest, market, lookup, markup, news, ordered, records, roundup, runs, landed  # noqa: F401
 from .common import ORACLE_SQL, QUERIES  # noqa: F401

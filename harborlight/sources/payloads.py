@@ -5,7 +5,7 @@ import re
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,3 +223,27 @@ def decoded(raw: bytes | None, header: str | None) -> str | None:
 def decode_page(content: pd.Series, content_type: pd.Series) -> pd.Series:
     """Page bytes as text, see ``decoded``."""
     return pd.Series([decoded(a, b) for a, b in zip(content, content_type, strict=True)], dtype=object)
+
+
+def detail_page(content: Column, fallback_title: Column) -> Column:
+    """struct<title, published_at, content_text> of a detail page whose data is pushed in escaped scripts.
+
+    The body is the pushed block, else the block of limited width; without a title the fallback holds, without day or body they are null.
+    """
+    plain = content
+    for escaped, mark in (("\\u003c", "<"), ("\\u003e", ">"), ("\\u0026", "&"), ('\\"', '"'), ("\\/", "/")):
+        plain = F.replace(plain, F.lit(escaped), F.lit(mark))
+    head = r'ArticleTitle","props":\{"date":"(\d{4}-\d{2}-\d{2})","title":"([^"]+)"\}'
+    day, title = (F.nullif(F.regexp_extract(plain, head, i), F.lit("")) for i in (1, 2))
+    pushed = F.regexp_extract(plain, r'self\.__next_f\.push\(\[1,"(<div style="margin: 0; padding: 40px 20px;[\s\S]*?)"\]\)</script>', 1)
+    wide = F.regexp_extract(plain, r"(<div[^>]*max-width:\s*768px;[^>]*>[\s\S]*?</div>)", 1)
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.when(pushed != "", pushed).otherwise(wide), r"<[^>]*>", " "), r"\s+", " "))
+    return F.struct(F.coalesce(title, fallback_title).alias("title"), F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).alias("published_at"), F.nullif(body, F.lit("")).alias("content_text"))
+
+
+def read_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """handle, display_name, tier and priority of the accounts in JSON files, each an object with an array ``accounts``; entries without a handle are left out."""
+    schema = "accounts array<struct<handle:string,display_name:string,tier:string,priority:int>>"
+    a = spark.read.schema(schema).json(path).select(F.inline("accounts"))
+    handle = F.lower(F.regexp_replace(F.trim("handle"), "^@", ""))
+    return a.where(F.coalesce(handle, F.lit("")) != "").select(handle.alias("handle"), "display_name", F.coalesce("tier", F.lit("normal")).alias("tier"), F.coalesce("priority", F.lit(50)).alias("priority"))
