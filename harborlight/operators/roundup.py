@@ -28,12 +28,14 @@ def dictionary_hits(docs: DataFrame, names: DataFrame, most_words: int = 4) -> D
 def match_topics(items: DataFrame, topics: DataFrame) -> DataFrame:
     """The lowest topic of each item that shares at least min(2, its number of keywords) keywords; null if none.
 
-    items: item_id, keywords; topics: topic_id, keywords (arrays of distinct words).
+    items: item_id, keywords; topics: topic_id, keywords (arrays of distinct words).  Two words of an item are one key, and
+    of a key's topics only the lowest is joined: no item meets all topics of a common word.
     """
-    a = items.select("item_id", F.least(F.lit(2), F.size("keywords")).alias("need"), F.explode("keywords").alias("word"))
-    b = topics.select("topic_id", F.explode("keywords").alias("word"))
-    shared = a.join(b, "word").groupBy("item_id", "topic_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
-    return items.select("item_id").join(shared.groupBy("item_id").agg(F.min("topic_id").alias("topic_id")), "item_id", "left")
+    words = F.array_sort("keywords")
+    pairs = F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size("keywords")), lambda b: F.concat(a, F.lit("\x1f"), b))))
+    owned = topics.select("topic_id", F.explode(F.concat(words, pairs)).alias("key")).groupBy("key").agg(F.min("topic_id").alias("topic_id"))
+    asked = items.select("item_id", F.explode(F.when(F.size("keywords") == 1, words).otherwise(pairs)).alias("key"))
+    return items.select("item_id").join(asked.join(owned, "key").groupBy("item_id").agg(F.min("topic_id").alias("topic_id")), "item_id", "left")
 
 
 def capped(rows: DataFrame, category: str, title: str, order: list[Column], cap: int = 2) -> DataFrame:
