@@ -8,7 +8,8 @@ documents are ranked by their random odds divided by their inclusion odds, and t
 The sample has a fixed size in words.  A source's documents are split into strata of sizes within a factor of
 two, from the longest down; each stratum takes ranks up to its share of the words, and what it takes too much
 or too little changes the inclusion probability of the next one, whose documents are shorter.  So a source
-misses its target by about one of its shortest documents, as far as it has short ones.  Where the shorter
+misses its target by about one of its shortest documents, as far as it has short ones; where one document is longer than
+the others can make good, by at most half of it.  Where the shorter
 strata can make good either way, a coin with the right odds decides about the rank at the border, so that long
 documents keep their probability; else the nearer border is taken.
 

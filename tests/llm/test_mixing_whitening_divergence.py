@@ -83,8 +83,10 @@ def test_mix_against_loop(spark, seed):
         if r.size and r.odds_rank is not None:
             inside[s, r.size.bit_length()].append((r.odds_rank, r.copies > certain))
     for s, target in wanted.items():
-        shortest = sorted(size[i] for i in size if source[i] == s and size[i])[:10]
-        assert abs(taken[s] - target) <= max(3, sum(shortest) / len(shortest) * 2) if shortest else taken[s] == 0, s
+        sizes = sorted(size[i] for i in size if source[i] == s and size[i])
+        # Whole documents cannot come nearer where one is longer than all others together can make good.
+        near = max(3, 2 * sum(sizes[:10]) / len(sizes[:10])) if sizes and totals[s] - sizes[-1] >= target % totals[s] else max(sizes, default=0) / 2
+        assert abs(taken[s] - target) <= near, s
     for ranks in inside.values():  # the first ranks of a stratum are taken, but for ranks of one cell
         chosen, left = [r for r, c in ranks if c], [r for r, c in ranks if not c]
         assert not chosen or not left or max(chosen) <= min(left) * 1.01
@@ -102,7 +104,8 @@ def test_mix_keeps_inclusion_odds(spark):
             mean[r.size, round(r.ratio, 9)] += r.copies / n
     count = Counter((len(t.split()), i % 2) for i, t, *_ in rows)
     for (size, ratio), copies in mean.items():
-        assert copies / count[size, 0 if ratio > 1 else 1] == pytest.approx(ratio, abs=0.12)
+        # The shortest documents make good what longer ones miss, so that theirs vary from seed to seed.
+        assert copies / count[size, 0 if ratio > 1 else 1] == pytest.approx(ratio, abs=0.1 if size >= 40 else 0.25)
 
 
 def test_mix_edges(spark):
