@@ -155,6 +155,22 @@ def near_title_sink(history_path: str, out_path: str, minutes: int = 60):
     return sink
 
 
+def bounded_stream_sink(path: str, most: int, *order: str):
+    """A foreachBatch sink that publishes rows to a stream of bounded length: the last ``most`` rows by batch, then by ``order``.
+
+    Each batch writes a new version, its length bounded, from that of the batch before; a repeated batch writes the same again.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark, schema = batch.sparkSession, T.StructType([*batch.schema.fields, T.StructField("came", T.LongType())])
+        rows = batch.withColumn("came", F.lit(batch_id).cast("long"))
+        if batch_id:
+            rows = spark.read.schema(schema).parquet(f"{path}/batch={batch_id - 1}").unionByName(rows)
+        rows.orderBy(F.desc("came"), *map(F.desc, order)).limit(most).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return sink
+
+
 def snapshot_sink(path: str, keys: list[str]):
     """A foreachBatch sink that keeps one row for each key: each batch writes a new whole version."""
 

@@ -128,3 +128,28 @@ def test_queue_drain(spark, tmp_path):
     assert claimed(5) == [(103, True)]
     again(rows([4], 20), 6)  # what is queued goes first
     assert claimed(6) == plain(4)
+
+
+def test_edge_alerts_stay_quiet(spark, tmp_path):
+    got = collect(queries.edge_alerts(land(spark, str(tmp_path / "in"), quotes()), 60.0, 900), "quiet_alerts", "append", tmp_path)
+    want, over, last = set(), {}, {}
+    for symbol, i, price, at, _ in quotes():
+        if price >= 60 and not over.get(symbol) and at - last.get(symbol, -(10**9)) >= 900:
+            want.add(i)
+            last[symbol] = at
+        over[symbol] = price >= 60
+    assert {r.id for r in got} == want and 0 < len(want) < len(desk.edge_alerts(spark.createDataFrame(quotes(), SCHEMA), 60.0).collect())
+
+
+def test_bounded_stream(spark, tmp_path):
+    path = str(tmp_path / "stream")
+    sink = queries.bounded_stream_sink(path, 4, "id")
+    batch = lambda *ids: spark.createDataFrame([(i, f"e{i}") for i in ids], "id long, event string")
+    kept = lambda n: sorted(r.id for r in spark.read.parquet(f"{path}/batch={n}").collect())
+    sink(batch(9, 8, 7), 0)
+    sink(batch(1, 2), 1)
+    assert kept(0) == [7, 8, 9] and kept(1) == [1, 2, 8, 9]
+    sink(batch(1, 2), 1)  # the batch comes again
+    sink(batch(), 2)
+    sink(batch(3, 4, 5, 6, 7), 3)
+    assert kept(1) == kept(2) == [1, 2, 8, 9] and kept(3) == [4, 5, 6, 7]
