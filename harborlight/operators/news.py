@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import decayed, half_up
 from ..functions.text import comparison_tokens, hamming, numeric_fingerprint, overlap, simhash64, title_tokens
+from .staging import staged
 
 # Event types by the first group that a text has a word of.
 EVENT_PATTERNS = {
@@ -175,14 +176,17 @@ def near_titles(news: DataFrame, minutes: int = 60, duplicate: int = 3, gray: in
     key = lambda h, n, i, j: F.struct(F.lit(n).alias("n"), F.shiftleft(block(h, i), width).bitwiseOR(block(h, j)).alias("v"))
     # The hash is bound by a lambda, so that it is computed once for all its keys.
     parts = lambda h: F.array(*(F.struct(h.alias("h"), key(h, n, i, j).alias("block")) for n, (i, j) in enumerate(combinations(range(blocks), 2))))
-    rows = news.where(F.size(title_tokens(F.col("title"))) >= 4).select(
-        "news_id", numeric_fingerprint(F.col("title")).alias("numbers"), F.unix_micros(F.col("effective_at").cast("timestamp")).alias("t"), F.inline(F.flatten(F.transform(F.array(simhash64(F.col("title"))), parts)))
-    )
     span = minutes * 60_000_000
-    left = rows.withColumn("bucket", F.floor(F.col("t") / span))
-    right = rows.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("t") / span) + d for d in (-1, 0, 1)))))
-    a, b = left.alias("a"), right.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.news_id") < F.col("b.news_id")) & (F.abs(F.col("a.t") - F.col("b.t")) <= span))
+    t = F.unix_micros(F.col("effective_at").cast("timestamp"))
+    rows = news.where(F.size(title_tokens(F.col("title"))) >= 4).select("news_id", numeric_fingerprint(F.col("title")).alias("numbers"), t.alias("t"), F.floor(t / span).alias("bucket"), simhash64(F.col("title")).alias("h"))
+    rows = staged(rows, "title-hashes")  # the hashes are used three times
+    # Headlines of one hash and bucket are one group: only groups are dealt by keys and held against each other.
+    groups = rows.select("bucket", "h").distinct().select("bucket", F.inline(F.flatten(F.transform(F.array("h"), parts))))
+    right = groups.withColumns({"near": F.col("bucket"), "bucket": F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))})
+    a, b = groups.alias("a"), right.alias("b")
     distance = hamming(F.col("a.h"), F.col("b.h"))
-    pairs = pairs.select(F.col("a.news_id").alias("a"), F.col("b.news_id").alias("b"), distance.alias("distance"), (F.col("a.numbers") != F.col("b.numbers")).alias("contradict")).distinct()
-    return pairs.where(F.col("distance") <= gray).withColumn("duplicate", F.col("distance") <= duplicate)
+    alike = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.block") == F.col("b.block"))).where(distance <= gray)
+    alike = alike.select(F.col("a.bucket").alias("a_bucket"), F.col("a.h").alias("a_h"), F.col("b.near").alias("b_bucket"), F.col("b.h").alias("b_h"), distance.alias("distance")).distinct()
+    side = lambda x: rows.select(F.col("bucket").alias(f"{x}_bucket"), F.col("h").alias(f"{x}_h"), F.col("news_id").alias(x), F.col("t").alias(f"{x}_t"), F.col("numbers").alias(f"{x}_numbers"))
+    pairs = alike.join(side("a"), ["a_bucket", "a_h"]).join(side("b"), ["b_bucket", "b_h"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a_t") - F.col("b_t")) <= span))
+    return pairs.select("a", "b", "distance", (F.col("a_numbers") != F.col("b_numbers")).alias("contradict"), (F.col("distance") <= duplicate).alias("duplicate"))

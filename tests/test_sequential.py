@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlight.functions import text
-from harborlight.operators import sequential
+from harborlight.operators import news, sequential
 from harborlight.streaming import queries
 
 START = dt.datetime(2024, 1, 1)
@@ -161,3 +161,12 @@ def test_fusion_against_loop(spark, seed):
     want = fusion_loop(cards)
     assert got == want and any(p for _, p in want.values())
     assert sequential.fusion_leaders(df.limit(0)).count() == 0
+
+
+def test_near_titles_against_pairs(spark):
+    rows = headlines(2, 120)
+    alike = alike_rows(spark, [r[1] for r in rows if r[1]])
+    df = spark.createDataFrame([(i, t, at) for i, t, _, at in rows], "news_id long, title string, effective_at timestamp")
+    got = [(r.a, r.b) for r in news.near_titles(df).where("duplicate").collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[3] - b[3]) <= dt.timedelta(minutes=60) and (a[1], b[1]) in alike}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
