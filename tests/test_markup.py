@@ -40,6 +40,12 @@ def test_page_text_and_structure():
     assert deep.text(selectors.select(deep, "b")[0], "", False) == "y"
 
 
+def test_references_without_a_semicolon_are_text():
+    page = selectors.Page('<p>a &amp;&amp<b>b &quo</b> &quot &#38; &#38 &notit; &amp;lt; R&D<a href="?x=1&copy=2&amp;y&amp">c</a><script>a && b</script>')
+    assert page.text(0, "", False) == 'a &&ampb &quo &quot & &#38 &notit; &lt; R&Dc'
+    assert page.attributes[selectors.select(page, "a")[0]]["href"] == "?x=1&copy=2&y&amp"
+
+
 def test_list_items_and_containers(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<article>short</article><div class=body>" + "long " * 40 + "</div>")], "page_id long, html string")
     rule = markup.ListRule("li", "a", "a[href]", "time", "p")
