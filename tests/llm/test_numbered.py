@@ -201,6 +201,13 @@ def test_exact_join_removes_false_positives(spark):
     assert 0 < count["allow", True] < 0.02 * 195_000  # the filter's own verdict would block these
 
 
+def test_url_filters_list_every_url_of_the_listed_hosts(spark, tmp_path):
+    urls = [f"https://www.{host}.net/p/{i}" for host in (*queries.LISTED_HOSTS, "daily-news") for i in range(12)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op3_url_filters(spark, str(tmp_path)).groupBy("host", "verdict").count().collect()
+    assert {r["host"]: (r["verdict"], r["count"]) for r in got} == {f"www.{host}.net": ("block", 12) for host in queries.LISTED_HOSTS} | {"www.daily-news.net": ("allow", 12)}
+
+
 def test_url_filters_use_no_python(spark):
     plan = queries.op3_url_filters(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
