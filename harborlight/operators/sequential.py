@@ -1,6 +1,7 @@
 """Choices that depend on the order of rows: the near-duplicate gate, creation of topics, fusion of event cards.
 
-In a loop over the rows, a row is kept unless an earlier *kept* row rules it out.  Here the rows are settled in
+In a loop over the rows, a row is kept unless an earlier *kept* row rules it out.  The gate decides each component
+of alike titles in one pass.  Topics are settled in
 rounds: a row that no open earlier row could rule out is kept, and what it rules out is dropped.  The first open
 row is always settled, so the rounds end, and the result is that of the loop; there are as many rounds as the
 longest chain of rows that each depend on the one before, a few where order and likeness have little to
@@ -9,9 +10,11 @@ do with each other.  Each round is a few joins on keys over the rows that are st
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +22,19 @@ from ..functions.text import hamming, simhash64, title_signature, title_tokens
 from .records import merged_card
 from .staging import staged
 
-_BLOCKS, _WIDTH = 5, 13
+_BLOCKS, _WIDTH, _LONG = 5, 13, (1 << 64) - 1
 
 
-def _alike_groups(groups: DataFrame, duplicate: int) -> DataFrame:
-    """Pairs (a, b) of groups in one or neighbouring time buckets, both ways and with themselves, whose titles look
-    alike; by_signature tells whether host and title are the same.
+def _near_hashes(hashes: DataFrame, duplicate: int) -> DataFrame:
+    """Pairs (a, b) with a < b of distinct hashes at most ``duplicate`` < 4 bits apart.
 
-    Hashes at most ``duplicate`` < 4 bits apart agree in two of five blocks, so the join is on equal keys of 26 bits.
+    Such hashes agree in two of five blocks, so the join is on equal keys of 26 bits.
     """
     block = lambda i: F.shiftrightunsigned("hash", i * _WIDTH).bitwiseAND((1 << _WIDTH) - 1)
-    fuzzy = [F.when(F.col("n_tokens") >= 4, F.struct(F.lit(n).alias("n"), F.shiftleft(block(i), _WIDTH).bitwiseOR(block(j)).alias("v"))) for n, (i, j) in enumerate(combinations(range(_BLOCKS), 2))]
-    exact = F.when(F.col("signature").isNotNull(), F.struct(F.lit(-1).alias("n"), F.xxhash64("signature").alias("v")))
-    keyed = groups.withColumn("key", F.explode(F.array_compact(F.array(*fuzzy, exact))))
-    left, right = keyed.alias("a"), keyed.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))).alias("b")
-    pairs = left.join(right, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.key") == F.col("b.key")))
-    same = F.coalesce(F.col("a.signature") == F.col("b.signature"), F.lit(False))
-    near = (F.col("a.n_tokens") >= 4) & (F.col("b.n_tokens") >= 4) & (hamming(F.col("a.hash"), F.col("b.hash")) <= duplicate)
-    return pairs.where(same | near).select(F.col("a.gb").alias("a"), F.col("b.gb").alias("b"), same.alias("by_signature")).distinct()
+    keys = F.array(*(F.struct(F.lit(n).alias("n"), F.shiftleft(block(i), _WIDTH).bitwiseOR(block(j)).alias("v")) for n, (i, j) in enumerate(combinations(range(_BLOCKS), 2))))
+    keyed = hashes.select("hash", F.explode(keys).alias("key"))
+    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.hash") < F.col("b.hash")))
+    return pairs.where(hamming(F.col("a.hash"), F.col("b.hash")) <= duplicate).select(F.col("a.hash").alias("a"), F.col("b.hash").alias("b")).distinct()
 
 
 def duplicate_gate(items: DataFrame, stored: DataFrame | None = None, minutes: int = 60, duplicate: int = 3) -> DataFrame:
@@ -45,48 +43,72 @@ def duplicate_gate(items: DataFrame, stored: DataFrame | None = None, minutes: i
     An item is dropped if a stored row or an earlier kept item within ``minutes`` of it has its host and title, or
     a title of at least four tokens whose SimHash differs in at most ``duplicate`` bits.  ``matched_id`` is the first
     such row by id, one with the same host and title before others.  Items without a host or title are kept.
-    ``items`` and ``stored`` have id, title, url and at, and no id in common; stored rows come before all items.  Equal titles of one host in one
-    span of time are one group, and only groups are held against each other, not their items.
+    ``items`` and ``stored`` have id, title, url and at, and no id in common; stored rows come before all items.
+
+    Titles that look alike at whatever time, directly or through others, are one component.  Components are decided
+    independently, each in one pass over its rows in order, with its kept rows by time bucket in memory: a title that
+    comes back every hour for years is one pass too, not a round for each hour.
     """
     span = minutes * 60_000_000
     rows = items.select("id", "title", "url", "at", F.lit(False).alias("settled"))
     if stored is not None:
         rows = rows.unionByName(stored.select("id", "title", "url", "at", F.lit(True).alias("settled")))
-    signature = title_signature(F.col("title"), F.col("url"))
-    rows = rows.select("id", "title", signature.alias("signature"), F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "settled").withColumn("bucket", F.floor(F.col("t") / span))
-    rows = rows.withColumn("gb", F.md5(F.concat_ws("\x1f", F.coalesce("signature", F.lit("")), F.coalesce("title", F.lit("")), F.col("bucket").cast("string"))))
-    rows = staged(rows, "gate-rows")
-    groups = rows.select("gb", "title", "signature", "bucket").distinct().select("gb", "signature", "bucket", F.size(title_tokens(F.coalesce("title", F.lit("")))).alias("n_tokens"), simhash64(F.coalesce("title", F.lit(""))).alias("hash"))
-    near = staged(_alike_groups(groups, duplicate), "gate-groups")
-    slim = rows.select("id", "t", "gb", "settled", F.col("signature").isNull().alias("free"))
-    within = F.abs(F.col("t") - F.col("by_t")) <= span
-
-    def ruled_out(kept: DataFrame, among: DataFrame) -> DataFrame:
-        """Rows of ``among`` that ``kept`` rows come before, with what rules them out."""
-        reach = kept.select(F.col("id").alias("by"), F.col("t").alias("by_t"), F.col("settled").alias("before"), F.col("gb").alias("a")).join(near, "a").select("by", "by_t", "before", "by_signature", F.col("b").alias("gb"))
-        return among.join(reach, "gb").where((F.col("before") | (F.col("by") < F.col("id"))) & within)
-
-    open_ = slim.where(~F.col("settled") & ~F.col("free")).drop("settled", "free")
-    kept = slim.where(F.col("settled") | F.col("free")).select("id", "t", "gb", "settled")
-    parts = [kept]
-    out = ruled_out(kept, open_).select("id").distinct()
-    open_ = staged(open_.join(out, "id", "left_anti"), "gate-open")
-    while not open_.isEmpty():
-        heads = open_.groupBy("gb").agg(F.min_by(F.struct("id", "t"), "id").alias("h")).select("h.id", "h.t", "gb")
-        # A head waits while an earlier open row could rule it out.
-        reach = heads.select(F.col("id").alias("head"), F.col("t").alias("by_t"), F.col("gb").alias("b")).join(near, "b").select("head", "by_t", F.col("a").alias("gb"))
-        waits = open_.join(reach, "gb").where((F.col("id") < F.col("head")) & within).select(F.col("head").alias("id")).distinct()
-        safe = staged(heads.join(waits, "id", "left_anti").withColumn("settled", F.lit(False)), "gate-kept")
-        parts.append(safe)
-        out = ruled_out(safe, open_).select("id").union(safe.select("id")).distinct()
-        open_ = staged(open_.join(out, "id", "left_anti"), "gate-open")
-    kept = parts[0]
-    for part in parts[1:]:
-        kept = kept.union(part)
-    kept = staged(kept, "gate-all-kept")
-    dropped = slim.where(~F.col("settled")).join(kept.select("id"), "id", "left_anti").select("id", "t", "gb")
-    matched = ruled_out(kept, dropped).groupBy("id").agg(F.min_by("by", F.struct(~F.col("by_signature"), ~F.col("before"), F.col("by"))).alias("matched_id"))
-    return slim.where(~F.col("settled")).select("id").join(matched, "id", "left").select("id", F.col("matched_id").isNull().alias("kept"), "matched_id")
+    title = F.coalesce("title", F.lit(""))
+    hash_ = F.when(F.size(title_tokens(title)) >= 4, simhash64(title))
+    rows = rows.select("id", title_signature(F.col("title"), F.col("url")).alias("signature"), hash_.alias("hash"), F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "settled")
+    node = F.md5(F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("s"), "signature"), F.lit("")), F.coalesce(F.col("hash").cast("string"), F.lit(""))))
+    rows = staged(rows.withColumn("node", node), "gate-rows")
+    near = _near_hashes(rows.select("hash").where("hash is not null").distinct(), duplicate)
+    # A title has the keys of its own signature and hash, and those of the hashes near to it.
+    nodes = rows.select("node", "signature", "hash").distinct()
+    by_hash = nodes.where("hash is not null").select("node", F.col("hash").alias("key"), F.lit(False).alias("exact"))
+    by_near = near.join(nodes.select("node", "hash"), F.col("a") == F.col("hash")).select("node", F.col("b").alias("key"), F.lit(False).alias("exact"))
+    by_signature = nodes.where("signature is not null").select("node", F.xxhash64("signature").alias("key"), F.lit(True).alias("exact"))
+    keys = staged(by_hash.union(by_near).union(by_signature).select(F.col("node").alias("id"), F.struct("exact", "key").alias("key")), "gate-keys")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    label = _components(keys.join(shared, "key"))
+    rows = rows.join(label.withColumnRenamed("id", "node"), "node", "left").select("id", "signature", "hash", "t", "settled", F.coalesce("label", "node").alias("label"))
+    ordered = rows.repartition("label").sortWithinPartitions("label", F.col("settled").desc(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate = _Gate(span, duplicate)
+        for batch in batches:
+            ids, matched = [], []
+            for own, signature, hash_, t, settled, label in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                found = gate.take(label, own, signature, hash_, t, settled)
+                if not settled:
+                    ids.append(own)
+                    matched.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(matched, batch.column(0).type)], ["id", "matched_id"])
+
+    kind = dict(rows.dtypes)["id"]
+    return ordered.mapInArrow(run, f"id {kind}, matched_id {kind}").select("id", F.col("matched_id").isNull().alias("kept"), "matched_id")
+
+
+class _Gate:
+    """The gate over rows in order, one component after the other: the kept rows of the present one by time bucket."""
+
+    def __init__(self, span: int, duplicate: int) -> None:
+        self.span, self.duplicate, self.label = span, duplicate, None
+        self.kept: dict[int, list[tuple]] = {}
+
+    def take(self, label: str, own: int, signature: str | None, hash_: int | None, t: int | None, settled: bool) -> int | None:
+        """The row that rules this one out; if there is none, the row is kept."""
+        if label != self.label:
+            self.label, self.kept = label, {}
+        if t is None:
+            return None
+        bucket, best = t // self.span, None
+        if not settled and signature is not None:
+            for near in (bucket - 1, bucket, bucket + 1):
+                for by, by_signature, by_hash, by_t, before in self.kept.get(near, ()):
+                    same = by_signature == signature
+                    alike = same or hash_ is not None and by_hash is not None and ((hash_ ^ by_hash) & _LONG).bit_count() <= self.duplicate
+                    if alike and abs(by_t - t) <= self.span:
+                        best = min(x for x in (best, (not same, not before, by)) if x)
+        if best is None:
+            self.kept.setdefault(bucket, []).append((own, signature, hash_, t, settled))
+        return best and best[2]
 
 
 def create_topics(items: DataFrame, topics: DataFrame | None = None) -> DataFrame:

@@ -163,6 +163,15 @@ def test_fusion_against_loop(spark, seed):
     assert sequential.fusion_leaders(df.limit(0)).count() == 0
 
 
+def test_the_gate_takes_no_round_for_each_hour(spark, monkeypatch):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, "alpha beta gamma delta", "http://a", start + dt.timedelta(minutes=40 * i)) for i in range(200)]
+    steps, staged = [], sequential.staged
+    monkeypatch.setattr(sequential, "staged", lambda df, name: steps.append(name) or staged(df, name))
+    got = {r.id: r.matched_id for r in sequential.duplicate_gate(spark.createDataFrame(rows, "id long, title string, url string, at timestamp")).collect()}
+    assert got == {i: i - 1 if i % 2 else None for i in range(200)} and len(steps) < 15
+
+
 def test_near_titles_against_pairs(spark):
     rows = headlines(2, 120)
     alike = alike_rows(spark, [r[1] for r in rows if r[1]])
