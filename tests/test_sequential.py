@@ -179,3 +179,20 @@ def test_near_titles_against_pairs(spark):
     got = [(r.a, r.b) for r in news.near_titles(df).where("duplicate").collect()]
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[3] - b[3]) <= dt.timedelta(minutes=60) and (a[1], b[1]) in alike}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_near_title_links_count_the_pairs_without_forming_them(spark):
+    rows = headlines(2, 120)
+    start = rows[0][3]
+    copies = [(1000 + i, f"one same headline with number {7 + i % 2}", None, start + dt.timedelta(seconds=11 * i)) for i in range(900)]
+    df = spark.createDataFrame([(i, t, at) for i, t, _, at in rows + copies], "news_id long, title string, effective_at timestamp")
+    got = news.near_title_links(df).collect()
+    want = {}
+    kinds = {r.news_id: r.class_id for r in got}
+    assert set(kinds) == {r.news_id for r in got if r.class_id == r.with_class} and len(got) < 5 * len(kinds)
+    for r in news.near_titles(df).collect():
+        for a, b in ((r.a, r.b), (r.b, r.a)):
+            key = (a, kinds[b], r.distance, r.contradict, r.duplicate)
+            want[key] = want.get(key, 0) + 1
+    assert {(r.news_id, r.with_class, r.distance, r.contradict, r.duplicate): r.n_links for r in got if r.n_links} == want
+    assert sum(want.values()) > 100_000 and news.near_title_links(df.limit(0)).count() == 0
