@@ -190,6 +190,27 @@ def test_portfolio_edges(spark):
     assert sum(r.weight for r in desk.weights(rows).collect()) == pytest.approx(1.0)
 
 
+def test_oscillators_over_batches_and_bars_without_sorting(spark):
+    from harborlight.sources import tables
+
+    assert "SortAggregate" not in tables.bars(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    bars = tables.bars(spark, "/root/testdata/sf0.001").select("symbol", "trade_date", "high", "low", "close")
+    plan = timeseries.oscillators(bars)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    want = {}
+    for symbol, pdf in bars.toPandas().groupby("symbol"):
+        pdf = pdf.sort_values("trade_date", ignore_index=True)
+        for day, *values in zip(pdf["trade_date"], *timeseries._recurrences_with_gaps(pdf["high"], pdf["low"], pdf["close"]), strict=True):
+            want[symbol, day] = values
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.symbol, r.trade_date): r[2:] for r in timeseries.oscillators(bars).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys()
+    assert all(x is None and y != y or abs(x - y) < 1e-4 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
 def test_oscillators_short_and_flat(spark):
     bars = spark.createDataFrame([("A", dt.date(2024, 1, i + 1), 1.0, 1.0, 1.0) for i in range(20)] + [("B", dt.date(2024, 1, 1), 2.0, 1.0, 1.5)], "symbol string, trade_date date, high double, low double, close double")
     rows = timeseries.oscillators(bars).collect()
