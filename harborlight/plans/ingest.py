@@ -33,7 +33,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bar_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bar lines in JSON payloads of a symbol and year, made of the bars and parsed again (SRC29, SRC30, SRC31)."""
     b = t.bars(spark, sf_dir)
-    fixed = lambda c, k: F.format_string("%s", half_up(F.col(c), k).cast("decimal(24,6)"))
+    fixed = lambda c, k: half_up(F.col(c), k).cast("decimal(24,6)").cast("string")
     line = F.concat_ws(",", F.col("trade_date").cast("string"), fixed("open", 4), fixed("close", 4), fixed("high", 4), fixed("low", 4), F.col("volume").cast("decimal(24,2)").cast("string"), fixed("amount", 2))
     made = b.groupBy("symbol", F.year("trade_date").alias("y")).agg(F.to_json(F.struct(F.struct(F.collect_list(line).alias("klines")).alias("data"))).alias("content"))
     return payloads.parse_bar_lines(made).drop("turnover_rate")
