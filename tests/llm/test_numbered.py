@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harborlight.llm import common, components, decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, queries, substring_dedup, token_counts, token_files, url_filters
+from harborlight.llm import common, components, decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, queries, seed_pairs, substring_dedup, token_counts, token_files, url_filters
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -537,6 +537,50 @@ def test_passages_whose_seeds_came_up_in_different_texts(spark):
     assert sum(found.get(pair, 0) >= 60 for pair in want) >= 97
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_passages_whose_parts_many_texts_have(spark, monkeypatch, block):
+    """The copied text is neither among the first nor among the last holders of any of its seeds; a key's texts may fill many blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng, texts, want = random.Random(59), [], []
+    around = lambda held: " ".join(words(rng, 40, 10**8) + held + words(rng, 40, 10**8))
+    for _ in range(12):
+        passage = words(rng, 60, 10**8)
+        parts = [passage[:34], passage[26:]]
+        texts += [around(x) for x in [*parts, passage, *parts * 7, passage]]
+        want.append((len(texts) - 1, len(texts) - 16))
+    found = {(r.doc_id, r.ref_doc_id): r.n_words for r in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert set(found) == set(want) and min(found.values()) >= 60
+
+
+def test_seed_pairs_against_loop(spark, monkeypatch):
+    """Keys of a text over batches of any size, and the screen against all ways to extend."""
+    monkeypatch.setattr(seed_pairs, "STEP", 1)
+    rng = random.Random(61)
+    rows = [(i, p, rng.randrange(9), rng.random() < 0.7) for i in range(4) for p in sorted(rng.sample(range(400), 90))]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = seed_pairs.near_keys(spark.createDataFrame(rows, "id long, pos int, seed long, open boolean"), 12, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    pairs = {(i, s, t): set() for i, _, s, _ in rows for _, _, t, _ in rows}
+    for i, p, s, a in rows:
+        for j, q, t, b in rows:
+            if i == j and 12 <= q - p < 100:
+                pairs[i, s, t].add((p, a and b))
+    pairs = {k: v for k, v in pairs.items() if v}
+    assert len({(r.id, r.key) for r in got}) == len(pairs)
+    assert len({(r.id, r.key, r.p) for r in got if r.open}) == sum(len({p for p, fresh in v if fresh}) for v in pairs.values())
+    n = seed_pairs.SIDE
+    for share in (0.1, 0.5, 0.8):
+        left, right = (np.random.default_rng(5).random((60, n)) < share for _ in range(2))
+        between, ref_between = np.random.default_rng(6).integers(17, 60, (2, 60))
+        good = seed_pairs.may_be_passage(left, right, between, ref_between, 50, 0.8)
+        for i in range(60):
+            low, high = sorted((int(between[i]), int(ref_between[i])))
+            assert good[i] == any(low + x + y >= 50 and low + left[i, :x].sum() + right[i, :y].sum() >= 0.8 * (high + x + y) - 1e-6 for x in range(n + 1) for y in range(n + 1) if (x == 0 or left[i, x - 1]) and (y == 0 or right[i, y - 1]))
+
+
 def alike_words(same):
     """Brute force: the most words in a row, on one diagonal, that are alike at 0.8; 0 if under 50."""
     total = np.r_[0, np.cumsum(same)]
