@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harborlight.llm import common, components, decontamination, html_extraction, language_id, near_dedup, piece_codec, quality_rules, queries, seed_pairs, substring_dedup, token_counts, token_files, url_filters
+from harborlight.llm import common, components, decontamination, html_extraction, language_id, near_dedup, periodic_runs, piece_codec, quality_rules, queries, seed_pairs, substring_dedup, token_counts, token_files, url_filters
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -552,6 +552,64 @@ def test_passages_whose_parts_many_texts_have(spark, monkeypatch, block):
     assert set(found) == set(want) and min(found.values()) >= 60
 
 
+def test_texts_with_periodic_runs_make_no_pairs(spark, monkeypatch):
+    """A run of two words in many texts, of any length and phase, between words of their own: all of it is covered, by few rows."""
+    met = []
+    screened = seed_pairs.screened
+    monkeypatch.setattr(seed_pairs, "screened", lambda *args: met.append(common.materialize(screened(*args), "screened")) or met[-1])
+    rng, texts, lengths = random.Random(67), [], []
+    for _ in range(120):
+        lengths.append(rng.randrange(60, 300))
+        shift = rng.randrange(2)
+        texts.append(" ".join(words(rng, 30, 10**8) + ["is", "onhe"][shift:] + ["is", "onhe"] * ((lengths[-1] - 2 + shift) // 2) + ["is"] * ((lengths[-1] + shift) % 2) + words(rng, 30, 10**8)))
+        assert len(texts[-1].split()) == 60 + lengths[-1]
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    covered = {}
+    for r in rows:
+        covered.setdefault(r.doc_id, set()).update(range(r.begin, r.end))
+    for i, n in enumerate(lengths[1:], 1):
+        places = [m.start() for m in re.finditer(r"\S+", texts[i])][30 : 30 + n]
+        assert all(x in covered[i] for x in places), (i, n)
+    assert len(rows) < 6 * len(texts) and sum(x.count() for x in met) < 2 * len(texts)
+
+
+def test_longest_overlaps_against_loop(spark):
+    rng, runs = random.Random(73), []
+    for i in range(80):
+        period = rng.choice([1, 2, 5, 24])
+        lead = rng.randrange(period)
+        runs.append((i // 2, period, period, i % 2 * 1000 + rng.randrange(500) + lead, lead, rng.randrange(50, 140) - lead))
+    got = {}
+    frame = spark.createDataFrame(runs, "id long, key long, period int, at int, lead int, tail int")
+    for r in periodic_runs.longest_overlaps(frame).collect():
+        got.setdefault(r.id, []).append(r)
+    for i, key, p, at, lead, tail in runs:
+        mine = [r for r in got.get(i, []) if at - lead <= r.at and r.at + r.n <= at + tail]
+        want = 0
+        for j, other, _, ref_at, ref_lead, ref_tail in runs:
+            if j < i and other == key:
+                want = max(want, *(min(lead + k * p, ref_lead) + min(tail - k * p, ref_tail) for k in (0, 1)), min(lead, ref_lead + p) + min(tail, ref_tail - p))
+        assert want == max((r.n for r in mine), default=0)
+        for r in mine:
+            assert any(j == r.ref and other == key and ref_at - ref_lead <= r.ref_at and r.ref_at + r.n <= ref_at + ref_tail and (r.at - at - r.ref_at + ref_at) % p == 0 for j, other, _, ref_at, ref_lead, ref_tail in runs)
+        if want >= 2 * p:
+            held = set().union(*(range(r.at, r.at + r.n) for r in mine))
+            assert held == set(range(at - lead, at + tail))
+
+
+def test_screen_counts_the_words_between(spark, monkeypatch):
+    """Two lines at one distance in many texts, with other words between them: no pair of these passes the screen, and the passage does."""
+    met = []
+    screened = seed_pairs.screened
+    monkeypatch.setattr(seed_pairs, "screened", lambda *args: met.append(common.materialize(screened(*args), "screened")) or met[-1])
+    rng, first, second = random.Random(79), words(random.Random(1), 13, 10**8), words(random.Random(2), 13, 10**8)
+    texts = [" ".join(words(rng, 20, 10**8) + first + words(rng, 60, 10**8) + second + words(rng, 20, 10**8)) for _ in range(60)]
+    texts.append(texts[30])
+    found = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} == {(60, 30)}
+    assert sum(x.where("id < 60").count() for x in met) == 0
+
+
 def test_seed_pairs_against_loop(spark, monkeypatch):
     """Keys of a text over batches of any size, and the screen against all ways to extend."""
     monkeypatch.setattr(seed_pairs, "STEP", 1)
