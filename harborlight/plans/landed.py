@@ -104,7 +104,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pushed = F.concat(F.lit('<script>self.__next_f.push([1,"\\u003cdiv style=\\"margin: 0; padding: 40px 20px;\\"\\u003e\\u003cp\\u003e'), plain, F.lit('\\u003c\\/p\\u003e\\u003c\\/div\\u003e"])</script>'))
     inline = F.concat(F.lit('\\u003cdiv style=\\"max-width: 768px; margin: auto\\"\\u003e'), plain, F.lit("\\u003c/div\\u003e"))
     body = F.when(F.col("doc_id") % 3 == 0, pushed).when(F.col("doc_id") % 3 == 1, inline).otherwise("")
-    page = F.concat(F.coalesce(head, F.lit("")), body)
+    page = F.concat(F.coalesce(head, F.lit("")), F.coalesce(body, F.lit("")))
     d = t.read(spark, sf_dir, "documents").select("doc_id", payloads.detail_page(page, F.lit("fallback")).alias("p"))
     return d.select("doc_id", "p.title", F.date_format("p.published_at", "yyyy-MM-dd").alias("day"), F.sha2("p.content_text", 256).alias("body"))
 
