@@ -196,3 +196,13 @@ def test_near_title_links_count_the_pairs_without_forming_them(spark):
             want[key] = want.get(key, 0) + 1
     assert {(r.news_id, r.with_class, r.distance, r.contradict, r.duplicate): r.n_links for r in got if r.n_links} == want
     assert sum(want.values()) > 100_000 and news.near_title_links(df.limit(0)).count() == 0
+
+
+def test_near_title_links_broadcast_no_side(spark, monkeypatch):
+    plans, staged = [], news.staged
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(news, "staged", lambda df, name: plan(df) or staged(df, name))
+    df = spark.createDataFrame([(i, t, at) for i, t, _, at in headlines(2, 20)], "news_id long, title string, effective_at timestamp")
+    plan(news.near_title_links(df))
+    plan(news.near_titles(df))
+    assert len(plans) == 7 and sum(p.count("SortMergeJoin") for p in plans) > 8 and not any("Broadcast" in p for p in plans)
